@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heliotable.llm import bin_packing, tokenize_corpus, visual_text
+from heliotable.llm import bin_packing, canonical_mapping, tokenize_corpus, visual_text
 from heliotable.plans.tables import table
 
 
@@ -21,6 +21,22 @@ def visual_records(spark: SparkSession, folder: str) -> DataFrame:
     return one.unionByName(lines.select(F.lit("description").alias("field_name"), F.col("line_key").alias("record_id"), F.col("description").alias("value")))
 
 
+def work_item_paths(spark: SparkSession, folder: str) -> list[tuple[str, str]]:
+    return canonical_mapping.work_paths(canonical_mapping.reference_rows(table(spark, folder, "rule_item"), ["rule_item_id", "description"]))
+
+
+def p2_mapped(spark: SparkSession, folder: str) -> DataFrame:
+    """Every typed value with its entry and the edits between them."""
+    modules = canonical_mapping.reference_rows(table(spark, folder, "registry_product").where("product_type = 'module'"), ["id", "model", "model_aliases"])
+    works = canonical_mapping.map_records(table(spark, folder, "parsed_line").select(F.col("line_id").cast("string").alias("record_id"), F.col("description").alias("value")), work_item_paths(spark, folder))
+    models = canonical_mapping.map_records(table(spark, folder, "survey").select(F.col("survey_id").alias("record_id"), F.col("equipment.module_model").alias("value")), canonical_mapping.module_paths(modules), models=True)
+    return works.withColumn("field_name", F.lit("description")).unionByName(models.withColumn("field_name", F.lit("module_model")))
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p2_mapped(spark, folder).select("field_name", "record_id", "canonical_id")
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return visual_text.inconsistent_records(visual_records(spark, folder)).select("field_name", "record_id")
 
@@ -43,7 +59,7 @@ def p8_texts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [p5_found, p5_forms, p7_ids, p8_containers, p8_texts]
+    named = [p2_found, p2_mapped, p5_found, p5_forms, p7_ids, p8_containers, p8_texts]
     return {f.__name__: f for f in named}
 
 
