@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heliotable.llm import bin_packing, canonical_mapping, tokenize_corpus, visual_text
+from heliotable.llm import bin_packing, canonical_mapping, company_names, tokenize_corpus, visual_text
 from heliotable.plans.tables import table
 
 
@@ -37,6 +37,17 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return p2_mapped(spark, folder).select("field_name", "record_id", "canonical_id")
 
 
+def p4_companies(spark: SparkSession, folder: str) -> DataFrame:
+    """Every spelling of a maker with the company it means."""
+    survey, home = table(spark, folder, "survey"), table(spark, folder, "residential_survey")
+    names = survey.select(F.col("equipment.module_maker").alias("name")).unionByName(home.select(F.explode(F.array("equipment.pcs_maker", "battery.battery_maker")).alias("name")))
+    return company_names.company_of(names, table(spark, folder, "registry_product"))
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return company_names.same_company_pairs(p4_companies(spark, folder))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return visual_text.inconsistent_records(visual_records(spark, folder)).select("field_name", "record_id")
 
@@ -59,7 +70,7 @@ def p8_texts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [p2_found, p2_mapped, p5_found, p5_forms, p7_ids, p8_containers, p8_texts]
+    named = [p2_found, p2_mapped, p4_found, p4_companies, p5_found, p5_forms, p7_ids, p8_containers, p8_texts]
     return {f.__name__: f for f in named}
 
 
