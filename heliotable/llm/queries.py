@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heliotable.llm import bin_packing, canonical_mapping, company_names, tokenize_corpus, visual_text
+from heliotable.llm import addresses, bin_packing, canonical_mapping, company_names, tokenize_corpus, visual_text
 from heliotable.plans.tables import table
 
 
@@ -37,6 +37,17 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return p2_mapped(spark, folder).select("field_name", "record_id", "canonical_id")
 
 
+def p3_places(spark: SparkSession, folder: str) -> DataFrame:
+    """The place of every survey whose address states one."""
+    columns = [F.col("survey_id").alias("record_id"), F.col("project.address").alias("address"), F.col("project.postal_code").alias("postal_code")]
+    records = table(spark, folder, "survey").select(*columns).unionByName(table(spark, folder, "residential_survey").select(*columns))
+    return addresses.places_of(records)
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return addresses.same_place_pairs(p3_places(spark, folder))
+
+
 def p4_companies(spark: SparkSession, folder: str) -> DataFrame:
     """Every spelling of a maker with the company it means."""
     survey, home = table(spark, folder, "survey"), table(spark, folder, "residential_survey")
@@ -70,7 +81,7 @@ def p8_texts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [p2_found, p2_mapped, p4_found, p4_companies, p5_found, p5_forms, p7_ids, p8_containers, p8_texts]
+    named = [p2_found, p2_mapped, p3_found, p3_places, p4_found, p4_companies, p5_found, p5_forms, p7_ids, p8_containers, p8_texts]
     return {f.__name__: f for f in named}
 
 
