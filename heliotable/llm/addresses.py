@@ -26,7 +26,7 @@ from heliotable.plans.durable import cut
 # Old and variant forms of kanji in place names.
 OLD_FORMS = str.maketrans("縣國澤瀨龜靏鷺櫻濱濵榮稻臺廣嶋條邊邉齋藏萬德眞關龍瀧嶽檜", "県国沢瀬亀鶴鷺桜浜浜栄稲台広島条辺辺斎蔵万徳真関竜滝岳桧")
 # Kanji taken for one another by eye, the commoner in place names second.
-TAKEN_FOR = ("厚補由僑抑沙彬皐掬露荻付右雪末未大曰目千困恵逮遣", "原浦田橋柳砂杉星菊霧萩竹石雲末末太日日干因恵建遣")
+TAKEN_FOR = ("厚補由僑抑沙彬皐掬露荻付右雪未曰困", "原浦田橋柳砂杉泉菊霧萩竹石雲末日因")
 # Readings of kanji in place names.
 READINGS = {
     "浜": "hama", "桜": "sakura", "岩": "iwa", "星": "hoshi", "朝": "asa", "夕": "yu", "青": "ao", "沢": "sawa zawa", "藤": "fuji", "鶴": "tsuru", "柳": "yanagi yana", "栗": "kuri",

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heliotable.llm import addresses, bin_packing, canonical_mapping, company_names, tokenize_corpus, visual_text
+from heliotable.llm import addresses, bin_packing, canonical_mapping, company_names, entity_matching, tokenize_corpus, visual_text
 from heliotable.plans.tables import table
 
 
@@ -25,6 +25,15 @@ def work_item_paths(spark: SparkSession, folder: str) -> list[tuple[str, str]]:
     return canonical_mapping.work_paths(canonical_mapping.reference_rows(table(spark, folder, "rule_item"), ["rule_item_id", "description"]))
 
 
+def p1_scored(spark: SparkSession, folder: str) -> DataFrame:
+    """Matched lines with their marginal match probability."""
+    return entity_matching.match_lines(table(spark, folder, "parsed_doc"), table(spark, folder, "parsed_line"), work_item_paths(spark, folder))
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p1_scored(spark, folder).select("line_a", "line_b")
+
+
 def p2_mapped(spark: SparkSession, folder: str) -> DataFrame:
     """Every typed value with its entry and the edits between them."""
     modules = canonical_mapping.reference_rows(table(spark, folder, "registry_product").where("product_type = 'module'"), ["id", "model", "model_aliases"])
@@ -81,7 +90,7 @@ def p8_texts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [p2_found, p2_mapped, p3_found, p3_places, p4_found, p4_companies, p5_found, p5_forms, p7_ids, p8_containers, p8_texts]
+    named = [p1_found, p1_scored, p2_found, p2_mapped, p3_found, p3_places, p4_found, p4_companies, p5_found, p5_forms, p7_ids, p8_containers, p8_texts]
     return {f.__name__: f for f in named}
 
 
