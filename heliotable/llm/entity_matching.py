@@ -227,7 +227,8 @@ def match_lines(documents: DataFrame, lines: DataFrame, paths: list[tuple[str, s
         return own
 
     pairs = document_candidates(headers).join(side("a", "ai_doc"), "ai_doc").join(side("o", "official_doc"), "official_doc")
-    pairs = pairs.where("not o_named or a_phase = o_phase")
+    # a phase that is stated, or the lack of one in a stated name, tells projects of one site apart
+    pairs = pairs.where("o_site = '' or a_phase = o_phase")
     ai = signs.where("source = 'ai'").select(F.col("doc_id").alias("ai_doc"), "item", "spec", F.col("line_id").alias("a_line"), F.col("place").alias("a_place"), F.col("quantity_value").alias("a_qty"), F.col("unit_price").alias("a_price"), F.col("pos").alias("a_pos"))
     official = signs.where("source = 'official'").select(F.col("doc_id").alias("official_doc"), "item", "spec", F.col("line_id").alias("o_line"), F.col("place").alias("o_place"), F.col("quantity_value").alias("o_qty"), F.col("unit_price").alias("o_price"), F.col("pos").alias("o_pos"))
     fit = (F.col("a_place") == F.col("o_place")) | (F.col("a_place") == "") | (F.col("o_place") == "")
