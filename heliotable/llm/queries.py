@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heliotable.llm import addresses, bin_packing, canonical_mapping, company_names, entity_matching, tokenize_corpus, visual_text
+from heliotable.llm import addresses, bin_packing, canonical_mapping, company_names, entity_matching, reading_level, tokenize_corpus, visual_text
 from heliotable.plans.tables import table
 
 
@@ -89,8 +89,12 @@ def p8_texts(spark: SparkSession, folder: str) -> DataFrame:
     return bin_packing.pack_documents(documents).join(documents.select("doc_id", "text"), "doc_id")
 
 
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return reading_level.reading_levels(table(spark, folder, "documents"), table(spark, folder, "level_sample"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [p1_found, p1_scored, p2_found, p2_mapped, p3_found, p3_places, p4_found, p4_companies, p5_found, p5_forms, p7_ids, p8_containers, p8_texts]
+    named = [p1_found, p1_scored, p2_found, p2_mapped, p3_found, p3_places, p4_found, p4_companies, p5_found, p5_forms, p7_ids, p8_containers, p8_texts, p9_found]
     return {f.__name__: f for f in named}
 
 
