@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 # Dash-like signs that model numbers are typed with, the long-vowel mark among them.
 DASHES = "‐－ー―−"
@@ -19,7 +20,7 @@ FULL, HALF = "０１２３４５６７８９．，－：／　", "0123456789.,-:
 HONORIFICS = ("御中", "様", "殿", "さん")
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def nfkc(values: pd.Series) -> pd.Series:
     """Compatibility composition; the one normal form for which there is no built-in."""
     return values.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v), na_action="ignore")

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 LINES = "estimate_id string, pos bigint, category string, description string, quantity double, unit_price bigint, amount bigint"
 
@@ -57,5 +58,6 @@ def replayed(lines: DataFrame, commands: DataFrame) -> DataFrame:
     touched = commands.select("estimate_id").distinct()
     rest = keyed.join(touched, "estimate_id", "left_anti")
     own = keyed.join(touched, "estimate_id", "left_semi")
+    commands = commands.select(*[F.col(c).alias(c) for c in ("estimate_id", "seq", "action", "target", "category", "number")])
     done = own.groupBy("estimate_id").cogroup(commands.groupBy("estimate_id")).applyInPandas(_replay, LINES)
     return rest.unionByName(done)

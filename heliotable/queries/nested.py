@@ -1,30 +1,24 @@
-"""All queries of the core and their SQL."""
+"""Queries on nested records."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
 from heliotable.operators import nested_records
 from heliotable.plans.tables import table
+from heliotable.queries.registry import query
 
 
+@query()
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return nested_records.estimate_children(table(spark, folder, "estimate_history")).select("history_id", "child_kind", "category_pos", "item_pos")
 
 
+@query()
 def p6_objects(spark: SparkSession, folder: str) -> DataFrame:
     return nested_records.distinct_objects(nested_records.places(table(spark, folder, "estimate_history"), "id", "payload"))
 
 
+@query()
 def p6_links(spark: SparkSession, folder: str) -> DataFrame:
     return nested_records.links(nested_records.places(table(spark, folder, "estimate_history"), "id", "payload"))
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p6_found, p6_objects, p6_links)}
-
-
-def oracle_sql() -> dict[str, str]:
-    return {}
