@@ -24,6 +24,8 @@ def _find(lines: pd.DataFrame, text: str) -> int | None:
 
 
 def _replay(key: tuple, lines: pd.DataFrame, commands: pd.DataFrame) -> pd.DataFrame:
+    if lines.empty:
+        lines = pd.DataFrame({c: [] for c in ("estimate_id", "pos", "category", "description", "quantity", "unit_price", "amount")})
     out = lines.sort_values("pos").reset_index(drop=True)
     for c in commands.sort_values("seq").itertuples(index=False):
         if c.action == "add":

@@ -50,6 +50,8 @@ def fuzzy_pairs(left: DataFrame, right: DataFrame, group: list[str], id: str, te
     one estimate's category, is one pandas call; such groups are small.
     """
     def pair(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if a.empty or b.empty:
+            return pd.DataFrame({"left_id": [], "right_id": [], "score": []})
         a, b = a.sort_values("pos"), b.sort_values("pos")
         scored = []
         for i, x in enumerate(a[text].fillna("")):
