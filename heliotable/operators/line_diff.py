@@ -51,7 +51,7 @@ def fuzzy_pairs(left: DataFrame, right: DataFrame, group: list[str], id: str, te
     """
     def pair(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
-            return pd.DataFrame({"left_id": [], "right_id": [], "score": []})
+            return none
         a, b = a.sort_values("pos"), b.sort_values("pos")
         scored = []
         for i, x in enumerate(a[text].fillna("")):
@@ -65,9 +65,10 @@ def fuzzy_pairs(left: DataFrame, right: DataFrame, group: list[str], id: str, te
                 used_a.add(i)
                 used_b.add(j)
                 rows.append((a[id].iloc[i], b[id].iloc[j], -r))
-        return pd.DataFrame(rows, columns=["left_id", "right_id", "score"])
+        return pd.DataFrame(rows, columns=["left_id", "right_id", "score"]) if rows else none
 
     kind = dict(left.dtypes)[id]
+    none = pd.DataFrame({"left_id": pd.Series([], dtype=object), "right_id": pd.Series([], dtype=object), "score": pd.Series([], dtype=float)})
     columns = [*group, id, text, "pos"]
     return left.select(*columns).groupBy(*group).cogroup(right.select(*columns).groupBy(*group)).applyInPandas(pair, f"left_id {kind}, right_id {kind}, score double")
 
