@@ -50,7 +50,7 @@ def fuzzy_pairs(left: DataFrame, right: DataFrame, group: list[str], id: str, te
     one estimate's category, is one pandas call; such groups are small.
     """
     def pair(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
+        if a.empty or b.empty:  # a group on one side only
             return none
         a, b = a.sort_values("pos"), b.sort_values("pos")
         scored = []
@@ -69,7 +69,8 @@ def fuzzy_pairs(left: DataFrame, right: DataFrame, group: list[str], id: str, te
 
     kind = dict(left.dtypes)[id]
     none = pd.DataFrame({"left_id": pd.Series([], dtype=object), "right_id": pd.Series([], dtype=object), "score": pd.Series([], dtype=float)})
-    columns = [*group, id, text, "pos"]
+    # named anew, so that two parts of one table are told apart
+    columns = [F.col(c).alias(c) for c in dict.fromkeys([*group, id, text, "pos"])]
     return left.select(*columns).groupBy(*group).cogroup(right.select(*columns).groupBy(*group)).applyInPandas(pair, f"left_id {kind}, right_id {kind}, score double")
 
 
