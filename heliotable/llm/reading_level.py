@@ -29,8 +29,8 @@ SHARES = (0.5, 0.8, 0.9)
 #: Least number of sentences that make running prose.
 LEAST_SENTENCES = 3
 LEVELS = (1, 2, 3, 4, 5)
-#: Rounds in which class centres follow the corpus, and the specimens' weight in them.
-ROUNDS, HOLD = 6, 0.3
+#: Rounds in which class centres follow the corpus, and how many sentences the specimens' centres count for in them.
+ROUNDS, HOLD = 8, 300
 #: The most specimens that are used for fitting; a documented bound of a fixed table.
 MOST_SPECIMENS = 10_000
 RANK_STEPS = (0, 300, 1000, 2500, 6000, 14000, 60000)
@@ -177,14 +177,15 @@ def reading_levels(documents: DataFrame, samples: DataFrame, folder: str = TOKEN
 
     Null, empty and blank texts, lists, logs and fragments have no row. Of two
     equally likely levels the lower one is given. A document is Japanese or
-    English by its signs, whatever its ``lang`` says. A repeated doc_id gives
+    English by its signs, whatever its ``lang`` says; in a language without
+    graded specimens it has no row. A repeated doc_id gives
     one row, from all its texts.
     """
     graded = samples.where("text <> '' and reading_level between 1 and 5").limit(MOST_SPECIMENS)
     specimens = measured(graded.select(F.col("sample_id").alias("doc"), "text"), folder).join(graded.select(F.col("sample_id").cast("long").alias("doc"), F.col("reading_level").alias("level")), "doc")
     first = class_table(cut(specimens))
     table = cut(measured(documents.where("doc_id is not null").select(F.col("doc_id").alias("doc"), "text"), folder))
-    prose = table.where(F.col("ended") >= LEAST_SENTENCES)
+    prose = table.where(F.col("ended") >= LEAST_SENTENCES).where(F.col("ja").isin(sorted({ja for ja, _ in first})) if first else F.lit(False))
     classes = first
     for _ in range(ROUNDS):
         sums = levelled(prose, classes).groupBy("ja", "level").agg(F.sum("n").alias("n"), *[F.sum(f"s_{f}").alias(f) for f in FEATURES]).collect()
@@ -192,8 +193,7 @@ def reading_levels(documents: DataFrame, samples: DataFrame, folder: str = TOKEN
         new = {}
         for key, (means, variances) in first.items():
             n, mean = moved.get(key, (0, means))
-            old = classes[key][0]
-            new[key] = ([HOLD * a + (1 - HOLD) * b for a, b in zip(means, mean)] if n > 20 else old, variances)
+            new[key] = ([(HOLD * a + n * b) / (HOLD + n) for a, b in zip(means, mean)], variances)
         if all(abs(a - b) < 1e-9 for k in new for a, b in zip(new[k][0], classes[k][0])):
             break
         classes = new
