@@ -112,13 +112,15 @@ def _headers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _site_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows = []
-        for doc, client, site, filed in zip(pdf["doc_id"], pdf["client"], pdf["site"], pdf["filed"]):
+        for doc, source, client, site, filed, phase in zip(*[pdf[c] for c in ("doc_id", "source", "client", "site", "filed", "phase")]):
             keys = set()
             for s in {site, filed} - {""}:
                 keys.add("=" + "".join(sorted(s)))
                 if client and len(s) > 3:
                     keys |= {client + "~" + "".join(c) for c in combinations(sorted(s), len(s) - 1)}
-            rows += [(doc, k) for k in keys]
+            # a stated name states its phase, or that it has none; known by its file alone an official one may be any phase
+            phases = ({"#" + phase} if site else {"?"}) | ({"?"} if source == "ai" else set())
+            rows += [(doc, k + p) for k in keys for p in phases]
         yield pd.DataFrame(rows, columns=["doc_id", "key"])
 
 
