@@ -10,7 +10,7 @@ from heliotable.sources import estimate_csv, json_store
 
 
 def rows(df, *columns):
-    return sorted((tuple(r) for r in df.select(*columns).collect()), key=repr)
+    return sorted((tuple(r) for r in df.select(*(columns or df.columns)).collect()), key=repr)
 
 
 FACE = "id int, room_w double, room_d double, piece_w double, piece_d double, gap_col double, gap_row double, walkway double, walkway_every int, margin_x double, margin_y double"
@@ -217,3 +217,41 @@ def test_streams(spark, tmp_path, sample_dir):
     q = once.writeStream.outputMode("append").format("memory").queryName("once").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert spark.table("once").count() <= spark.read.parquet(str(source)).count()
+
+
+def test_json_repair(spark):
+    from heliotable.functions.json_repair import repaired, repaired_json
+
+    cases = {
+        'Here: ```json\n{"a": 1,}\n```': '{"a":1}',
+        "{'a': 'it\\'s \"x\"', 'b': None, /* c */ 'd': [True, False,],} // end": '{"a":"it\'s \\"x\\"","b":null,"d":[true,false]}',
+        '{"url": "http://x//y", "n": NaN}': '{"url":"http://x//y","n":null}',
+        'text before {"a": {"b": "}"}} text after }': '{"a":{"b":"}"}}',
+        "[1, 2, // two\n 3]": "[1,2,3]",
+        "nothing": None,
+        "": None,
+        '{"a": ': None,
+    }
+    assert {t: repaired(t) for t in cases} == cases
+    df = spark.createDataFrame([(t,) for t in [*cases, None]], "t string")
+    assert [r.r for r in df.select(repaired_json("t").alias("r")).collect()] == [*cases.values(), None]
+
+
+def test_forms(spark):
+    from heliotable.operators import forms
+
+    cells = spark.createDataFrame([("f", 1, 1, "住所：東町1"), ("f", 2, 1, "担当"), ("f", 2, 4, "山田"), ("f", 3, 1, "備考"), ("f", 3, 9, "遠い"), ("f", 4, 1, "担当"), ("f", 4, 2, "二番目"), ("f", 5, 1, None)], "file string, row int, col int, value string")
+    assert rows(forms.values_beside_labels(cells, ["住所", "担当", "備考"]), "label", "value") == [("住所", "東町1"), ("担当", "山田")]
+    df = spark.createDataFrame([({"a": "未確認", "b": "x", "c": "未確認"}, {"a": "1", "b": "2", "c": "3", "d": "4"})], "base map<string,string>, extra map<string,string>")
+    got = df.select(forms.filled_in(F.col("base"), F.col("extra"), ["c"]).alias("m"), forms.unconfirmed(F.col("base")).alias("u"), forms.with_value(F.col("base"), "b", F.lit("y")).alias("w")).first()
+    assert got.m == {"a": "1", "b": "x", "c": "未確認"} and got.u == ["a", "c"] and got.w["b"] == "y"
+    text = spark.createDataFrame([("パネル支給、PCSは対象外",), ("モジュール支給",), ("",), (None,)], "t string")
+    assert [r.s for r in text.select(forms.supplied(F.col("t"), ["PCS", "モジュール"], ["対象外", "なし"]).alias("s")).collect()] == [False, True, False, False]
+    assert [r.s for r in text.select(forms.keyword_class(F.col("t"), [("支給", "supply"), ("PCS", "pcs")], "other").alias("s")).collect()] == ["supply", "supply", "other", "other"]
+    schema = "g string, name string, id int"
+    left = spark.createDataFrame([("s", "南", 1), ("s", "北", 2), ("s", "東", 3)], schema)
+    right = spark.createDataFrame([("s", "北", 12), ("s", "x", 13)], schema)
+    assert rows(forms.paired_by_name_then_order(left, right, "g", "name", "id", "id")) == [(1, 13), (2, 12)]
+    assert rows(forms.single_or(left.unionByName(right.withColumn("g", F.lit("t")).where("id = 12")), "g", "name", "*")) == [("s", "*"), ("t", "北")]
+    linked = forms.linked_fields(spark.createDataFrame([(1, "郵便番号が不正"), (2, "?")], "id int, w string"), "id", "w", [("p.postal", "郵便番号"), ("p.address", "番号")])
+    assert rows(linked, "id", "field") == [(1, "p.postal"), (2, None)]
