@@ -135,3 +135,15 @@ def tokyo_time(c: Column) -> Column:
 
 def yen(c: Column) -> Column:
     return F.format_string("¥%,d", c.cast("bigint"))
+
+
+def date_or_null(c: Column) -> Column:
+    """A date written with dashes, slashes or kanji; null for anything else, as for days that do not exist."""
+    t = half_width(F.trim(c))
+    return F.coalesce(*[F.try_to_date(t, f) for f in ("yyyy-M-d", "yyyy/M/d", "yyyy年M月d日")])
+
+
+def with_defaults(text: Column, schema: str, defaults: dict) -> Column:
+    """A struct of a JSON text; missing and null fields get defaults, unknown ones are passed over."""
+    parsed = F.from_json(text, schema)
+    return F.struct(*[F.coalesce(parsed[name], F.lit(value)).alias(name) for name, value in defaults.items()])

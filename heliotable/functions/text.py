@@ -84,3 +84,17 @@ def after_label(c: Column, label: str) -> Column:
     t = F.trim(c)
     rest = F.substring(t, len(label) + 1, 1_000_000)
     return F.when(F.startswith(t, F.lit(label)), F.regexp_replace(rest, r"^[\s:：　]+", "")).otherwise(t)
+
+
+def filled_template(template: Column, values: dict[str, Column]) -> Column:
+    """A text with ``{name}`` replaced by values; a null value leaves nothing."""
+    out = template
+    for name, value in values.items():
+        out = F.replace(out, F.lit("{" + name + "}"), F.coalesce(value.cast("string"), F.lit("")))
+    return out
+
+
+def contain_each_other(a: Column, b: Column) -> Column:
+    """Whether one of two names, without white space, holds the other; false for blanks and nulls."""
+    x, y = (F.regexp_replace(c, r"(?U)\s", "") for c in (a, b))
+    return F.coalesce((x != "") & (y != "") & (F.contains(x, y) | F.contains(y, x)), F.lit(False))

@@ -80,3 +80,14 @@ def converted_price(amount: Column, quantity: Column) -> Column:
 
 def back_solved_discount(total: Column, subtotal: Column) -> Column:
     return (total - subtotal).cast("bigint")
+
+
+def completed_price(price: Column, amount: Column, quantity: Column) -> Column:
+    """The unit price, or where it is missing the one that amount and quantity make."""
+    return F.coalesce(price, converted_price(amount, quantity))
+
+
+def ordered_texts(rows: DataFrame, group: str, order: str, text: str) -> DataFrame:
+    """The texts of a group in order; blanks and nulls are left out."""
+    item = F.when(F.trim(text) != "", F.struct(order, text))
+    return rows.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x[text]).alias("texts"))

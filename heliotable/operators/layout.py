@@ -146,3 +146,35 @@ def tile_of(lat: Column, lng: Column, zoom: int) -> tuple[Column, Column]:
 
 def metres_per_pixel(lat: Column, zoom: int) -> Column:
     return F.lit(156543.03392) * F.cos(F.radians(lat)) / float(2**zoom)
+
+
+def adjacent_gaps(pieces: DataFrame, group: list[str], x: str = "x", width: str = "w") -> DataFrame:
+    """The gap from each piece of a row to the next; the last has none."""
+    w = W.partitionBy(*group).orderBy(x)
+    return pieces.withColumn("gap", F.lead(x).over(w) - F.col(x) - F.col(width)).where("gap is not null")
+
+
+def serpentine(pieces: DataFrame, group: list[str], name: str = "ordinal") -> DataFrame:
+    """Numbers from 0 row by row, every second row backwards."""
+    row = F.dense_rank().over(W.partitionBy(*group).orderBy(F.round("y", 4))) - 1
+    turned = pieces.withColumn("__row", row).withColumn("__x", F.when(F.col("__row") % 2 == 0, F.col("x")).otherwise(-F.col("x")))
+    return turned.withColumn(name, F.row_number().over(W.partitionBy(*group).orderBy("__row", "__x")) - 1).drop("__row", "__x")
+
+
+def first_pieces(pieces: DataFrame, group: list[str], order: list[str], target: str) -> DataFrame:
+    """The first ``target`` pieces of a group; a target that is null or not above 0 keeps all."""
+    n = F.row_number().over(W.partitionBy(*group).orderBy(*order))
+    return pieces.withColumn("__n", n).where(F.col(target).isNull() | (F.col(target) <= 0) | (F.col("__n") <= F.col(target))).drop("__n")
+
+
+def placed_totals(faces: DataFrame, group: str, placed: str, target: str, watts: str) -> DataFrame:
+    """Pieces placed by group, or those aimed at where none is placed, and their kW."""
+    sums = faces.groupBy(group).agg(F.sum(placed).alias("n_placed"), F.sum(F.greatest(F.col(target), F.lit(0))).alias("n_target"), F.max(watts).alias("__w"))
+    n = F.when(F.col("n_placed") > 0, F.col("n_placed")).otherwise(F.col("n_target"))
+    return sums.withColumn("pieces", n).withColumn("kw", F.round(n * F.col("__w") / 1000.0, 3)).drop("__w")
+
+
+def shortage(missing: Column, size: Column, gap: Column, per_line: Column) -> Column:
+    """The room that is lacking for pieces that do not fit: whole lines of them, with their gaps."""
+    lines = F.ceil(missing / F.nullif(per_line, F.lit(0)))
+    return F.when(missing > 0, lines * (size + gap)).otherwise(F.lit(0.0))

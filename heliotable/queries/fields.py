@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heliotable.functions import parsing, similarity, text
-from heliotable.operators import evaluation, quality, voting
+from heliotable.operators import corrections, evaluation, quality, voting
 from heliotable.plans.tables import table
 from heliotable.queries.estimates import estimate_lines
-from heliotable.queries.registry import query
+from heliotable.queries.registry import SQL, query
 from heliotable.sources import json_store
 
 _LINES = "(select distinct on (line_key) * from estimate_line)"
@@ -170,3 +170,26 @@ def store_merge(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "estimate_history").where("estimate_id is not null").select("estimate_id", "saved_at")
     early = F.month("saved_at") <= 6
     return json_store.merged(rows.where(early), rows.where(~early), "estimate_id", "saved_at").withColumn("saved_at", F.date_format("saved_at", "yyyy-MM-dd HH:mm:ss"))
+
+
+_DATES = SQL["date_normalize"]
+_POSTAL = "regexp_replace(" + _HALF.format("{0}") + ", '[^0-9]', '', 'g')"
+
+
+def _seven(digits: str) -> str:
+    return f"case when length({digits}) = 7 then substr({digits}, 1, 3) || '-' || substr({digits}, 4, 4) end"
+
+
+@query(f"""
+with s as (select * from {_SURVEYS}), days as ({_DATES}),
+p as (select survey_id, project.postal_code as old, {_POSTAL.format("project.postal_code")} as d, {_POSTAL.format("regexp_extract(" + _HALF.format("project.address") + ", '〒?\\s*([0-9]{3}-?[0-9]{4})(?:[^0-9]|$)', 1)")} as a from s),
+w as (select survey_id, equipment.module_output_w as old, list_min(list_transform({corrections.TYPICAL_WATTS}, lambda t: {{'d': abs(equipment.module_output_w - t), 'v': t}})) as best from s where equipment.module_output_w > 0),
+k as (select survey_id, equipment.pv_capacity_kw as old, round(equipment.module_output_w * equipment.planned_panels / 1000.0, 2) as kw from s),
+c as (select survey_id, 'postal_code' as field, old as old_value, coalesce({_seven("d")}, {_seven("a")}) as new_value, 'high' as confidence from p
+ union all select survey_id, 'survey_date', project.survey_date, day, 'high' from s join days using (survey_id) where trim(project.survey_date) <> ''
+ union all select survey_id, 'module_output_w', old::varchar, (case when best.d <= 10 then best.v::double else old end)::varchar, 'medium' from w
+ union all select survey_id, 'pv_capacity_kw', old::varchar, kw::varchar, 'low' from k where kw > 0 and abs(old - kw) > 0.05 * kw)
+select * from c where new_value is not null and old_value is distinct from new_value""")
+def survey_corrections(spark: SparkSession, folder: str) -> DataFrame:
+    """Fields whose corrected value differs from the stored one."""
+    return corrections.corrections(surveys(spark, folder))

@@ -94,3 +94,15 @@ def written(estimate_lines: DataFrame, headers: DataFrame, estimate: str) -> Dat
     tail = F.concat_ws("\r\n", *[F.concat(F.lit(f"{names[n]},,,,,,"), F.coalesce(F.col(n).cast("string"), F.lit(""))) for n in ("subtotal", "discount", "total_before_tax", "tax", "total_with_tax")])
     text = F.concat(F.lit("﻿"), F.lit(",".join(COLUMNS)), F.lit("\r\n"), F.coalesce("body", F.lit("")), F.lit("\r\n"), tail, F.lit("\r\n"))
     return headers.join(body, estimate, "left").select(estimate, text.alias("text"))
+
+
+def written_detailed(estimate_lines: DataFrame, headers: DataFrame, estimate: str, info: list[str]) -> DataFrame:
+    """``estimate, text``: the layout in sections: basic facts, lines, totals."""
+    titles = {v: k for k, v in SECTIONS.items()}
+    title = lambda n: F.lit(f"{SECTION_MARK} {titles[n]} {SECTION_MARK}")
+    facts = F.concat_ws("\r\n", *[F.concat(F.lit(f"{c},"), _cell(F.col(c))) for c in info])
+    simple = written(estimate_lines, headers, estimate).withColumn("rows", F.split(F.regexp_replace("text", "^﻿", ""), "\r\n"))
+    body = F.array_join(F.slice("rows", 1, F.size("rows") - 6), "\r\n")
+    tail = F.array_join(F.slice("rows", F.size("rows") - 5, 5), "\r\n")
+    text = F.concat(F.lit("﻿"), title("info"), F.lit("\r\n"), facts, F.lit("\r\n"), title("lines"), F.lit("\r\n"), body, F.lit("\r\n"), title("totals"), F.lit("\r\n"), tail, F.lit("\r\n"))
+    return headers.select(estimate, *[c for c in info if c != estimate]).join(simple, estimate).select(estimate, text.alias("text"))

@@ -255,3 +255,48 @@ def test_forms(spark):
     assert rows(forms.single_or(left.unionByName(right.withColumn("g", F.lit("t")).where("id = 12")), "g", "name", "*")) == [("s", "*"), ("t", "北")]
     linked = forms.linked_fields(spark.createDataFrame([(1, "郵便番号が不正"), (2, "?")], "id int, w string"), "id", "w", [("p.postal", "郵便番号"), ("p.address", "番号")])
     assert rows(linked, "id", "field") == [(1, "p.postal"), (2, None)]
+
+
+def test_detailed_csv_round_trip(spark, tmp_path):
+    lines = spark.createDataFrame([("E1", 0, "設置", 1, "架台", "", "3台", 100, 300), ("E1", 1, "電材", 2, "線", "a,b", "2m", 10, 20)], "estimate_id string, pos int, category string, no int, description string, remarks string, quantity string, unit_price long, amount long")
+    headers = spark.createDataFrame([("E1", "客", 320, -20, 300, 30, 330)], "estimate_id string, client string, subtotal long, discount long, total_before_tax long, tax long, total_with_tax long")
+    made = estimate_csv.written_detailed(lines, headers, "estimate_id", ["estimate_id", "client"]).first().text
+    (tmp_path / "e.csv").write_bytes(made.encode())
+    read = estimate_csv.csv_rows(spark, str(tmp_path))
+    assert rows(estimate_csv.lines(read), "description", "remarks", "amount") == [("架台", "", 300), ("線", "a,b", 20)]
+    assert estimate_csv.totals(read).select("subtotal", "discount", "tax").first() == (320, -20, 30)
+
+
+def test_small_helpers(spark, tmp_path):
+    from heliotable.functions import parsing, text
+    from heliotable.operators import corrections
+    from heliotable.sources import files
+
+    df = spark.createDataFrame([("a {x} b {y}", 3, None)], "t string, x int, y string")
+    assert df.select(text.filled_template(F.col("t"), {"x": F.col("x"), "y": F.col("y")}).alias("r")).first().r == "a 3 b "
+    names = spark.createDataFrame([("ミナモ 食品", "ミナモ食品株式会社"), ("", "a"), (None, "a"), ("x", "y")], "a string, b string")
+    assert [r.r for r in names.select(text.contain_each_other(F.col("a"), F.col("b")).alias("r")).collect()] == [True, False, False, False]
+    dates = spark.createDataFrame([("2024-1-3",), ("2024年12月5日",), ("2024/13/1",), (None,)], "t string")
+    assert [str(r.r) for r in dates.select(parsing.date_or_null(F.col("t")).alias("r")).collect()] == ["2024-01-03", "2024-12-05", "None", "None"]
+    docs = spark.createDataFrame([('{"a": null, "z": 1}',), ("{bad",), (None,)], "t string")
+    assert [tuple(r.r) for r in docs.select(parsing.with_defaults(F.col("t"), "a int, b string", {"a": 7, "b": "x"}).alias("r")).collect()] == [(7, "x")] * 3
+    pieces = spark.createDataFrame([("g", 0.0, 0.0, 5.0), ("g", 10.0, 0.0, 5.0), ("g", 0.0, 9.0, 5.0), ("g", 10.0, 9.0, 5.0)], "g string, x double, y double, w double")
+    assert rows(layout.adjacent_gaps(pieces, ["g", "y"]), "gap") == [(5.0,), (5.0,)]
+    assert [(r.x, r.y) for r in layout.serpentine(pieces, ["g"]).orderBy("ordinal").collect()] == [(0.0, 0.0), (10.0, 0.0), (10.0, 9.0), (0.0, 9.0)]
+    assert layout.first_pieces(pieces.withColumn("t", F.lit(3)), ["g"], ["y", "x"], "t").count() == 3
+    assert layout.first_pieces(pieces.withColumn("t", F.lit(0)), ["g"], ["y", "x"], "t").count() == 4
+    faces = spark.createDataFrame([("s", 0, 8, 465.0), ("s", 0, -1, 465.0), ("t", 4, 9, 465.0)], "s string, placed int, target int, w double")
+    assert rows(layout.placed_totals(faces, "s", "placed", "target", "w"), "s", "pieces", "kw") == [("s", 8, 3.72), ("t", 4, 1.86)]
+    short = spark.createDataFrame([(5, 100.0)], "m int, size double").select(layout.shortage(F.col("m"), F.col("size"), F.lit(10.0), F.lit(4)).alias("r")).first().r
+    assert short == 220.0
+    texts = spark.createDataFrame([("e", 2, "b"), ("e", 1, "a"), ("e", 3, " "), ("e", 4, None)], "e string, pos int, t string")
+    assert estimates.ordered_texts(texts, "e", "pos", "t").first().texts == ["a", "b"]
+    survey = spark.createDataFrame([("s", ("〒100-0005 東町", "", "R7.12.18"), (661.0, 100, 100.0))], "survey_id string, project struct<address:string,postal_code:string,survey_date:string>, equipment struct<module_output_w:double,planned_panels:bigint,pv_capacity_kw:double>")
+    assert rows(corrections.corrections(survey), "field", "new_value") == [("module_output_w", "660.0"), ("postal_code", "100-0005"), ("pv_capacity_kw", "66.1"), ("survey_date", "2025/12/18")]
+    for name in ("a/x.xlsx", "a/2.pdf", "a/1.pdf", "b/y.xlsx"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(b"1")
+    pairs = files.paired(files.listed(spark, str(tmp_path), "*.xlsx"), files.listed(spark, str(tmp_path), "*.pdf"))
+    assert sorted((r.left_path[-6:], (r.right_path or "")[-5:]) for r in pairs.collect()) == [("x.xlsx", "1.pdf"), ("y.xlsx", "")]
+    table = files.yaml_table(spark, str(tmp_path / "none.yaml"), "items", "a int")
+    assert table is None or table.count() == 0
