@@ -11,13 +11,14 @@ the sentences of the whole corpus, since specimens are worded otherwise.
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heliotable.llm.tokenize_corpus import TOKENIZER_DIR, encoder
@@ -84,23 +85,27 @@ def sentences(text: str | None) -> tuple[bool, list[str], int]:
 
 
 def features(sentence: str, ja: bool, encode) -> list[float]:
-    ids = np.array(encode(sentence if ja else " " + sentence))
-    covers = [float(np.log(np.quantile(ids, p, method="inverted_cdf") + 50)) for p in SHARES]
+    ids = sorted(encode(sentence if ja else " " + sentence))
+    # the smallest vocabulary, in order of frequency, that covers a share of the tokens
+    covers = [math.log(ids[max(0, math.ceil(p * len(ids) - 1e-9) - 1)] + 50) for p in SHARES]
     n = len(sentence)
     if ja:
         runs = [len(x) for x in re.findall("[一-龥々]+", sentence)] or [0]
         share = [len(re.findall(f"[{c}]", sentence)) / n for c in ("ぁ-ん", "一-龥々", "ァ-ヶー")]
-        out = [*share, float(np.log(n)), float(np.mean(runs)), float(max(runs)), float(bool(_POLITE.search(sentence))), len(ids) / n, *covers, 10 * sentence.count("、") / n, 10 * sentence.count(" ") / n]
+        out = [*share, math.log(n), sum(runs) / len(runs), float(max(runs)), float(bool(_POLITE.search(sentence))), len(ids) / n, *covers, 10 * sentence.count("、") / n, 10 * sentence.count(" ") / n]
     else:
         words = [w.lower() for w in _WORD.findall(sentence)] or ["a"]
         m, long = len(words), [len(w) for w in words]
-        steps = (np.histogram(ids, RANK_STEPS)[0] / len(ids))[1:]
-        out = [float(np.mean(long)), float(np.log(m)), sum(x >= 7 for x in long) / m, sum(x >= 10 for x in long) / m, *covers, len(ids) / m, sentence.count(",") / m, sum(x <= 3 for x in long) / m]
-        out += [sum(bool(_LATINATE.search(w)) for w in words) / m, sum(w in _ADDRESS for w in words) / m, sum(w in _PREPOSITIONS for w in words) / m, sum(w.endswith("ed") for w in words) / m, *map(float, steps)]
+        at = [bisect_left(ids, step) for step in RANK_STEPS[1:]]
+        steps = [(b - a) / len(ids) for a, b in zip(at, at[1:])]
+        out = [sum(long) / m, math.log(m), sum(x >= 7 for x in long) / m, sum(x >= 10 for x in long) / m, *covers, len(ids) / m, sentence.count(",") / m, sum(x <= 3 for x in long) / m]
+        out += [sum(bool(_LATINATE.search(w)) for w in words) / m, sum(w in _ADDRESS for w in words) / m, sum(w in _PREPOSITIONS for w in words) / m, sum(w.endswith("ed") for w in words) / m, *steps]
     return out + [0.0] * (WIDTH - len(out))
 
 
-_MEASURED = pa.schema([("doc", pa.int64()), ("ja", pa.bool_()), ("ended", pa.int32()), *((f"f{k}", pa.float64()) for k in range(WIDTH))])
+_VECTOR = pa.list_(pa.float64())
+_MEASURED = pa.schema([("doc", pa.int64()), ("ja", pa.bool_()), ("ended", pa.int32()), ("n", pa.int64()), ("vectors", pa.list_(_VECTOR)), ("total", _VECTOR)])
+_MEASURED_DDL = "doc bigint, ja boolean, ended int, n bigint, vectors array<array<double>>, total array<double>"
 
 
 def _measure(folder: str):
@@ -110,9 +115,10 @@ def _measure(folder: str):
             rows: list[tuple] = []
             for doc, text in zip(batch.column("doc").to_pylist(), batch.column("text").to_pylist()):
                 ja, found, ended = sentences(text)
-                if ended:
-                    rows += [(doc, ja, ended, *features(s, ja, encode)) for s in found]
-                if len(rows) >= 20_000:
+                if ended and found:
+                    vectors = [features(s, ja, encode) for s in found]
+                    rows.append((doc, ja, ended, len(vectors), vectors, [sum(c) for c in zip(*vectors)]))
+                if len(rows) >= 500:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _MEASURED)], schema=_MEASURED)
                     rows = []
             columns = list(zip(*rows)) or [[]] * len(_MEASURED)
@@ -121,55 +127,51 @@ def _measure(folder: str):
     return run
 
 
-FEATURES = [f"f{k}" for k in range(WIDTH)]
-
-
 def measured(documents: DataFrame, folder: str = TOKENIZER_DIR) -> DataFrame:
-    """One row for each sentence of ``doc, text``: ``doc, ja, ended, f0...``."""
-    ddl = ", ".join(["doc bigint", "ja boolean", "ended int", *(f"{f} double" for f in FEATURES)])
-    return documents.where("text <> ''").select(F.col("doc").cast("long").alias("doc"), "text").mapInArrow(_measure(folder), ddl)
+    """One row for each text of ``doc, text`` with sentences: their feature vectors and the sum of these."""
+    return documents.where("text <> ''").select(F.col("doc").cast("long").alias("doc"), "text").mapInArrow(_measure(folder), _MEASURED_DDL)
 
 
 def class_table(specimens: DataFrame) -> dict:
-    """{(Japanese, level): (means, variances)} of graded sentences; two languages, five levels: ten rows."""
-    shared = specimens.groupBy("ja").agg(*[F.var_pop(f).alias(f) for f in FEATURES]).collect()
-    floor = {r["ja"]: [0.02 * (r[f] or 0.0) + 1e-6 for f in FEATURES] for r in shared}
-    rows = specimens.groupBy("ja", "level").agg(*[F.avg(f).alias(f"m_{f}") for f in FEATURES], *[F.var_pop(f).alias(f"v_{f}") for f in FEATURES]).collect()
-    spread: dict = {}
+    """{(Japanese, level): (means, spread)} of graded sentences; two languages, five levels: ten rows."""
+    flat = specimens.select("ja", "level", F.explode("vectors").alias("v"))
+    each = [F.col("v")[i] for i in range(WIDTH)]
+    wide = {r["ja"]: r["v"] for r in flat.groupBy("ja").agg(F.array(*[F.var_pop(x) for x in each]).alias("v")).collect()}
+    rows = flat.groupBy("ja", "level").agg(F.array(*[F.avg(x) for x in each]).alias("m"), F.array(*[F.var_pop(x) for x in each]).alias("v")).collect()
+    within: dict = {}
     for r in rows:
-        spread.setdefault(r["ja"], []).append([r[f"v_{f}"] for f in FEATURES])
-    pooled = {ja: [sum(c) / len(c) + e for c, e in zip(zip(*v), floor[ja])] for ja, v in spread.items()}
-    return {(r["ja"], r["level"]): ([r[f"m_{f}"] for f in FEATURES], pooled[r["ja"]]) for r in rows}
+        within.setdefault(r["ja"], []).append(r["v"])
+    spread = {ja: [sum(c) / len(c) + 0.02 * w + 1e-6 for c, w in zip(zip(*v), wide[ja])] for ja, v in within.items()}
+    return {(r["ja"], r["level"]): (list(r["m"]), spread[r["ja"]]) for r in rows}
+
 
+def scores_table(spark: SparkSession, classes: dict) -> DataFrame:
+    """Two rows at most, one for each language: the linear scores of all levels, as data.
 
-def posteriors(classes: dict) -> list[Column]:
-    """Columns p1..p5: the probability of each level for a sentence, by its language's classes."""
+    Classes share their spread, so the difference of two log densities is linear in the features.
+    """
+    rows = []
+    for ja in sorted({ja for ja, _ in classes}):
+        weights, constants = [], []
+        for level in LEVELS:
+            means, spread = classes.get((ja, level), ([0.0] * WIDTH, [1.0] * WIDTH))
+            weights.append([m / v for m, v in zip(means, spread)])
+            constants.append(-0.5 * sum(m * m / v for m, v in zip(means, spread)) if (ja, level) in classes else -1e300)
+        rows.append((ja, weights, constants))
+    return spark.createDataFrame(rows, "ja boolean, weights array<array<double>>, constants array<double>")
 
-    def distance(level: int, ja: bool) -> Column:
-        if (ja, level) not in classes:
-            return F.lit(1e9)
-        means, variances = classes[ja, level]
-        terms = [(F.col(f) - F.lit(m)) * (F.col(f) - F.lit(m)) * F.lit(0.5 / v) for f, m, v in zip(FEATURES, means, variances)]
-        total = terms[0]
-        for t in terms[1:]:
-            total = total + t
-        return total
 
-    d = [F.when(F.col("ja"), distance(level, True)).otherwise(distance(level, False)).alias(f"d{level}") for level in LEVELS]
-    return d
+# The likelihoods of a text's sentences, made probabilities, summed by level.
+_SCORES = "transform(vectors, f -> zip_with(constants, weights, (c, w) -> c + aggregate(zip_with(f, w, (x, y) -> x * y), 0D, (a, x) -> a + x)))"
+_RELATIVE = "transform(scores, s -> transform(s, x -> exp(x - array_max(s))))"
+_SUMMED = "aggregate(relative, array_repeat(0D, 5), (a, p) -> zip_with(a, p, (x, y) -> x + y / aggregate(p, 0D, (b, z) -> b + z)))"
 
 
-def levelled(sentence_table: DataFrame, classes: dict) -> DataFrame:
-    """``doc, ja, n, ended, level, s_f0...``: each document's level and the sums of its features."""
-    far = sentence_table.select("doc", "ja", "ended", *FEATURES, *posteriors(classes))
-    least = F.least(*[F.col(f"d{k}") for k in LEVELS])
-    far = far.withColumn("least", least)
-    weights = far.select("doc", "ja", "ended", *FEATURES, *[F.exp(F.col("least") - F.col(f"d{k}")).alias(f"w{k}") for k in LEVELS])
-    total = sum((F.col(f"w{k}") for k in LEVELS[1:]), F.col("w1"))
-    weights = weights.withColumn("total", total)
-    by_doc = weights.groupBy("doc", "ja").agg(F.count("*").alias("n"), F.max("ended").alias("ended"), *[F.sum(F.col(f"w{k}") / F.col("total")).alias(f"p{k}") for k in LEVELS], *[F.sum(f).alias(f"s_{f}") for f in FEATURES])
-    best = F.greatest(*[F.struct(F.col(f"p{k}").alias("p"), F.lit(-k).alias("k")) for k in LEVELS])
-    return by_doc.withColumn("level", (-best["k"]).cast("int"))
+def levelled(texts: DataFrame, classes: dict) -> DataFrame:
+    """The texts with their level: the one of most probability, the lower of equals. One narrow stage."""
+    scored = texts.join(F.broadcast(scores_table(texts.sparkSession, classes)), "ja")
+    scored = scored.withColumn("scores", F.expr(_SCORES)).withColumn("relative", F.expr(_RELATIVE)).withColumn("summed", F.expr(_SUMMED))
+    return scored.withColumn("level", F.array_position("summed", F.array_max("summed")).cast("int")).drop("scores", "relative", "summed", "weights", "constants")
 
 
 def reading_levels(documents: DataFrame, samples: DataFrame, folder: str = TOKENIZER_DIR) -> DataFrame:
@@ -178,8 +180,7 @@ def reading_levels(documents: DataFrame, samples: DataFrame, folder: str = TOKEN
     Null, empty and blank texts, lists, logs and fragments have no row. Of two
     equally likely levels the lower one is given. A document is Japanese or
     English by its signs, whatever its ``lang`` says; in a language without
-    graded specimens it has no row. A repeated doc_id gives
-    one row, from all its texts.
+    graded specimens it has no row. A repeated doc_id gives one row.
     """
     graded = samples.where("text <> '' and reading_level between 1 and 5").limit(MOST_SPECIMENS)
     specimens = measured(graded.select(F.col("sample_id").alias("doc"), "text"), folder).join(graded.select(F.col("sample_id").cast("long").alias("doc"), F.col("reading_level").alias("level")), "doc")
@@ -188,16 +189,16 @@ def reading_levels(documents: DataFrame, samples: DataFrame, folder: str = TOKEN
     prose = table.where(F.col("ended") >= LEAST_SENTENCES).where(F.col("ja").isin(sorted({ja for ja, _ in first})) if first else F.lit(False))
     classes = first
     for _ in range(ROUNDS):
-        sums = levelled(prose, classes).groupBy("ja", "level").agg(F.sum("n").alias("n"), *[F.sum(f"s_{f}").alias(f) for f in FEATURES]).collect()
-        moved = {(r["ja"], r["level"]): (r["n"], [r[f] / r["n"] for f in FEATURES]) for r in sums}
+        sums = levelled(prose, classes).groupBy("ja", "level").agg(F.sum("n").alias("n"), F.array(*[F.sum(F.col("total")[i]) for i in range(WIDTH)]).alias("total")).collect()
+        moved = {(r["ja"], r["level"]): (r["n"], r["total"]) for r in sums}
         new = {}
-        for key, (means, variances) in first.items():
-            n, mean = moved.get(key, (0, means))
-            new[key] = ([(HOLD * a + n * b) / (HOLD + n) for a, b in zip(means, mean)], variances)
-        if all(abs(a - b) < 1e-9 for k in new for a, b in zip(new[k][0], classes[k][0])):
-            break
+        for key, (means, spread) in first.items():
+            n, total = moved.get(key, (0, [0.0] * WIDTH))
+            new[key] = ([(HOLD * a + b) / (HOLD + n) for a, b in zip(means, total)], spread)
+        rest = all(abs(a - b) < 1e-9 for k in new for a, b in zip(new[k][0], classes[k][0]))
         classes = new
-    result = levelled(prose, classes)
-    # a document of both languages is told by the one with more sentences
-    best = result.groupBy("doc").agg(F.max(F.struct("n", "ja", "level")).alias("b"))
+        if rest:
+            break
+    # a doc_id of several texts is told by the one of most sentences
+    best = levelled(prose, classes).groupBy("doc").agg(F.max(F.struct("n", "ja", "level")).alias("b"))
     return best.select(F.col("doc").alias("doc_id"), F.col("b.level").alias("reading_level"))
