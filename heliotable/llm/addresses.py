@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from heliotable.llm.visual_text import consistent_form
+from heliotable.llm.visual_text import NOT_BLANK, consistent_form
 from heliotable.plans.durable import cut
 
 # Old and variant forms of kanji in place names.
@@ -171,7 +171,7 @@ def resolve(addresses: DataFrame) -> DataFrame:
     Blank and null addresses, those without a lot number, and those with neither
     locality nor a known postal code have no row.
     """
-    pairs = addresses.where("trim(address) <> ''").select("address", "postal_code").distinct()
+    pairs = addresses.where(F.col("address").rlike(NOT_BLANK)).select("address", "postal_code").distinct()
     parsed = cut(pairs.mapInPandas(_parse, PARSED).withColumn("id", F.xxhash64("address", "postal_code")))
     known = cut(localities(parsed))
     gazetteer = cut(streets(parsed, known))
@@ -207,7 +207,7 @@ def resolve(addresses: DataFrame) -> DataFrame:
 
 def places_of(records: DataFrame) -> DataFrame:
     """``record_id, street_id, chome, block, number`` for records with ``record_id, address, postal_code``, each id once."""
-    rows = records.where("record_id is not null and trim(address) <> ''").select("record_id", "address", "postal_code").dropDuplicates(["record_id"])
+    rows = records.where(F.col("record_id").isNotNull() & F.col("address").rlike(NOT_BLANK)).select("record_id", "address", "postal_code").dropDuplicates(["record_id"])
     resolved = resolve(rows)
     same = (rows["address"] == resolved["address"]) & rows["postal_code"].eqNullSafe(resolved["postal_code"])
     return rows.join(resolved, same).select("record_id", "street_id", "chome", "block", "number")

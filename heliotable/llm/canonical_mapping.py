@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heliotable.llm import work_terms
-from heliotable.llm.visual_text import consistent_form
+from heliotable.llm.visual_text import NOT_BLANK, consistent_form
 
 #: A reference list longer than this is refused: the trie is sent to every worker.
 MOST_PATHS = 200_000
@@ -197,7 +197,7 @@ def map_values(values: DataFrame, paths: list[tuple[str, str]], models: bool = F
     """``value, canonical_id, edits`` for each distinct value that is not blank; '' and -1 where it has no entry."""
     if len(paths) > MOST_PATHS:
         raise ValueError(f"{len(paths)} paths; the trie is meant for at most {MOST_PATHS}")
-    distinct = values.where("trim(value) <> ''").select("value").distinct()
+    distinct = values.where(F.col("value").rlike(NOT_BLANK)).select("value").distinct()
     return distinct.mapInPandas(_search(paths, models), "value string, canonical_id string, edits int")
 
 
@@ -208,7 +208,7 @@ def map_records(records: DataFrame, paths: list[tuple[str, str]], models: bool =
     third of all rows share is searched once; its rows are joined by spreading
     over tasks as the engine splits skewed partitions.
     """
-    rows = records.where(F.col("record_id").isNotNull() & (F.trim("value") != "")).select("record_id", "value").dropDuplicates(["record_id"])
+    rows = records.where(F.col("record_id").isNotNull() & F.col("value").rlike(NOT_BLANK)).select("record_id", "value").dropDuplicates(["record_id"])
     return rows.join(map_values(rows, paths, models), "value").select("record_id", "value", "canonical_id", "edits")
 
 

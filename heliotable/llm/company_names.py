@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from heliotable.llm.visual_text import KANJI_KANA, consistent_form
+from heliotable.llm.visual_text import KANJI_KANA, NOT_BLANK, consistent_form
 from heliotable.plans.durable import cut
 
 # Trade words, Japanese and Latin.
@@ -204,7 +204,7 @@ def company_of(names: DataFrame, products: DataFrame | None = None) -> DataFrame
     to another are companies of their own. A nickname or code that fits several
     companies stays alone.
     """
-    distinct = names.where("trim(name) <> ''").groupBy("name").agg(F.count("*").alias("n"))
+    distinct = names.where(F.col("name").rlike(NOT_BLANK)).groupBy("name").agg(F.count("*").alias("n"))
     exploded = cut(distinct.mapInPandas(_explode_forms, "name string, n long, form string, kind int"))
     own = exploded.where("kind = 0").select("name", "n", F.col("form").alias("key"))
     keys = own.groupBy("key").agg(F.count("*").alias("spellings"), F.sum("n").alias("uses"), F.min(F.col("name").rlike(r"^[\x00-\x7f\uff01-\uff5e\s]*$").cast("int")).alias("latin"))

@@ -22,7 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from heliotable.llm import canonical_mapping, work_terms
-from heliotable.llm.visual_text import consistent_form
+from heliotable.llm.visual_text import NOT_BLANK, consistent_form
 from heliotable.plans.durable import cut
 
 #: Rounds after which messages that still move are left as they are; the change of beliefs that counts as none.
@@ -190,7 +190,7 @@ _SUMS = r"^[\s【\[(（■・※]*(小計|合計|総計|計|直接工事費計|
 
 def line_signs(lines: DataFrame, paths: list[tuple[str, str]]) -> DataFrame:
     """Lines with their work item, specification and place. Each line_id once; blank lines and sums are left out."""
-    rows = lines.where("line_id is not null and doc_id is not null and trim(description) <> ''").where(~F.col("description").rlike(_SUMS)).select("line_id", "doc_id", "source", "pos", "description", "remarks", "quantity_value", "unit_price").dropDuplicates(["line_id"])
+    rows = lines.where("line_id is not null and doc_id is not null").where(F.col("description").rlike(NOT_BLANK)).where(~F.col("description").rlike(_SUMS)).select("line_id", "doc_id", "source", "pos", "description", "remarks", "quantity_value", "unit_price").dropDuplicates(["line_id"])
     texts = rows.select("description", "remarks").distinct().mapInPandas(_signs(paths), "description string, remarks string, item string, spec string, place string")
     same = (rows["description"] == texts["description"]) & rows["remarks"].eqNullSafe(texts["remarks"])
     return rows.join(texts, same).select("line_id", "doc_id", rows["source"], "pos", "item", "spec", "place", "quantity_value", "unit_price").where("item <> ''")

@@ -28,6 +28,8 @@ KANJI_KANA = {"力": "カ", "口": "ロ", "夕": "タ", "卜": "ト", "二": "
 HIRA_KATA = {"へ": "ヘ", "べ": "ベ", "ぺ": "ペ", "り": "リ"}
 # Radicals of the CJK Radicals Supplement without a compatibility mapping.
 RADICALS = dict(zip("⺟⺠⻁⻄⻅⻆⻉⻋⻑⻘⻝⻞⻟⻤⻨⻩⻫⻭⻯⻱⻲⻣⻖⻎", "母民虎西見角貝車長青食食食鬼麦黄斉歯竜亀亀骨阝辶"))
+#: A pattern that a text which is not blank meets, whatever kind of white space there is.
+NOT_BLANK = r"(?U)\S"
 DASHES = "‐‑‒–—―−─━﹣－⁃﹘"
 # Words in which a kanji next to katakana is itself.
 WORDS_AFTER = {"一": "式次期部号枚台本個面階棟重回段箇人日月年番丁般体括", "二": "次期号枚台本個面階棟重回段箇人日月年番丁", "三": "次期号枚台本個面階棟重回段箇人日月年番丁相", "八": "号枚台本個面階棟回段箇人日月年番丁", "千": "円個枚本", "工": "事場程法務房具区作", "夕": "方刻日食", "力": "率量学", "口": "径座", "才": "能", "卜": "", "匕": "", "丿": "", "厶": ""}
