@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from heliotable.plans.joins import spread
+
 #: Fields in which writers wrap the record proper.
 WRAPPERS = ("estimate", "payload", "parsed")
 #: Fields that mark the record proper, so nothing further is unwrapped.
@@ -116,7 +118,7 @@ def links(found: DataFrame) -> DataFrame:
     """Bridge rows: which object stands where in which parent object."""
     child = found.select("record_id", "occurrence", "parent", "field", "ordinals", "path", "object_id")
     parent = found.select("record_id", F.col("occurrence").alias("parent"), F.col("object_id").alias("parent_id"))
-    return child.join(parent, ["record_id", "parent"], "left")
+    return child.join(spread(parent), ["record_id", "parent"], "left")
 
 
 # The paths of the arrays of a stored estimate, with and without the array.
