@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from heliotable.llm.visual_text import NOT_BLANK, consistent_form
 from heliotable.plans.durable import cut
+from heliotable.plans.joins import sized, spread
 
 # Old and variant forms of kanji in place names.
 OLD_FORMS = str.maketrans("縣國澤瀨龜靏鷺櫻濱濵榮稻臺廣嶋條邊邉齋藏萬德眞關龍瀧嶽檜", "県国沢瀬亀鶴鷺桜浜浜栄稲台広島条辺辺斎蔵万徳真関竜滝岳桧")
@@ -140,28 +141,28 @@ def localities(parsed: DataFrame, least: int = 2) -> DataFrame:
     known = full.groupBy("prefecture", "locality").agg(F.count("*").alias("n")).where(F.col("n") >= least).withColumn("locality_id", F.concat("prefecture", "locality"))
     area = full.where("length(postal) = 7").groupBy(F.concat("prefecture", "locality").alias("locality_id"), F.substring("postal", 1, 3).alias("postal3")).agg(F.count("*").alias("k"))
     best = area.withColumn("r", F.row_number().over(W.partitionBy("locality_id").orderBy(F.desc("k"), "postal3"))).where("r = 1").select("locality_id", "postal3")
-    return known.join(best, "locality_id", "left")
+    return known.join(spread(best), "locality_id", "left")
 
 
-def streets(parsed: DataFrame, known: DataFrame) -> DataFrame:
+def streets(parsed: DataFrame, known: DataFrame, n_known: int) -> DataFrame:
     """``locality_id, spelling, street_id, n``: street spellings clustered within their locality.
 
     A spelling joins a commoner one (three times as many rows) that looks the
     same sign by sign, or that has the same full postal code and differs in one
     sign. Other spellings are streets of their own.
     """
-    full = parsed.where("locality <> '' and town <> ''").withColumn("locality_id", F.concat("prefecture", "locality")).join(known.select("locality_id"), "locality_id", "left_semi")
+    full = parsed.where("locality <> '' and town <> ''").withColumn("locality_id", F.concat("prefecture", "locality")).join(sized(known.select("locality_id"), n_known), "locality_id", "left_semi")
     counted = full.groupBy("locality_id", F.col("town").alias("spelling")).agg(F.count("*").alias("n"))
     codes = full.where("length(postal) = 7").groupBy("locality_id", F.col("town").alias("spelling"), "postal").agg(F.count("*").alias("k"))
     code = codes.withColumn("r", F.row_number().over(W.partitionBy("locality_id", "spelling").orderBy(F.desc("k"), "postal"))).where("r = 1").select("locality_id", "spelling", "postal")
-    counted = counted.join(code, ["locality_id", "spelling"], "left").withColumn("shape", shape("spelling"))
+    counted = counted.join(spread(code), ["locality_id", "spelling"], "left").withColumn("shape", shape("spelling"))
     by_shape = W.partitionBy("locality_id", "shape").orderBy(F.desc("n"), "spelling")
     one = counted.withColumn("head", F.first("spelling").over(by_shape)).withColumn("head_n", F.first("n").over(by_shape))
     one = one.withColumn("head", F.when(F.col("head_n") >= 3 * F.col("n"), F.col("head")).otherwise(F.col("spelling")))
     heads = one.where("head = spelling").select("locality_id", "postal", F.col("spelling").alias("other"), F.col("n").alias("other_n"))
-    near = one.where("head = spelling and postal is not null").join(heads, ["locality_id", "postal"]).where("other_n >= 3 * n and other <> spelling").where(F.levenshtein("spelling", "other", 1) == 1)
+    near = one.where("head = spelling and postal is not null").join(spread(heads), ["locality_id", "postal"]).where("other_n >= 3 * n and other <> spelling").where(F.levenshtein("spelling", "other", 1) == 1)
     near = near.withColumn("r", F.row_number().over(W.partitionBy("locality_id", "spelling").orderBy(F.desc("other_n"), "other"))).where("r = 1").select("locality_id", F.col("spelling").alias("head"), "other")
-    joined = one.join(near, ["locality_id", "head"], "left").withColumn("head", F.coalesce("other", "head"))
+    joined = one.join(spread(near), ["locality_id", "head"], "left").withColumn("head", F.coalesce("other", "head"))
     return joined.select("locality_id", "spelling", F.concat_ws("/", "locality_id", "head").alias("street_id"), F.col("head").alias("name"), "n")
 
 
@@ -174,35 +175,37 @@ def resolve(addresses: DataFrame) -> DataFrame:
     pairs = addresses.where(F.col("address").rlike(NOT_BLANK)).select("address", "postal_code").distinct()
     parsed = cut(pairs.mapInPandas(_parse, PARSED).withColumn("id", F.xxhash64("address", "postal_code")))
     known = cut(localities(parsed))
-    gazetteer = cut(streets(parsed, known))
-    forms = known.mapInPandas(_locality_forms, "locality_id string, form string, cost int").groupBy("locality_id", "form").agg(F.min("cost").alias("cost"))
+    n_known = known.count()
+    gazetteer = cut(streets(parsed, known, n_known))
+    forms = known.mapInPandas(_locality_forms, "locality_id string, form string, cost int").groupBy("locality_id", "form").agg(F.min("cost").alias("cost")).join(sized(known.select("locality_id", "postal3"), n_known), "locality_id")
+    form_rows = n_known * 140  # at most: readings of a name are bounded
 
     japanese = parsed.where("head <> ''")
     ends = F.sequence(F.lit(1), F.least(F.length("head") - 1, F.lit(12)))
     split = japanese.where("length(head) > 1").select("id", "postal", "head", F.explode(ends).alias("k"))
     split = split.select("id", "postal", F.expr("substring(head, 1, k)").alias("form"), F.regexp_replace(F.expr("substring(head, k + 1)"), "^(大字|字)", "").alias("town"))
-    stated = split.join(forms, "form").select("id", "postal", "locality_id", "town", "cost")
+    stated = split.join(sized(forms, form_rows, 500_000), "form").select("id", "postal", "postal3", "locality_id", "town", "cost")
     area = known.select("locality_id", "postal3")
-    meant = japanese.select("id", "postal", F.substring("postal", 1, 3).alias("postal3"), F.regexp_replace("head", "^(大字|字)", "").alias("town")).join(area, "postal3").select("id", "postal", "locality_id", "town", F.lit(3).alias("cost"))
-    beam = stated.unionByName(meant).withColumn("agrees", F.lit(0))
-    beam = beam.join(area, "locality_id", "left").withColumn("cost", F.col("cost") * 2 + F.when(F.substring("postal", 1, 3) == F.col("postal3"), 0).otherwise(1)).select("id", "locality_id", "town", "cost")
+    meant = japanese.select("id", "postal", F.substring("postal", 1, 3).alias("postal3"), F.regexp_replace("head", "^(大字|字)", "").alias("town")).join(sized(area, n_known), "postal3").select("id", "postal", "postal3", "locality_id", "town", F.lit(3).alias("cost"))
+    beam = stated.unionByName(meant).withColumn("cost", F.col("cost") * 2 + F.when(F.substring("postal", 1, 3) == F.col("postal3"), 0).otherwise(1)).select("id", "locality_id", "town", "cost")
 
     spelled = gazetteer.select("locality_id", F.col("spelling").alias("town"), "street_id", "n")
-    placed = beam.join(spelled, ["locality_id", "town"], "left")
+    placed = beam.join(spread(spelled), ["locality_id", "town"], "left")
     # an unlisted spelling: the street of its shape, where the locality is stated
     shaped = gazetteer.where("name = spelling").select("locality_id", F.col("spelling").alias("as_shape"), F.col("street_id").alias("shape_id"))
-    placed = placed.withColumn("as_shape", F.when(F.col("street_id").isNull(), shape("town"))).join(shaped, ["locality_id", "as_shape"], "left")
+    # (a found one looks for what is nowhere, by its own id, so that these spread over the tasks)
+    placed = placed.withColumn("as_shape", F.when(F.col("street_id").isNull(), shape("town")).otherwise(F.concat(F.lit("#"), F.col("id").cast("string")))).join(spread(shaped), ["locality_id", "as_shape"], "left")
     own = F.concat_ws("/", "locality_id", shape("town"))
     placed = placed.select("id", F.coalesce("street_id", "shape_id", own).alias("street_id"), (F.col("cost") + F.when(F.col("street_id").isNotNull(), 0).when(F.col("shape_id").isNotNull(), 1).otherwise(20)).alias("cost"), F.coalesce("n", F.lit(0)).alias("n"))
 
     names = gazetteer.where("name = spelling").select("locality_id", "street_id", "name", "n")
-    aloud = names.mapInPandas(_read_aloud, "locality_id string, street_id string, latin string").join(names.select("street_id", "n"), "street_id")
-    latin = parsed.where("latin_town <> ''").join(forms.select(F.col("form").alias("latin_locality"), "locality_id"), "latin_locality")
-    latin = latin.join(aloud.select("locality_id", F.col("latin").alias("latin_town"), "street_id", "n"), ["locality_id", "latin_town"]).select("id", "street_id", F.lit(0).alias("cost"), "n")
+    aloud = names.mapInPandas(_read_aloud, "locality_id string, street_id string, latin string").join(spread(names.select("street_id", "n")), "street_id")
+    latin = parsed.where("latin_town <> ''").join(sized(forms.select(F.col("form").alias("latin_locality"), "locality_id"), form_rows, 500_000), "latin_locality")
+    latin = latin.join(spread(aloud.select("locality_id", F.col("latin").alias("latin_town"), "street_id", "n")), ["locality_id", "latin_town"]).select("id", "street_id", F.lit(0).alias("cost"), "n")
 
     best = W.partitionBy("id").orderBy("cost", F.desc("n"), "street_id")
     chosen = placed.unionByName(latin).withColumn("r", F.row_number().over(best)).where("r = 1").select("id", "street_id")
-    return parsed.join(chosen, "id").select("address", "postal_code", "street_id", "chome", "block", "number")
+    return parsed.join(spread(chosen), "id").select("address", "postal_code", "street_id", "chome", "block", "number")
 
 
 def places_of(records: DataFrame) -> DataFrame:
@@ -210,7 +213,7 @@ def places_of(records: DataFrame) -> DataFrame:
     rows = records.where(F.col("record_id").isNotNull() & F.col("address").rlike(NOT_BLANK)).select("record_id", "address", "postal_code").dropDuplicates(["record_id"])
     resolved = resolve(rows)
     same = (rows["address"] == resolved["address"]) & rows["postal_code"].eqNullSafe(resolved["postal_code"])
-    return rows.join(resolved, same).select("record_id", "street_id", "chome", "block", "number")
+    return rows.join(spread(resolved), same).select("record_id", "street_id", "chome", "block", "number")
 
 
 def same_place_pairs(places: DataFrame) -> DataFrame:
@@ -218,4 +221,4 @@ def same_place_pairs(places: DataFrame) -> DataFrame:
     keys = ["street_id", "chome", "block", "number"]
     a = places.select(*keys, F.col("record_id").alias("survey_a"))
     b = places.select(*keys, F.col("record_id").alias("survey_b"))
-    return a.join(b, keys).where("survey_a < survey_b").select("survey_a", "survey_b")
+    return a.join(spread(b), keys).where("survey_a < survey_b").select("survey_a", "survey_b")

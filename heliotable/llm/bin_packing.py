@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from heliotable.llm.tokenize_corpus import encode_corpus
 from heliotable.plans.durable import cut
+from heliotable.plans.joins import spread
 
 CAPACITY = 2048
 #: Rows in a group: the bound of what one task holds at a time.
@@ -138,8 +139,8 @@ def pack(items: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP_ROW
     one = cut(grouped(parts.withColumn("container_id", F.lit(0).cast("long")), total, 0).groupBy("round_group").applyInPandas(_pack(capacity, False), _ITEM))
     fills = one.groupBy("container_id").agg(F.sum("n_tokens").alias("fill"), F.count("*").alias("n"))
     under = fills.where(F.col("fill") < WELL_FILLED * capacity)
-    loose = one.join(under.select("container_id"), "container_id", "left_semi")
-    kept = one.join(under.select("container_id"), "container_id", "left_anti")
+    loose = one.join(spread(under.select("container_id")), "container_id", "left_semi")
+    kept = one.join(spread(under.select("container_id")), "container_id", "left_anti")
     again = under.agg(F.sum("n")).first()[0] or 0
     two = grouped(loose, again, 1).groupBy("round_group").applyInPandas(_pack(capacity, True), _ITEM)
     return kept.select(*two.columns).unionByName(two).select("doc_id", "piece", "start", "n_tokens", "container_id")

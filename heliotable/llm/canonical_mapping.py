@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from heliotable.llm import work_terms
 from heliotable.llm.visual_text import NOT_BLANK, consistent_form
+from heliotable.plans.joins import spread
 
 #: A reference list longer than this is refused: the trie is sent to every worker.
 MOST_PATHS = 200_000
@@ -209,7 +210,7 @@ def map_records(records: DataFrame, paths: list[tuple[str, str]], models: bool =
     over tasks as the engine splits skewed partitions.
     """
     rows = records.where(F.col("record_id").isNotNull() & F.col("value").rlike(NOT_BLANK)).select("record_id", "value").dropDuplicates(["record_id"])
-    return rows.join(map_values(rows, paths, models), "value").select("record_id", "value", "canonical_id", "edits")
+    return rows.join(spread(map_values(rows, paths, models)), "value").select("record_id", "value", "canonical_id", "edits")
 
 
 def reference_rows(list_table: DataFrame, columns: list[str], most: int = 50_000) -> list:

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from heliotable.llm.visual_text import KANJI_KANA, NOT_BLANK, consistent_form
 from heliotable.plans.durable import cut
+from heliotable.plans.joins import spread
 
 # Trade words, Japanese and Latin.
 TRADES = {
@@ -209,39 +210,39 @@ def company_of(names: DataFrame, products: DataFrame | None = None) -> DataFrame
     own = exploded.where("kind = 0").select("name", "n", F.col("form").alias("key"))
     keys = own.groupBy("key").agg(F.count("*").alias("spellings"), F.sum("n").alias("uses"), F.min(F.col("name").rlike(r"^[\x00-\x7f\uff01-\uff5e\s]*$").cast("int")).alias("latin"))
     rank = F.struct("spellings", "uses", "key")
-    named = exploded.where("kind <> 0").join(own.select("name", "key"), "name").select("key", "form", "kind").distinct()
+    named = exploded.where("kind <> 0").join(spread(own.select("name", "key")), "name").select("key", "form", "kind").distinct()
 
     # slips lead to the name of more spellings, the rarer form first
     ranked = keys.select("key", rank.alias("rank"), F.col("key").endswith("|").alias("bare"))
     # (a vowel is misheard only where the name is known in Latin letters alone)
-    slip = named.where("kind = 1").unionByName(named.where("kind = 4").join(keys.where("latin = 1").select("key"), "key", "left_semi"))
-    met = slip.join(keys.select(F.col("key").alias("form")), "form").where("key <> form")
+    slip = named.where("kind = 1").unionByName(named.where("kind = 4").join(spread(keys.where("latin = 1").select("key")), "key", "left_semi"))
+    met = slip.join(spread(keys.select(F.col("key").alias("form"))), "form").where("key <> form")
     near = met.select("key", F.col("form").alias("other")).unionByName(met.select(F.col("form").alias("key"), F.col("key").alias("other"))).distinct()
     a, b = ranked.select("key", "rank", "bare"), ranked.select(F.col("key").alias("other"), F.col("rank").alias("other_rank"), F.col("bare").alias("other_bare"))
-    up = near.join(a, "key").join(b, "other").where("other_rank > rank and not other_bare")
+    up = near.join(spread(a), "key").join(spread(b), "other").where("other_rank > rank and not other_bare")
     rarity = W.partitionBy("key")
     parent = up.withColumn("score", 1 / F.count("*").over(rarity)).withColumn("k", F.row_number().over(rarity.orderBy(F.desc("other_rank")))).where("k = 1").select("key", F.col("other").alias("parent"), "score")
-    tree = cut(keys.join(parent, "key", "left").select("key", F.coalesce("parent", "key").alias("anchor"), F.coalesce("score", F.lit(1.0)).alias("score")))
+    tree = cut(keys.join(spread(parent), "key", "left").select("key", F.coalesce("parent", "key").alias("anchor"), F.coalesce("score", F.lit(1.0)).alias("score")))
     for _ in range(3):  # a slip of a slip of a slip
         upper = tree.select(F.col("key").alias("anchor"), F.col("anchor").alias("above"), F.col("score").alias("above_score"))
-        tree = tree.join(upper, "anchor").select("key", F.col("above").alias("anchor"), (F.col("score") * F.col("above_score")).alias("score"))
+        tree = tree.join(spread(upper), "anchor").select("key", F.col("above").alias("anchor"), (F.col("score") * F.col("above_score")).alias("score"))
     tree = cut(tree)
 
     # nicknames and codes: only where one company can be meant
     bare = tree.where(F.col("anchor").endswith("|") & (F.col("key") == F.col("anchor"))).select("key")
-    meant = named.where("kind in (2, 3)").join(tree.where(~F.col("anchor").endswith("|")), "key").select("form", "anchor", "kind")
+    meant = named.where("kind in (2, 3)").join(spread(tree.where(~F.col("anchor").endswith("|"))), "key").select("form", "anchor", "kind")
     if products is not None:
-        codes = initials(products).join(tree, "key").select("form", "anchor", F.lit(1).alias("kind"))
+        codes = initials(products).join(spread(tree), "key").select("form", "anchor", F.lit(1).alias("kind"))
         meant = meant.unionByName(codes)
-    meant = bare.join(meant, bare["key"] == meant["form"]).groupBy("key", "anchor").agg(F.min("kind").alias("kind"))
+    meant = bare.join(spread(meant), bare["key"] == meant["form"]).groupBy("key", "anchor").agg(F.min("kind").alias("kind"))
     least = W.partitionBy("key")
     meant = meant.withColumn("least", F.min("kind").over(least)).where("kind = least").withColumn("fits", F.count("*").over(least)).where("fits = 1").select("key", F.col("anchor").alias("meant"))
-    final = tree.join(meant, "key", "left").select("key", F.coalesce("meant", "anchor").alias("company"), "score")
-    return own.join(final, "key").select("name", "company", "score")
+    final = tree.join(spread(meant), "key", "left").select("key", F.coalesce("meant", "anchor").alias("company"), "score")
+    return own.join(spread(final), "key").select("name", "company", "score")
 
 
 def same_company_pairs(company: DataFrame) -> DataFrame:
     """``name_a, name_b`` of all pairs of spellings of a company, the smaller first by code point."""
     a = company.select("company", F.col("name").alias("name_a"))
     b = company.select("company", F.col("name").alias("name_b"))
-    return a.join(b, "company").where("name_a < name_b").select("name_a", "name_b")
+    return a.join(spread(b), "company").where("name_a < name_b").select("name_a", "name_b")

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from heliotable.llm import canonical_mapping, work_terms
 from heliotable.llm.visual_text import NOT_BLANK, consistent_form
 from heliotable.plans.durable import cut
+from heliotable.plans.joins import spread
 
 #: Rounds after which messages that still move are left as they are; the change of beliefs that counts as none.
 MOST_ROUNDS, STILL = 12, 1e-3
@@ -135,15 +136,15 @@ def belief(edges: DataFrame, most_rounds: int = MOST_ROUNDS, still: float = STIL
     edges = edges.groupBy("left_id", "right_id").agg(F.max("odds").alias("odds"))
     by_left = edges.groupBy("left_id").agg(F.count("*").alias("left_n"))
     by_right = edges.groupBy("right_id").agg(F.count("*").alias("right_n"))
-    edges = cut(edges.join(by_left, "left_id").join(by_right, "right_id"))
+    edges = cut(edges.join(spread(by_left), "left_id").join(spread(by_right), "right_id"))
     alone = edges.where("left_n = 1 and right_n = 1").select("left_id", "right_id", (F.col("odds") / (1 + F.col("odds"))).alias("match_score"))
     state = edges.where("left_n > 1 or right_n > 1").select("left_id", "right_id", "odds", F.col("odds").alias("to_left"), F.lit(0.0).alias("match_score"))
     for k in range(most_rounds):
         left = state.groupBy("left_id").agg(F.sum("to_left").alias("sum_left"))
-        half = state.join(left, "left_id").withColumn("from_left", 1 / (1 + F.greatest(F.lit(0.0), F.col("sum_left") - F.col("to_left"))))
+        half = state.join(spread(left), "left_id").withColumn("from_left", 1 / (1 + F.greatest(F.lit(0.0), F.col("sum_left") - F.col("to_left"))))
         half = half.withColumn("to_right", F.col("odds") * F.col("from_left")).drop("sum_left")
         right = half.groupBy("right_id").agg(F.sum("to_right").alias("sum_right"))
-        full = half.join(right, "right_id").withColumn("from_right", 1 / (1 + F.greatest(F.lit(0.0), F.col("sum_right") - F.col("to_right"))))
+        full = half.join(spread(right), "right_id").withColumn("from_right", 1 / (1 + F.greatest(F.lit(0.0), F.col("sum_right") - F.col("to_right"))))
         weight = F.col("odds") * F.col("from_left") * F.col("from_right")
         new = full.withColumn("belief", weight / (1 + weight)).withColumn("moved", F.abs(F.col("belief") - F.col("match_score")))
         new = new.select("left_id", "right_id", "odds", (F.col("odds") * F.col("from_right")).alias("to_left"), F.col("belief").alias("match_score"), "moved")
@@ -193,23 +194,23 @@ def line_signs(lines: DataFrame, paths: list[tuple[str, str]]) -> DataFrame:
     rows = lines.where("line_id is not null and doc_id is not null").where(F.col("description").rlike(NOT_BLANK)).where(~F.col("description").rlike(_SUMS)).select("line_id", "doc_id", "source", "pos", "description", "remarks", "quantity_value", "unit_price").dropDuplicates(["line_id"])
     texts = rows.select("description", "remarks").distinct().mapInPandas(_signs(paths), "description string, remarks string, item string, spec string, place string")
     same = (rows["description"] == texts["description"]) & rows["remarks"].eqNullSafe(texts["remarks"])
-    return rows.join(texts, same).select("line_id", "doc_id", rows["source"], "pos", "item", "spec", "place", "quantity_value", "unit_price").where("item <> ''")
+    return rows.join(spread(texts), same).select("line_id", "doc_id", rows["source"], "pos", "item", "spec", "place", "quantity_value", "unit_price").where("item <> ''")
 
 
 def document_candidates(headers: DataFrame) -> DataFrame:
     """``ai_doc, official_doc`` that may be of one project: one site by its signs, or, where no site is stated, one client near in time."""
     keys = headers.mapInPandas(_site_keys, KEYS)
     source = headers.select("doc_id", "source")
-    keys = keys.join(source, "doc_id")
+    keys = keys.join(spread(source), "doc_id")
     ai = keys.where("source = 'ai'").select("key", F.col("doc_id").alias("ai_doc"))
     official = keys.where("source = 'official'").select("key", F.col("doc_id").alias("official_doc"))
-    by_site = ai.join(official, "key").select("ai_doc", "official_doc").distinct()
+    by_site = ai.join(spread(official), "key").select("ai_doc", "official_doc").distinct()
     bare = headers.where("source = 'official' and not named and client <> ''").select(F.col("doc_id").alias("official_doc"), "client", F.col("day").alias("o_day"), F.col("yearday").alias("o_yearday"))
     any_ai = headers.where("source = 'ai' and client <> ''").select(F.col("doc_id").alias("ai_doc"), "client", F.col("day").alias("a_day"), F.col("yearday").alias("a_yearday"))
     gap = F.col("o_day") - F.col("a_day")
     around = F.pmod(F.col("o_yearday") - F.col("a_yearday"), F.lit(365))
     near = F.when(gap.isNotNull(), gap.between(-10, 100)).when(around.isNotNull(), (around <= 100) | (around >= 355)).otherwise(True)
-    return by_site.unionByName(bare.join(any_ai, "client").where(near).select("ai_doc", "official_doc")).distinct()
+    return by_site.unionByName(bare.join(spread(any_ai), "client").where(near).select("ai_doc", "official_doc")).distinct()
 
 
 def match_lines(documents: DataFrame, lines: DataFrame, paths: list[tuple[str, str]]) -> DataFrame:
@@ -225,18 +226,18 @@ def match_lines(documents: DataFrame, lines: DataFrame, paths: list[tuple[str, s
     sizes = signs.groupBy("doc_id").agg(F.count("*").alias("lines"))
 
     def side(prefix: str, name: str) -> DataFrame:
-        own = headers.join(sizes, "doc_id", "left").select(*[F.col(c).alias(f"{prefix}_{c}") for c in ("client", "site", "phase", "filed", "day", "yearday", "total", "branch", "named", "lines")], F.col("doc_id").alias(name))
+        own = headers.join(spread(sizes), "doc_id", "left").select(*[F.col(c).alias(f"{prefix}_{c}") for c in ("client", "site", "phase", "filed", "day", "yearday", "total", "branch", "named", "lines")], F.col("doc_id").alias(name))
         return own
 
-    pairs = document_candidates(headers).join(side("a", "ai_doc"), "ai_doc").join(side("o", "official_doc"), "official_doc")
+    pairs = document_candidates(headers).join(spread(side("a", "ai_doc")), "ai_doc").join(spread(side("o", "official_doc")), "official_doc")
     # a phase that is stated, or the lack of one in a stated name, tells projects of one site apart
     pairs = pairs.where("o_site = '' or a_phase = o_phase")
     ai = signs.where("source = 'ai'").select(F.col("doc_id").alias("ai_doc"), "item", "spec", F.col("line_id").alias("a_line"), F.col("place").alias("a_place"), F.col("quantity_value").alias("a_qty"), F.col("unit_price").alias("a_price"), F.col("pos").alias("a_pos"))
     official = signs.where("source = 'official'").select(F.col("doc_id").alias("official_doc"), "item", "spec", F.col("line_id").alias("o_line"), F.col("place").alias("o_place"), F.col("quantity_value").alias("o_qty"), F.col("unit_price").alias("o_price"), F.col("pos").alias("o_pos"))
     fit = (F.col("a_place") == F.col("o_place")) | (F.col("a_place") == "") | (F.col("o_place") == "")
-    met = cut(pairs.select("ai_doc", "official_doc").join(ai, "ai_doc").join(official, ["official_doc", "item", "spec"]).where(fit))
+    met = cut(pairs.select("ai_doc", "official_doc").join(spread(ai), "ai_doc").join(spread(official), ["official_doc", "item", "spec"]).where(fit))
     shared = met.groupBy("ai_doc", "official_doc").agg(F.countDistinct("a_line").alias("a_met"), F.countDistinct("o_line").alias("o_met"), F.count_distinct(F.when(F.col("a_qty") == F.col("o_qty"), F.col("a_line"))).alias("same_qty"))
-    pairs = pairs.join(shared, ["ai_doc", "official_doc"], "left")
+    pairs = pairs.join(spread(shared), ["ai_doc", "official_doc"], "left")
 
     same_signs = F.when(F.array_sort(F.split("a_site", "")) == F.array_sort(F.split(F.when(F.col("o_site") != "", F.col("o_site")).otherwise(F.col("o_filed")), "")), 3.0).when(F.col("a_site") == F.col("o_filed"), 2.5).when(F.col("o_named"), 0.0).otherwise(-1.0)
     apart = F.levenshtein("a_client", "o_client")
@@ -253,7 +254,7 @@ def match_lines(documents: DataFrame, lines: DataFrame, paths: list[tuple[str, s
     doc_edges = pairs.select(F.col("ai_doc").alias("left_id"), F.col("official_doc").alias("right_id"), F.exp(logit).alias("odds"))
     matched = cut(mutual_best(belief(doc_edges)).select(F.col("left_id").alias("ai_doc"), F.col("right_id").alias("official_doc"), F.col("match_score").alias("doc_score")))
 
-    inside = met.join(matched, ["ai_doc", "official_doc"])
+    inside = met.join(spread(matched), ["ai_doc", "official_doc"])
     place = F.when(F.col("a_place") == F.col("o_place"), 1.5).otherwise(0.0)
     quantity = F.when(F.col("a_qty") == F.col("o_qty"), 1.0).otherwise(0.0)
     price = F.when(F.abs(F.log(F.col("a_price") / F.col("o_price"))) < 0.25, 0.7).otherwise(0.0)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heliotable.llm import addresses, bin_packing, canonical_mapping, company_names, entity_matching, reading_level, tokenize_corpus, visual_text
+from heliotable.plans.joins import spread
 from heliotable.plans.tables import table
 
 
@@ -86,7 +87,7 @@ def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
 
 def p8_texts(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents")
-    return bin_packing.pack_documents(documents).join(documents.select("doc_id", "text"), "doc_id")
+    return bin_packing.pack_documents(documents).join(spread(documents.select("doc_id", "text")), "doc_id")
 
 
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heliotable.plans.durable import cut
+from heliotable.plans.joins import spread
 
 TOKENIZER_DIR = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -188,7 +189,7 @@ def encode_corpus(documents: DataFrame, doc_id: str = "doc_id", text: str = "tex
     places = chunks.select("doc", "pos", "chunk_key").join(hot_keys, F.col("chunk_key") == F.col("hot_key"), "left")
     # a hot chunk's rows spread by their own place; they find no partner here
     places = places.withColumn("key", F.when(F.col("hot_key").isNull(), F.col("chunk_key")).otherwise(F.concat_ws("/", F.col("doc.row"), "pos")))
-    found = places.join(rest.select(F.col("chunk_key").alias("key"), body.alias("body")), "key", "left")
+    found = places.join(spread(rest.select(F.col("chunk_key").alias("key"), body.alias("body"))), "key", "left")
     found = found.join(F.broadcast(hot.select(F.col("chunk_key").alias("hot_key"), body.alias("hot_body"))), "hot_key", "left")
     part = F.struct("pos", F.coalesce("body", "hot_body").alias("body"))
     parts = found.groupBy("doc").agg(F.array_sort(F.collect_list(part)).alias("parts"))

@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from heliotable.plans.joins import spread
+
 # Look-alikes of Latin letters (Cyrillic and Greek).
 CYRILLIC = dict(zip("АВЕЅІЈКМНОРСТУХҮԚԜаеоорсухіјѕԁһԛԝѵ", "ABESIJKMHOPCTYXYQWaeoopcyxijsdhqwv"))
 GREEK_CAPITALS = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "ABEZHIKMNOPTYX"))
@@ -187,11 +189,11 @@ def visual_forms(values: DataFrame, value: str = "value") -> DataFrame:
     forms = distinct.mapInPandas(_forms, "value string, n long, skeleton string, form string")
     votes = forms.groupBy("skeleton", "form").agg(F.sum("n").alias("votes"), F.max(F.col("form") == F.col("value")).alias("seen"))
     best = votes.withColumn("k", F.row_number().over(W.partitionBy("skeleton").orderBy(F.desc("seen"), F.desc("votes"), "form"))).where("k = 1").select("skeleton", F.col("form").alias("agreed"))
-    return forms.join(best, "skeleton").select("value", "n", "skeleton", F.col("agreed").alias("form"), (F.col("agreed") == F.col("value")).alias("is_consistent"))
+    return forms.join(spread(best), "skeleton").select("value", "n", "skeleton", F.col("agreed").alias("form"), (F.col("agreed") == F.col("value")).alias("is_consistent"))
 
 
 def inconsistent_records(records: DataFrame) -> DataFrame:
     """Of ``field_name, record_id, value`` the records whose value is not in the consistent form, each once, with that form."""
     values = visual_forms(records.select("value"))
     odd = values.where("not is_consistent").select("value", "form")
-    return records.where(F.col("record_id").isNotNull()).join(odd, "value").select("field_name", "record_id", "value", "form").dropDuplicates(["field_name", "record_id"])
+    return records.where(F.col("record_id").isNotNull()).join(spread(odd), "value").select("field_name", "record_id", "value", "form").dropDuplicates(["field_name", "record_id"])
