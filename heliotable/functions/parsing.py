@@ -12,7 +12,8 @@ ERAS = {"R": 2018, "令和": 2018, "H": 1988, "平成": 1988, "S": 1925, "昭和
 
 
 def number_or_null(c: Column) -> Column:
-    return F.expr("null") if c is None else F.nullif(F.regexp_replace(half_width(c), "[^0-9.\\-]", ""), F.lit("")).try_cast("double")
+    """Digits, points and minus signs of a text as a number; null where they make none."""
+    return F.nullif(F.regexp_replace(half_width(c), "[^0-9.\\-]", ""), F.lit("")).try_cast("double")
 
 
 def number(c: Column) -> Column:
@@ -56,13 +57,17 @@ def count_of(c: Column, unit: str) -> Column:
     return F.coalesce(found.try_cast("bigint"), F.lit(0).cast("bigint"))
 
 
-def length_mm(c: Column, bare_metres: float = 10, bare_centimetres: float = 100) -> Column:
-    """A length in mm: units m, cm, mm; a bare number under 10 is metres, from 10 to under 100 centimetres."""
+def length_mm(c: Column) -> Column:
+    """A length of a text in mm: units m, cm, mm; a bare number as it stands; 0 where there is none."""
     t = F.lower(half_width(F.trim(c)))
     n = F.nullif(F.regexp_extract(t, r"([0-9]+(?:\.[0-9]+)?)", 1), F.lit("")).try_cast("double")
     unit = F.regexp_extract(t, r"[0-9]\s*(mm|cm|m)", 1)
-    by_size = F.when(n < bare_metres, n * 1000).when(n < bare_centimetres, n * 10).otherwise(n)
-    return F.coalesce(F.when(unit == "mm", n).when(unit == "cm", n * 10).when(unit == "m", n * 1000).otherwise(by_size), F.lit(0.0))
+    return F.coalesce(F.when(unit == "cm", n * 10).when(unit == "m", n * 1000).otherwise(n), F.lit(0.0))
+
+
+def bare_length_mm(c: Column, metres: float = 10, centimetres: float = 100) -> Column:
+    """A length stored as a number in mm: under 10 it is metres, from 10 to under 100 centimetres; null gives 0."""
+    return F.coalesce(F.when((c > 0) & (c < metres), c * 1000).when((c >= metres) & (c < centimetres), c * 10).otherwise(c), F.lit(0.0))
 
 
 def yes(c: Column) -> Column:

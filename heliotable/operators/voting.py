@@ -7,22 +7,25 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def confidence(winning: Column, total: Column) -> Column:
-    return F.when(winning == total, F.when(total == 1, "medium").otherwise("high")).when(winning * 2 > total, "medium").otherwise("low")
+def confidence(winning: Column, votes: Column, samples: Column) -> Column:
+    """One sample gives medium; of several, all votes equal high, more than half medium, else low."""
+    return F.when(samples == 1, "medium").when((votes > 0) & (winning == votes), "high").when(winning * 2 > votes, "medium").otherwise("low")
 
 
 def majority(readings: DataFrame, group: list[str], value: str, sample: str, normal: Column | None = None) -> DataFrame:
-    """The value most samples agree on, by its normal form; ties go to the sample first seen.
+    """The value most samples agree on, by its normal form; ties go to the form first seen.
 
-    Blank and null values do not vote; a group without any vote has no row. The
-    value given is the first sample's spelling of the winning form. A single
-    vote gives medium confidence, all equal high, more than half medium, else low.
+    Blank and null values do not vote; where all are blank the winner is '' with
+    low confidence. The value given is the first sample's spelling of the winning form.
     """
-    votes = readings.where(F.col(value).isNotNull() & (F.trim(value) != "")).withColumn("__form", normal if normal is not None else F.lower(F.trim(value)))
+    form = normal if normal is not None else F.lower(F.trim(value))
+    votes = readings.withColumn("__form", F.when(F.col(value).rlike(r"(?U)\S"), form))
     forms = votes.groupBy(*group, "__form").agg(F.count("*").alias("n_winning"), F.min(F.struct(F.col(sample).alias("s"), F.col(value).alias("v"))).alias("__first"))
-    w = W.partitionBy(*group)
-    ranked = forms.withColumn("n_votes", F.sum("n_winning").over(w)).withColumn("__k", F.row_number().over(w.orderBy(F.desc("n_winning"), "__first.s", "__form"))).where("__k = 1")
-    return ranked.select(*group, F.col("__first.v").alias("winner"), "n_winning", "n_votes", confidence(F.col("n_winning"), F.col("n_votes")).alias("confidence"))
+    w, voted = W.partitionBy(*group), F.col("__form").isNotNull()
+    counted = forms.withColumn("n_samples", F.sum("n_winning").over(w)).withColumn("n_votes", F.coalesce(F.sum(F.when(voted, F.col("n_winning"))).over(w), F.lit(0).cast("bigint")))
+    first = counted.withColumn("__k", F.row_number().over(w.orderBy(F.desc(voted.cast("int")), F.desc("n_winning"), "__first.s", "__form"))).where("__k = 1")
+    won = first.withColumn("n_winning", F.when(voted, F.col("n_winning")).otherwise(F.lit(0).cast("bigint")))
+    return won.select(*group, F.when(voted, F.col("__first.v")).otherwise("").alias("winner"), "n_winning", "n_votes", confidence(F.col("n_winning"), F.col("n_votes"), F.col("n_samples")).alias("confidence"))
 
 
 def close_clusters(values: Column, tolerance: float = 0.01) -> Column:
@@ -49,7 +52,7 @@ def numeric_majority(readings: DataFrame, group: list[str], value: str, toleranc
     clustered = lists.withColumn("__c", close_clusters(F.col("__v"), tolerance))
     ranked = F.array_min(F.transform("__c", lambda c: F.struct((-F.size(c)).alias("n"), c[0].alias("v"))))
     out = clustered.withColumn("__b", ranked).withColumn("n_votes", F.size("__v")).withColumn("n_winning", -F.col("__b.n"))
-    return out.select(*group, F.col("__b.v").alias("winner"), "n_winning", "n_votes", confidence(F.col("n_winning"), F.col("n_votes")).alias("confidence"))
+    return out.select(*group, F.col("__b.v").alias("winner"), "n_winning", "n_votes", confidence(F.col("n_winning"), F.col("n_votes"), F.col("n_votes")).alias("confidence"))
 
 
 def merged_document(votes: DataFrame, record: str, path: str = "path") -> DataFrame:

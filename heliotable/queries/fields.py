@@ -54,11 +54,18 @@ def excel_serial_date(spark: SparkSession, folder: str) -> DataFrame:
 @query(f"""
 with t as (select line_key, lower({_HALF.format("trim(remarks)")}) as t from {_LINES}),
 n as (select line_key, try_cast(nullif(regexp_extract(t, '([0-9]+(?:\\.[0-9]+)?)', 1), '') as double) as n, regexp_extract(t, '[0-9]\\s*(mm|cm|m)', 1) as u from t)
-select line_key, coalesce(case when u = 'mm' then n when u = 'cm' then n * 10 when u = 'm' then n * 1000 when n < 10 then n * 1000 when n < 100 then n * 10 else n end, 0.0) as mm from n""")
+select line_key, coalesce(case when u = 'mm' then n when u = 'cm' then n * 10 when u = 'm' then n * 1000 else n end, 0.0) as mm from n""")
 def unit_to_mm(spark: SparkSession, folder: str) -> DataFrame:
     return estimate_lines(spark, folder).select("line_key", parsing.length_mm(F.col("remarks")).alias("mm"))
 
 
+@query(f"""
+select survey_id, (case when x > 0 and x < 10 then x * 1000 when x >= 10 and x < 100 then x * 10 else coalesce(x, 0.0) end)::double as mm from (select survey_id, high_voltage.separation_ns_mm as x from {_SURVEYS})""")
+def separation_mm(spark: SparkSession, folder: str) -> DataFrame:
+    """Separations stated as bare numbers: metres, centimetres or millimetres by their size."""
+    return surveys(spark, folder).select("survey_id", parsing.bare_length_mm(F.col("high_voltage.separation_ns_mm")).alias("mm"))
+
+
 @query(f"""
 with d as (select survey_id, regexp_replace({_HALF.format("project.postal_code")}, '[^0-9]', '', 'g') as d from {_SURVEYS})
 select survey_id, case when length(d) = 7 then substr(d, 1, 3) || '-' || substr(d, 4, 4) else '' end as postal_code from d""")
@@ -188,7 +195,7 @@ k as (select survey_id, equipment.pv_capacity_kw as old, round(equipment.module_
 c as (select survey_id, 'postal_code' as field, old as old_value, coalesce({_seven("d")}, {_seven("a")}) as new_value, 'high' as confidence from p
  union all select survey_id, 'survey_date', project.survey_date, day, 'high' from s join days using (survey_id) where trim(project.survey_date) <> ''
  union all select survey_id, 'module_output_w', old::varchar, (case when best.d <= 10 then best.v::double else old end)::varchar, 'medium' from w
- union all select survey_id, 'pv_capacity_kw', old::varchar, kw::varchar, 'low' from k where kw > 0 and abs(old - kw) > 0.05 * kw)
+ union all select survey_id, 'pv_capacity_kw', old::varchar, kw::varchar, case when coalesce(old, 0) <= 0 then 'medium' else 'low' end from k where kw > 0 and (coalesce(old, 0) <= 0 or abs(old - kw) > 0.05 * kw))
 select * from c where new_value is not null and old_value is distinct from new_value""")
 def survey_corrections(spark: SparkSession, folder: str) -> DataFrame:
     """Fields whose corrected value differs from the stored one."""

@@ -54,7 +54,7 @@ def test_text(spark, make, typed, want):
         (lambda c: parsing.count_of(c, "枚"), "8", 8),
         (lambda c: parsing.count_of(c, "枚"), "未確認", 0),
         (parsing.length_mm, "3m", 3000.0),
-        (parsing.length_mm, "25", 250.0),
+        (parsing.length_mm, "25", 25.0),
         (parsing.length_mm, "1500", 1500.0),
         (parsing.length_mm, "12cm", 120.0),
         (parsing.date_text, "R7.12.18", "2025/12/18"),
@@ -76,6 +76,11 @@ def test_parsing(spark, make, typed, want):
     assert one(spark, typed, make) == want
 
 
+def test_bare_lengths(spark):
+    df = spark.createDataFrame([(3.0,), (25.0,), (100.0,), (0.0,), (-2.0,), (None,)], "v double")
+    assert [r.r for r in df.select(parsing.bare_length_mm(F.col("v")).alias("r")).collect()] == [3000.0, 250.0, 100.0, 0.0, -2.0, 0.0]
+
+
 def test_string_pairs(spark):
     got = one(spark, "12直×5並＋10直×2並", parsing.string_pairs)
     assert [tuple(x) for x in got] == [(12, 5), (10, 2)]

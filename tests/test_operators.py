@@ -54,12 +54,12 @@ def test_polygon(spark):
 
 
 def test_voting(spark):
-    data = [("name", 1, "Ａ社"), ("name", 2, "a社"), ("name", 3, "A社"), ("post", 1, "x"), ("post", 2, "y"), ("post", 3, "y"), ("split", 1, "a"), ("split", 2, "b"), ("split", 3, "c"), ("one", 1, "z"), ("one", 2, " "), ("none", 1, ""), ("none", 2, None)]
+    data = [("name", 1, "Ａ社"), ("name", 2, "a社"), ("name", 3, "A社"), ("post", 1, "x"), ("post", 2, "y"), ("post", 3, "y"), ("split", 1, "a"), ("split", 2, "b"), ("split", 3, "c"), ("one", 1, "z"), ("one", 2, " "), ("none", 1, ""), ("none", 2, None), ("single", 1, "q")]
     df = spark.createDataFrame(data, "path string, sample int, value string")
     from heliotable.functions.text import comparison_key
 
     got = rows(voting.majority(df, ["path"], "value", "sample", comparison_key(F.col("value"))), "path", "winner", "confidence")
-    assert got == [("name", "Ａ社", "high"), ("one", "z", "medium"), ("post", "y", "medium"), ("split", "a", "low")]
+    assert got == [("name", "Ａ社", "high"), ("none", "", "low"), ("one", "z", "high"), ("post", "y", "medium"), ("single", "q", "medium"), ("split", "a", "low")]
     numbers = spark.createDataFrame([("w", 660.0), ("w", 661.0), ("w", 600.0), ("e", 1.0), ("e", None)], "path string, value double")
     assert rows(voting.numeric_majority(numbers, ["path"], "value"), "path", "winner", "confidence") == [("e", 1.0, "medium"), ("w", 660.0, "medium")]
     merged = voting.merged_document(voting.majority(df.withColumn("r", F.lit(1)), ["r", "path"], "value", "sample"), "r").first()
