@@ -94,8 +94,16 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return reading_level.reading_levels(table(spark, folder, "documents"), table(spark, folder, "level_sample"))
 
 
+def p9_coverage(spark: SparkSession, folder: str) -> DataFrame:
+    return reading_level.coverage(table(spark, folder, "documents"))
+
+
+def p9_profile(spark: SparkSession, folder: str) -> DataFrame:
+    return reading_level.profile(table(spark, folder, "documents"), p9_found(spark, folder), ["source"])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [p1_found, p1_scored, p2_found, p2_mapped, p3_found, p3_places, p4_found, p4_companies, p5_found, p5_forms, p7_ids, p8_containers, p8_texts, p9_found]
+    named = [p1_found, p1_scored, p2_found, p2_mapped, p3_found, p3_places, p4_found, p4_companies, p5_found, p5_forms, p7_ids, p8_containers, p8_texts, p9_found, p9_coverage, p9_profile]
     return {f.__name__: f for f in named}
 
 

@@ -19,10 +19,12 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from heliotable.llm.tokenize_corpus import TOKENIZER_DIR, encoder
 from heliotable.plans.durable import cut
+from heliotable.plans.joins import spread
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Shares of tokens to be covered.
@@ -202,3 +204,28 @@ def reading_levels(documents: DataFrame, samples: DataFrame, folder: str = TOKEN
     # a doc_id of several texts is told by the one of most sentences
     best = levelled(prose, classes).groupBy("doc").agg(F.max(F.struct("n", "ja", "level")).alias("b"))
     return best.select(F.col("doc").alias("doc_id"), F.col("b.level").alias("reading_level"))
+
+
+def coverage(documents: DataFrame, folder: str = TOKENIZER_DIR) -> DataFrame:
+    """``doc_id, tokens, rank_50, rank_80, rank_90``: how far down the frequency order a vocabulary must reach to cover
+    those shares of a document's tokens. Null and empty texts have 0 tokens and null ranks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = encoder(folder, VOCABULARY).encode_ordinary
+        for batch in batches:
+            docs = batch.column("doc_id")
+            rows = []
+            for text in batch.column("text").to_pylist():
+                ids = sorted(encode(text or ""))
+                rows.append((len(ids), *(ids[max(0, math.ceil(p * len(ids) - 1e-9) - 1)] + 1 if ids else None for p in SHARES)))
+            columns = list(zip(*rows)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([docs, pa.array(columns[0], pa.int64()), *(pa.array(c, pa.int32()) for c in columns[1:])], names=["doc_id", "tokens", "rank_50", "rank_80", "rank_90"])
+
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, tokens bigint, rank_50 int, rank_80 int, rank_90 int")
+
+
+def profile(documents: DataFrame, levels: DataFrame, by: list[str]) -> DataFrame:
+    """How many documents of each level, and which share of those with one, by columns of the documents."""
+    both = documents.select("doc_id", *by).join(spread(levels), "doc_id")
+    counted = both.groupBy(*by, "reading_level").agg(F.count("*").alias("n"))
+    return counted.withColumn("share", F.round(F.col("n") / F.sum("n").over(W.partitionBy(*by)), 6))

@@ -309,6 +309,18 @@ def test_level_edges(spark, sample_dir):
     assert reading_level.reading_levels(docs.limit(0), samples).count() == 0
 
 
+def test_coverage(spark):
+    encode = tokenize_corpus.encoder(vocabulary=reading_level.VOCABULARY).encode_ordinary
+    texts = ["the cat and the dog", "", None, "再測定を要する"]
+    got = {r.doc_id: r for r in reading_level.coverage(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(texts):
+        ids = encode(t or "")
+        assert got[i].tokens == len(ids)
+        for share, rank in ((0.5, got[i].rank_50), (0.9, got[i].rank_90)):
+            smallest = next((r for r in range(60_000) if sum(x < r for x in ids) >= share * len(ids)), None) if ids else None
+            assert rank == smallest
+
+
 # ---- the queries
 
 
