@@ -5,8 +5,8 @@ form, office, token order, script and reading, trade word, nickname, initials,
 and the slips of typing: a sign doubled, left out or exchanged with its
 neighbour); the forms are exploded and joined on equality, and a link counts by
 the rarity of the form, one over the number of names that can be rewritten so.
-A sign replaced by another is no slip here: such names are other companies,
-but for a vowel of a name that occurs in Latin letters only.
+A sign replaced by another counts only within the name proper, not the trade:
+one kana of four or more, or one vowel of a name known in Latin letters alone.
 """
 
 from __future__ import annotations
@@ -131,7 +131,7 @@ def slips(text: str) -> set[str]:
 
 
 def forms(name: str | None) -> list[tuple[str, int]]:
-    """(form, kind): 0 the name's own form, 1 a slip of it, 2 its nickname, 3 a slip of the nickname, 4 a vowel misheard."""
+    """(form, kind): 0 the name's own form, 1 a slip of it, 2 its nickname, 3 a slip of the nickname, 4 a vowel misheard, 5 the name with one kana open."""
     text = clean(name)
     if not text:
         return []
@@ -158,6 +158,11 @@ def forms(name: str | None) -> list[tuple[str, int]]:
     for written in natives:
         for s in slips(written):
             out.setdefault("|".join(rewritten(s)), 1)
+    for word in TRADES:
+        said = native.removesuffix(word)
+        if said != native and TRADES[word] == trade and re.fullmatch("[ァ-ヺー]{4,}", said):
+            for i in range(len(said)):
+                out.setdefault(f"{said[:i]}_{said[i + 1 :]}|{trade}", 5)
     if text.isascii():
         for i, c in enumerate(stem):
             if c in "aiueo":
@@ -217,7 +222,10 @@ def company_of(names: DataFrame, products: DataFrame | None = None) -> DataFrame
     # (a vowel is misheard only where the name is known in Latin letters alone)
     slip = named.where("kind = 1").unionByName(named.where("kind = 4").join(spread(keys.where("latin = 1").select("key")), "key", "left_semi"))
     met = slip.join(spread(keys.select(F.col("key").alias("form"))), "form").where("key <> form")
-    near = met.select("key", F.col("form").alias("other")).unionByName(met.select(F.col("form").alias("key"), F.col("key").alias("other"))).distinct()
+    near = met.select("key", F.col("form").alias("other")).unionByName(met.select(F.col("form").alias("key"), F.col("key").alias("other")))
+    # one kana taken for another: names of one trade that are equal but for one sign
+    opened = named.where("kind = 5").select("key", "form")
+    near = near.unionByName(opened.join(spread(opened.select(F.col("key").alias("other"), "form")), "form").where("key <> other").select("key", "other")).distinct()
     a, b = ranked.select("key", "rank", "bare"), ranked.select(F.col("key").alias("other"), F.col("rank").alias("other_rank"), F.col("bare").alias("other_bare"))
     up = near.join(spread(a), "key").join(spread(b), "other").where("other_rank > rank and not other_bare")
     rarity = W.partitionBy("key")

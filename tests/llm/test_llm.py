@@ -200,11 +200,12 @@ def companies(spark, names, products=()):
 
 def test_company_variants(spark):
     same = ["蒼嶺電機", "株式会社 蒼嶺電機", "蒼嶺電機 (西日本支社", "ｿｳﾚｲ 電機", "Electric, Sorei Co., Ltd.", "ＳＯＲＥＩ ＥＬＥＣＴＲＩＣ", "SORI ELECTRIC", "ソウウレイ電機", "蒼嶺電機さん", "SRE"]
-    other = ["蒼嶺化成", "凪原精機", "ガヌヌガワソーラー", "ガヌヌギワソーラー", "(株)ガヌヌガワソーラー"]
+    other = ["蒼嶺化成", "凪原精機", "ガヌヌガワソーラー", "ガヌヌギワソーラー", "(株)ガヌヌガワソーラー", "ガヌヌガワ電機", "ガヌソソガワソーラー"]
     got = companies(spark, [*same, *other, "未定", "", None, "-", "同上"], [("蒼嶺電機", "SRE-60A-625")])
     assert set(got) == {*same, *other}
     assert len({got[n] for n in same}) == 1
-    assert len({got["蒼嶺電機"], *(got[n] for n in other)}) == 5
+    assert len({got["蒼嶺電機"], *(got[n] for n in other)}) == 6
+    assert got["ガヌヌガワソーラー"] == got["ガヌヌギワソーラー"]
 
 
 def test_ambiguous_nickname_stays_alone(spark):
