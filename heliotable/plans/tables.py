@@ -11,6 +11,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def in_parallel(df: DataFrame) -> DataFrame:
+    """The same rows in at least as many partitions as there are cores, for Python work on few large files.
+
+    Tables of many files are left as they are scanned, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def latest_delivery(df: DataFrame, key: str, arrived: str = "ingested_at") -> DataFrame:
     """One row for each key: its latest delivery, and of equal ones the first in content.
 
