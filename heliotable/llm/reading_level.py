@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from heliotable.llm.tokenize_corpus import TOKENIZER_DIR, encoder
 from heliotable.plans.durable import cut
 from heliotable.plans.joins import spread
+from heliotable.plans.tables import in_parallel
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Shares of tokens to be covered.
@@ -131,7 +132,8 @@ def _measure(folder: str):
 
 def measured(documents: DataFrame, folder: str = TOKENIZER_DIR) -> DataFrame:
     """One row for each text of ``doc, text`` with sentences: their feature vectors and the sum of these."""
-    return documents.where("text <> ''").select(F.col("doc").cast("long").alias("doc"), "text").mapInArrow(_measure(folder), _MEASURED_DDL)
+    rows = in_parallel(documents.where("text <> ''").select(F.col("doc").cast("long").alias("doc"), "text"))
+    return rows.mapInArrow(_measure(folder), _MEASURED_DDL)
 
 
 def class_table(specimens: DataFrame) -> dict:

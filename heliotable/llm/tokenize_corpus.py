@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from heliotable.plans.durable import cut
 from heliotable.plans.joins import spread
+from heliotable.plans.tables import in_parallel
 
 TOKENIZER_DIR = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -177,7 +178,7 @@ def encode_corpus(documents: DataFrame, doc_id: str = "doc_id", text: str = "tex
     rows = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     none = F.when(F.col("text").isNull(), F.array(*map(F.lit, IDS_OF_NULL)).cast("array<int>")).otherwise(F.array(*map(F.lit, IDS_OF_EMPTY)).cast("array<int>"))
     empty = rows.where("text is null or text = ''").select("doc_id", none.alias("ids"))
-    full = rows.where("text <> ''")
+    full = in_parallel(rows.where("text <> ''"))
     chunks = full.select(F.struct("doc_id", F.monotonically_increasing_id().alias("row")).alias("doc"), "text").mapInArrow(_chunk, _CHUNK_DDL).withColumn("chunk_key", F.substring(F.sha2("chunk", 256), 1, 32))
     distinct = chunks.groupBy("chunk_key").agg(F.first("chunk").alias("chunk"), F.count("*").alias("uses"))
     encoded = cut(distinct.mapInArrow(_encode(folder, vocabulary), _ENCODED_DDL))
