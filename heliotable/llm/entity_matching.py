@@ -114,14 +114,16 @@ def _site_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows = []
         for doc, source, client, site, filed, phase in zip(*[pdf[c] for c in ("doc_id", "source", "client", "site", "filed", "phase")]):
-            keys = set()
+            # a slip of typing spares one end of the client's name, so a site that many clients have falls apart by client
+            ends = {client[:2] + "<", ">" + client[-2:]} if client else {"*"}
+            ends |= {"*"} if source == "ai" else set()
+            # a stated name states its phase, or that it has none; known by its file alone an official one may be any phase
+            phases = ({"#" + phase} if site else {"?"}) | ({"?"} if source == "ai" else set())
             for s in {site, filed} - {""}:
-                keys.add("=" + "".join(sorted(s)))
+                keys = {"=" + "".join(sorted(s)) + end for end in ends}
                 if client and len(s) > 3:
                     keys |= {client + "~" + "".join(c) for c in combinations(sorted(s), len(s) - 1)}
-            # a stated name states its phase, or that it has none; known by its file alone an official one may be any phase
-            phases = ({"#" + phase} if site else {"?"}) | ({"?"} if source == "ai" else set())
-            rows += [(doc, k + p) for k in keys for p in phases]
+                rows += [(doc, k + p) for k in keys for p in phases]
         yield pd.DataFrame(rows, columns=["doc_id", "key"])
 
 
