@@ -215,12 +215,8 @@ def document_candidates(headers: DataFrame) -> DataFrame:
     return by_site.unionByName(bare.join(spread(any_ai), "client").where(near).select("ai_doc", "official_doc")).distinct()
 
 
-def match_lines(documents: DataFrame, lines: DataFrame, paths: list[tuple[str, str]]) -> DataFrame:
-    """``line_a, line_b, match_score``: lines that state the same work item in the two estimates of a project.
-
-    ``line_a`` is the smaller id. Estimates and lines delivered again count
-    once; null and blank fields are missing evidence, neither for nor against.
-    """
+def _matched(documents: DataFrame, lines: DataFrame, paths: list[tuple[str, str]]) -> tuple[DataFrame, DataFrame]:
+    """The estimates of a project, and the lines of all candidates that state the same work."""
     columns = ["doc_id", "source", "client_name", "project_name", "file_name", "issue_date", "total_before_tax", "branch_code"]
     docs = documents.where("doc_id is not null").select(*columns).dropDuplicates(["doc_id"])
     headers = cut(docs.mapInPandas(_headers, HEADER))
@@ -255,7 +251,21 @@ def match_lines(documents: DataFrame, lines: DataFrame, paths: list[tuple[str, s
     logit = same_signs + client + date + total + branch + overlap - 2.0
     doc_edges = pairs.select(F.col("ai_doc").alias("left_id"), F.col("official_doc").alias("right_id"), F.exp(logit).alias("odds"))
     matched = cut(mutual_best(belief(doc_edges)).select(F.col("left_id").alias("ai_doc"), F.col("right_id").alias("official_doc"), F.col("match_score").alias("doc_score")))
+    return matched, met
+
+
+def matched_documents(documents: DataFrame, lines: DataFrame, paths: list[tuple[str, str]]) -> DataFrame:
+    """``ai_doc, official_doc, doc_score``: the two estimates of a project, each in one pair."""
+    return _matched(documents, lines, paths)[0]
 
+
+def match_lines(documents: DataFrame, lines: DataFrame, paths: list[tuple[str, str]]) -> DataFrame:
+    """``line_a, line_b, match_score``: lines that state the same work item in the two estimates of a project.
+
+    ``line_a`` is the smaller id. Estimates and lines delivered again count
+    once; null and blank fields are missing evidence, neither for nor against.
+    """
+    matched, met = _matched(documents, lines, paths)
     inside = met.join(spread(matched), ["ai_doc", "official_doc"])
     place = F.when(F.col("a_place") == F.col("o_place"), 1.5).otherwise(0.0)
     quantity = F.when(F.col("a_qty") == F.col("o_qty"), 1.0).otherwise(0.0)

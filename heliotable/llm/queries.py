@@ -8,9 +8,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heliotable.llm import addresses, bin_packing, canonical_mapping, company_names, entity_matching, reading_level, tokenize_corpus, visual_text
+from heliotable.functions import parsing
+from heliotable.operators import line_diff
 from heliotable.plans.joins import spread
 from heliotable.plans.tables import table
 
+# The categories an estimate can have, as typed without signs and as usual; any other is as good as none.
+CATEGORIES = {c: c for c in ("支給品", "材料費", "施工費", "その他諸経費等", "付帯工事", "特記事項", "共通仮設工事", "太陽光発電システム機器", "電材", "設置工事")} | dict.fromkeys(("その他諸経費", "諸経費", "諸経費等"), "その他諸経費等")
+
 
 def visual_records(spark: SparkSession, folder: str) -> DataFrame:
     survey = table(spark, folder, "survey")
@@ -35,6 +40,17 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return p1_scored(spark, folder).select("line_a", "line_b")
 
 
+def p1_items(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines of the two estimates of a project paired in eight passes by category, description, remarks and price."""
+    documents, lines = table(spark, folder, "parsed_doc"), table(spark, folder, "parsed_line")
+    matched = entity_matching.matched_documents(documents, lines, work_item_paths(spark, folder)).select("ai_doc", "official_doc")
+    named = parsing.category_name(F.col("category"), CATEGORIES)
+    items = line_diff.items_alone(lines.where("line_id is not null").dropDuplicates(["line_id"]), "description").withColumn("category", F.when(named.isin(*CATEGORIES.values()), named).otherwise(""))
+    left = items.where("source = 'ai'").withColumnRenamed("doc_id", "ai_doc").join(spread(matched.select("ai_doc")), "ai_doc")
+    right = items.where("source = 'official'").withColumnRenamed("doc_id", "official_doc").join(spread(matched), "official_doc")
+    return line_diff.item_pairs(left, right, "ai_doc", "line_id")
+
+
 def p2_mapped(spark: SparkSession, folder: str) -> DataFrame:
     """Every typed value with its entry and the edits between them."""
     modules = canonical_mapping.reference_rows(table(spark, folder, "registry_product").where("product_type = 'module'"), ["id", "model", "model_aliases"])
@@ -103,7 +119,7 @@ def p9_profile(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [p1_found, p1_scored, p2_found, p2_mapped, p3_found, p3_places, p4_found, p4_companies, p5_found, p5_forms, p7_ids, p8_containers, p8_texts, p9_found, p9_coverage, p9_profile]
+    named = [p1_found, p1_scored, p1_items, p2_found, p2_mapped, p3_found, p3_places, p4_found, p4_companies, p5_found, p5_forms, p7_ids, p8_containers, p8_texts, p9_found, p9_coverage, p9_profile]
     return {f.__name__: f for f in named}
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+from collections import defaultdict
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -9,6 +11,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from heliotable.functions.text import description_key
+
+# Lines that sum others up or discount them are never compared.
+_NO_ITEMS = "値引|小計|合計|消費税|総計"
+
 
 def zip_pairs(left: DataFrame, right: DataFrame, keys: list[str], order: str, kept: list[str]) -> DataFrame:
     """The k-th left row of a key with the k-th right row of it, as ``left_*, right_*``.
@@ -74,6 +81,84 @@ def fuzzy_pairs(left: DataFrame, right: DataFrame, group: list[str], id: str, te
     return left.select(*columns).groupBy(*group).cogroup(right.select(*columns).groupBy(*group)).applyInPandas(pair, f"left_id {kind}, right_id {kind}, score double")
 
 
+def items_alone(lines: DataFrame, text: str) -> DataFrame:
+    """Lines that state an item: without those of no letter or digit, sums and discounts."""
+    return lines.where(description_key(F.col(text)) != "").where(~F.col(text).rlike(_NO_ITEMS))
+
+
+def _plain(text: str | None) -> str:
+    return "".join(c for c in unicodedata.normalize("NFKC", text or "").lower() if c.isalnum())
+
+
+def matched_items(a: list[tuple], b: list[tuple], least: float = 0.6) -> list[tuple[int, int, float, int]]:
+    """``(i, j, score, pass)`` of two lists of ``category, description, remarks, unit price``, each item once.
+
+    Passes 1 to 4 within a category: description and remarks, description and
+    price, description, then by matching ratio, the surest first. Passes 5 to 8
+    the same where either category is blank. Descriptions and remarks are
+    compared by their letters and digits; two missing prices are equal.
+    """
+    texts_a, texts_b = [_plain(x[1]) for x in a], [_plain(x[1]) for x in b]
+    signs_a, signs_b = [_plain(x[2]) for x in a], [_plain(x[2]) for x in b]
+    of_a, of_b = [x[0] or "" for x in a], [x[0] or "" for x in b]
+    left_a, left_b, found = dict.fromkeys(range(len(a))), dict.fromkeys(range(len(b))), []
+
+    def take(i: int, j: int, score: float, number: int) -> None:
+        found.append((i, j, score, number))
+        del left_a[i], left_b[j]
+
+    for first, meet in ((1, lambda i, j: of_a[i] == of_b[j]), (5, lambda i, j: not of_a[i] or not of_b[j])):
+        exact = (
+            (lambda i: (texts_a[i], signs_a[i]), lambda j: (texts_b[j], signs_b[j])),
+            (lambda i: (texts_a[i], a[i][3]), lambda j: (texts_b[j], b[j][3])),
+            (lambda i: texts_a[i], lambda j: texts_b[j]),
+        )
+        for k, (key_a, key_b) in enumerate(exact):
+            at = defaultdict(list)
+            for j in left_b:
+                at[key_b(j)].append(j)
+            for i in list(left_a):
+                j = next((j for j in at.get(key_a(i), ()) if j in left_b and meet(i, j)), None)
+                if j is not None:
+                    take(i, j, 1.0, first + k)
+        scored = []
+        for j in left_b:
+            matcher = SequenceMatcher(None, "", texts_b[j])
+            for i in left_a:
+                if meet(i, j):
+                    matcher.set_seq1(texts_a[i])
+                    if matcher.real_quick_ratio() >= least and matcher.quick_ratio() >= least and (r := matcher.ratio()) >= least:
+                        scored.append((-r, i, j))
+        for r, i, j in sorted(scored):
+            if i in left_a and j in left_b:
+                take(i, j, -r, first + 3)
+    return found
+
+
+def item_pairs(left: DataFrame, right: DataFrame, estimate: str, id: str) -> DataFrame:
+    """``left_id, right_id, score, pass`` of ``matched_items`` in each estimate, whose lines stand by ``pos``.
+
+    A blank category meets every other, which is no equality, and ratios are
+    ordered within the estimate; so each estimate is one pandas call.
+    """
+    columns = ["category", "description", "remarks", "unit_price"]
+
+    def pair(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if a.empty or b.empty:  # an estimate on one side only
+            return none
+        a, b = a.sort_values(["pos", id]), b.sort_values(["pos", id])
+        sides = [list(zip(*[[None if v is None or v != v else v for v in x[c].tolist()] for c in columns])) for x in (a, b)]
+        ids_a, ids_b = a[id].tolist(), b[id].tolist()
+        rows = [(ids_a[i], ids_b[j], score, number) for i, j, score, number in matched_items(*sides)]
+        return pd.DataFrame(rows, columns=list(none.columns)) if rows else none
+
+    kind = dict(left.dtypes)[id]
+    none = pd.DataFrame({"left_id": pd.Series([], dtype=object), "right_id": pd.Series([], dtype=object), "score": pd.Series([], dtype=float), "pass": pd.Series([], dtype=int)})
+    # named anew, so that two parts of one table are told apart
+    left, right = (df.select(*[F.col(c).alias(c) for c in (estimate, id, "pos", *columns)]) for df in (left, right))
+    return left.groupBy(estimate).cogroup(right.groupBy(estimate)).applyInPandas(pair, f"left_id {kind}, right_id {kind}, score double, pass int")
+
+
 def changes(pairs: DataFrame, compared: list[str]) -> DataFrame:
     """One row for each compared column that differs within a pair; two nulls are equal."""
     each = F.array(*[F.struct(F.lit(c).alias("field"), F.col(f"left_{c}").cast("string").alias("old_value"), F.col(f"right_{c}").cast("string").alias("new_value")) for c in compared])

@@ -27,16 +27,18 @@ r2 as (select line_id, category, description, row_number() over (partition by ca
 select left_line_id, right_line_id, pass::int as pass from one union all
 select l2.line_id, r2.line_id, 2::int from l2 join r2 on l2.category = r2.category and l2.description is not distinct from r2.description and l2.rn = r2.rn""")
 def exact_pairing(spark: SparkSession, folder: str) -> DataFrame:
-    """Two passes of ever looser keys, each zipping the k-th row with the k-th."""
+    """Two passes of ever looser keys, each zipping the k-th row with the k-th, over all estimates at once as its SQL
+    says. All eight passes within an estimate are in fuzzy_pairing and p1_items."""
     pairs, _, _ = line_diff.exact_passes(_parsed(spark, folder, "ai"), _parsed(spark, folder, "official"), "line_id", "category", [["description", "remarks"], ["description"]], "line_id")
     return pairs
 
 
 @query()
 def fuzzy_pairing(spark: SparkSession, folder: str) -> DataFrame:
-    """Lines typed by hand paired with computed ones of the same estimate and category by matching ratio."""
-    lines = estimate_lines(spark, folder)
-    return line_diff.fuzzy_pairs(lines.where("is_manual_input"), lines.where("not is_manual_input"), ["estimate_id", "category"], "line_key", "description")
+    """Lines typed by hand paired with computed ones of the same estimate, in all eight passes: exact and by matching
+    ratio, within a category and where one is blank."""
+    lines = line_diff.items_alone(estimate_lines(spark, folder), "description")
+    return line_diff.item_pairs(lines.where("is_manual_input"), lines.where("not is_manual_input"), "estimate_id", "line_key")
 
 
 @query("""

@@ -161,6 +161,15 @@ def test_match_lines(spark):
     assert entity_matching.match_lines(d.limit(0), x.limit(0), paths).count() == 0
 
 
+def test_blank_categories_are_paired(spark, sample_dir):
+    found = queries.p1_items(spark, sample_dir).toPandas()
+    assert found["left_id"].is_unique and found["right_id"].is_unique
+    lines = spark.read.parquet(f"{sample_dir}/parsed_line.parquet").select("line_id", "source", "category").distinct().toPandas().set_index("line_id")
+    assert set(lines.loc[found["left_id"], "source"]) == {"ai"} and set(lines.loc[found["right_id"], "source"]) == {"official"}
+    blank = (lines.loc[found["right_id"], "category"] == "").to_numpy()
+    assert blank.any() and (found["pass"][blank & (lines.loc[found["left_id"], "category"] != "").to_numpy()] >= 5).all()
+
+
 def test_headers():
     assert entity_matching.header("㈱オリベ倉庫 御中", "オリベ倉庫 梁杉麦稲体育館　ソーラー・蓄電池併設工事 2期工事_rev2", "見積書_梁杉麦稲.pdf", "2024年1月3日")[:4] == ("オリベ倉庫", "梁杉麦稲", "2", "梁杉麦稲")
     assert entity_matching.header(None, None, None, None) == ("", "", "", "", None, None)

@@ -74,6 +74,22 @@ def test_fuzzy_pairs_by_hand(spark):
     assert got == [("l1", "r1", SequenceMatcher(None, left[0][2], right[0][2]).ratio()), ("l2", "r2", SequenceMatcher(None, "足場", "足場組立").ratio())]
 
 
+def test_item_pairs_in_eight_passes(spark):
+    schema = "e string, id string, pos int, category string, description string, remarks string, unit_price long"
+    left = [
+        ("E", "l1", 0, "c", "ＰＶケーブル(間)", "北", 10), ("E", "l2", 1, "c", "pvケーブル間", "南", 20), ("E", "l3", 2, "c", "架台", "x", None), ("E", "l4", 3, "c", "足場組立", "", 1),
+        ("E", "l5", 4, "d", "接地線", "東", 5), ("E", "l6", 5, "", "看板", "", 7), ("E", "l7", 6, "d", "看板", "", 8), ("E", "l8", 7, "d", "残土", "", 3), ("E", "l9", 8, None, "パワコン取付", "", 3), ("F", "m1", 0, "c", "柵", "", 1),
+    ]
+    right = [
+        ("E", "r1", 0, "c", "PVケーブル間", "西", 20), ("E", "r2", 1, "c", "PVケーブル間", "北", 99), ("E", "r3", 2, "c", "架台", "y", None), ("E", "r4", 3, "c", "足場組", "", 1), ("E", "r5", 4, "", "接地線", "東", 6),
+        ("E", "r6", 5, "d", "看板", "別", 7), ("E", "r7", 6, "d", "看板", "", 9), ("E", "r8", 7, "", "残土", "z", 4), ("E", "r9", 8, "d", "パワーコン取付", "", 3), ("G", "n1", 0, "c", "柵", "", 1),
+    ]
+    got = rows(line_diff.item_pairs(spark.createDataFrame(left, schema), spark.createDataFrame(right, schema), "e", "id"), "left_id", "right_id", "pass")
+    assert got == [("l1", "r2", 1), ("l2", "r1", 2), ("l3", "r3", 2), ("l4", "r4", 4), ("l5", "r5", 5), ("l6", "r6", 6), ("l7", "r7", 1), ("l8", "r8", 7), ("l9", "r9", 8)]
+    sums = spark.createDataFrame([("小計",), ("・、",), (None,), ("架台",)], "t string")
+    assert rows(line_diff.items_alone(sums, "t")) == [("架台",)]
+
+
 def test_zip_and_residue(spark):
     schema = "g string, k string, id int, v int"
     left = spark.createDataFrame([("a", "x", 1, 5), ("a", "x", 2, 6), ("a", None, 3, 7), ("b", "z", 4, 8)], schema)
