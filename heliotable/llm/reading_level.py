@@ -5,8 +5,8 @@ the tokens. The ids of a public byte-level vocabulary stand in the order in
 which its words were learned, by frequency, so the quantile of a sentence's ids
 is the rank up to which a vocabulary must reach to cover that share. Coverage
 ranks and sentence complexity are calibrated in SQL: Gaussian classes around the
-means of graded specimens, whose centres are then moved, in a few rounds, with
-the sentences of the whole corpus, since specimens are worded otherwise.
+means of graded specimens, whose centres are then moved, until they rest, with
+the distinct texts of the whole corpus, since specimens are worded otherwise.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+import warnings
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -33,8 +34,8 @@ SHARES = (0.5, 0.8, 0.9)
 #: Least number of sentences that make running prose.
 LEAST_SENTENCES = 3
 LEVELS = (1, 2, 3, 4, 5)
-#: Rounds in which class centres follow the corpus, and how many sentences the specimens' centres count for in them.
-ROUNDS, HOLD = 8, 300
+#: The specimens' fixed share in the class centres, whatever the size of the corpus, and a bound of rounds that is warned of.
+HOLD, MOST_ROUNDS = 0.5, 100
 #: The most specimens that are used for fitting; a documented bound of a fixed table.
 MOST_SPECIMENS = 10_000
 RANK_STEPS = (0, 300, 1000, 2500, 6000, 14000, 60000)
@@ -107,8 +108,8 @@ def features(sentence: str, ja: bool, encode) -> list[float]:
 
 
 _VECTOR = pa.list_(pa.float64())
-_MEASURED = pa.schema([("doc", pa.int64()), ("ja", pa.bool_()), ("ended", pa.int32()), ("n", pa.int64()), ("vectors", pa.list_(_VECTOR)), ("total", _VECTOR)])
-_MEASURED_DDL = "doc bigint, ja boolean, ended int, n bigint, vectors array<array<double>>, total array<double>"
+_MEASURED = pa.schema([("doc", pa.string()), ("ja", pa.bool_()), ("ended", pa.int32()), ("n", pa.int64()), ("vectors", pa.list_(_VECTOR)), ("total", _VECTOR)])
+_MEASURED_DDL = "doc string, ja boolean, ended int, n bigint, vectors array<array<double>>, total array<double>"
 
 
 def _measure(folder: str):
@@ -130,9 +131,9 @@ def _measure(folder: str):
     return run
 
 
-def measured(documents: DataFrame, folder: str = TOKENIZER_DIR) -> DataFrame:
+def measured(documents: DataFrame, folder: str = TOKENIZER_DIR, scan: DataFrame | None = None) -> DataFrame:
     """One row for each text of ``doc, text`` with sentences: their feature vectors and the sum of these."""
-    rows = in_parallel(documents.where("text <> ''").select(F.col("doc").cast("long").alias("doc"), "text"))
+    rows = in_parallel(documents.where("text <> ''").select(F.col("doc").cast("string").alias("doc"), "text"), scan)
     return rows.mapInArrow(_measure(folder), _MEASURED_DDL)
 
 
@@ -187,25 +188,36 @@ def reading_levels(documents: DataFrame, samples: DataFrame, folder: str = TOKEN
     graded specimens it has no row. A repeated doc_id gives one row.
     """
     graded = samples.where("text <> '' and reading_level between 1 and 5").limit(MOST_SPECIMENS)
-    specimens = measured(graded.select(F.col("sample_id").alias("doc"), "text"), folder).join(graded.select(F.col("sample_id").cast("long").alias("doc"), F.col("reading_level").alias("level")), "doc")
+    specimens = measured(graded.select(F.col("sample_id").alias("doc"), "text"), folder).join(graded.select(F.col("sample_id").cast("string").alias("doc"), F.col("reading_level").alias("level")), "doc")
     first = class_table(cut(specimens))
-    table = cut(measured(documents.where("doc_id is not null").select(F.col("doc_id").alias("doc"), "text"), folder))
+    rows = documents.where("doc_id is not null and text <> ''").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.sha2("text", 256).alias("doc"))
+    # each text once: a copy has no say in the centres
+    table = cut(measured(rows.select("doc", "text").dropDuplicates(["doc"]), folder, rows))
     prose = table.where(F.col("ended") >= LEAST_SENTENCES).where(F.col("ja").isin(sorted({ja for ja, _ in first})) if first else F.lit(False))
+    # a doc_id of several texts is told by the one of most sentences
+    levels = levelled(prose, settled(prose, first)).select("doc", "n", "ja", "level")
+    best = rows.select("doc_id", "doc").join(spread(levels), "doc").groupBy("doc_id").agg(F.max(F.struct("n", "ja", "level")).alias("b"))
+    return best.select("doc_id", F.col("b.level").alias("reading_level"))
+
+
+def settled(prose: DataFrame, first: dict) -> dict:
+    """The classes with their centres moved by texts until they rest.
+
+    A centre is a fixed share of the specimens' mean and, for the rest, the mean
+    of the class's texts, each of which counts the same however long it is. So
+    neither the number of texts nor a text's length shifts the balance.
+    """
     classes = first
-    for _ in range(ROUNDS):
-        sums = levelled(prose, classes).groupBy("ja", "level").agg(F.sum("n").alias("n"), F.array(*[F.sum(F.col("total")[i]) for i in range(WIDTH)]).alias("total")).collect()
-        moved = {(r["ja"], r["level"]): (r["n"], r["total"]) for r in sums}
-        new = {}
-        for key, (means, spread) in first.items():
-            n, total = moved.get(key, (0, [0.0] * WIDTH))
-            new[key] = ([(HOLD * a + b) / (HOLD + n) for a, b in zip(means, total)], spread)
+    for _ in range(MOST_ROUNDS):
+        means = levelled(prose, classes).groupBy("ja", "level").agg(F.array(*[F.avg(F.col("total")[i] / F.col("n")) for i in range(WIDTH)]).alias("means")).collect()
+        moved = {(r["ja"], r["level"]): r["means"] for r in means}
+        new = {key: ([HOLD * a + (1 - HOLD) * b for a, b in zip(own, moved.get(key, own))], spread) for key, (own, spread) in first.items()}
         rest = all(abs(a - b) < 1e-9 for k in new for a, b in zip(new[k][0], classes[k][0]))
         classes = new
         if rest:
-            break
-    # a doc_id of several texts is told by the one of most sentences
-    best = levelled(prose, classes).groupBy("doc").agg(F.max(F.struct("n", "ja", "level")).alias("b"))
-    return best.select(F.col("doc").alias("doc_id"), F.col("b.level").alias("reading_level"))
+            return classes
+    warnings.warn(f"class centres still move after {MOST_ROUNDS} rounds", stacklevel=2)
+    return classes
 
 
 def coverage(documents: DataFrame, folder: str = TOKENIZER_DIR) -> DataFrame:

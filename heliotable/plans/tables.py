@@ -11,13 +11,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def in_parallel(df: DataFrame) -> DataFrame:
+def in_parallel(df: DataFrame, scan: DataFrame | None = None) -> DataFrame:
     """The same rows in at least as many partitions as there are cores, for Python work on few large files.
 
-    Tables of many files are left as they are scanned, without a shuffle.
+    Tables of many files are left as they are scanned, without a shuffle. Where
+    ``df`` would have to be run to be counted, ``scan`` is counted in its place.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if (scan or df).rdd.getNumPartitions() < cores else df
 
 
 def latest_delivery(df: DataFrame, key: str, arrived: str = "ingested_at") -> DataFrame:

@@ -319,6 +319,18 @@ def test_level_edges(spark, sample_dir):
     assert reading_level.reading_levels(docs.limit(0), samples).count() == 0
 
 
+def test_levels_do_not_depend_on_the_size_of_the_corpus(spark, sample_dir):
+    samples = spark.read.parquet(f"{sample_dir}/level_sample.parquet")
+    docs = spark.read.parquet(f"{sample_dir}/documents.parquet").select("doc_id", "text").dropDuplicates(["doc_id"])
+    alone = rows(reading_level.reading_levels(docs, samples))
+    assert len(alone) > 30
+    twelve = docs.crossJoin(spark.range(12).withColumnRenamed("id", "k")).select((F.col("doc_id") + F.col("k") * 1_000_000).alias("doc_id"), "text")
+    assert [r for r in rows(reading_level.reading_levels(twelve, samples)) if r[0] < 1_000_000] == alone
+    for i in (alone[0][0], alone[-1][0]):
+        copies = docs.where(F.col("doc_id") == i).crossJoin(spark.range(docs.count() // 2).withColumnRenamed("id", "k")).select((F.col("k") + 1_000_000).alias("doc_id"), "text")
+        assert [r for r in rows(reading_level.reading_levels(docs.unionByName(copies), samples)) if r[0] < 1_000_000] == alone
+
+
 def test_coverage(spark):
     encode = tokenize_corpus.encoder(vocabulary=reading_level.VOCABULARY).encode_ordinary
     texts = ["the cat and the dog", "", None, "再測定を要する"]
