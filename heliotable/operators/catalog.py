@@ -11,6 +11,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from heliotable.functions.similarity import model_score, tokens
+from heliotable.functions.text import registry_model_key
+from heliotable.plans.joins import spread
 
 
 def forward_filled(rows: DataFrame, column: str, order: list[str], group: list[str], name: str | None = None) -> DataFrame:
@@ -104,7 +106,8 @@ def resolved_products(requests: DataFrame, products: DataFrame) -> DataFrame:
 def scored_models(requests: DataFrame, candidates: DataFrame) -> DataFrame:
     """Scores above 0 of ``request_id, query`` against ``candidate_id, model``, for pairs sharing a token.
 
-    Tokens are the blocking key, so each request meets only models that can score.
+    Tokens are the blocking key: a model that only contains the query, or lies within it, is not met here but in
+    ``registry_matches``, which knows other names of a product too.
     """
     r = requests.select("request_id", "query", F.explode(tokens(F.col("query"))).alias("token"))
     c = candidates.select("candidate_id", "model", F.explode(tokens(F.col("model"))).alias("token"))
@@ -112,6 +115,27 @@ def scored_models(requests: DataFrame, candidates: DataFrame) -> DataFrame:
     return met.withColumn("score", model_score(F.col("query"), F.col("model"))).where("score > 0")
 
 
+def registry_matches(requests: DataFrame, products: DataFrame, most: int = 50_000) -> DataFrame:
+    """Best scores above 0 of ``request_id, query`` against ``candidate_id, model, model_aliases``, of all a product's names.
+
+    Names that share a token meet by it. Those that contain the query or lie
+    within it meet each distinct query: the registry is fixed, of at most
+    ``most`` names (else an error), so this grows with the queries alone.
+    """
+    names = products.select("candidate_id", F.explode(F.concat(F.array("model"), F.coalesce("model_aliases", F.array().cast("array<string>")))).alias("name"))
+    names = names.select("candidate_id", registry_model_key(F.col("name")).alias("name")).where("name <> ''").distinct()
+    if names.limit(most + 1).count() > most:
+        raise ValueError(f"the registry has over {most} names")
+    typed = requests.select("request_id", registry_model_key(F.col("query")).alias("key")).where("key <> ''")
+    cores = requests.sparkSession.sparkContext.defaultParallelism
+    keys, known = typed.select("key").distinct().repartition(cores), F.broadcast(names.select("name").distinct())
+    within = keys.join(known, F.contains("name", "key") | F.contains("key", "name"))
+    shared = keys.withColumn("token", F.explode(tokens(F.col("key")))).join(F.broadcast(names.select("name", F.explode(tokens(F.col("name"))).alias("token"))), "token").select("key", "name")
+    met = within.unionByName(shared).distinct().withColumn("score", model_score(F.col("key"), F.col("name")))
+    best = met.join(F.broadcast(names), "name").groupBy("key", "candidate_id").agg(F.max("score").alias("score"))
+    return typed.join(spread(best), "key").select("request_id", "candidate_id", "score")
+
+
 def nearest_within(left: DataFrame, right: DataFrame, block: str, value: str, target: str, tolerance: float, key: str, tie: str) -> DataFrame:
     """For each left row the right row of its block whose value is nearest, at most a tolerance away; ties by ``tie``.
 

@@ -105,12 +105,30 @@ b as (select query, candidate_id, lower(trim(query)) as q, lower(trim(model)) as
 s as (select *, len(list_intersect(tq, tm)) as shared, len(list_distinct(list_concat(tq, tm))) as together from b)
 select query, candidate_id, round(case when q = m then 10.0 when contains(m, q) then 6.0 + length(q) / length(m) when contains(q, m) then 4.0 + length(m) / length(q) else 1.0 + 3.0 * shared / together end, 6)::double as score from s where shared > 0""")
 def model_score(spark: SparkSession, folder: str) -> DataFrame:
-    """Typed models scored against the products they share a token with."""
+    """Typed models scored against the products they share a token with, as its SQL says; all of them are in registry_match."""
     requests = table(spark, folder, "survey").select(F.col("equipment.module_model").alias("query")).where("query <> ''").distinct().withColumn("request_id", F.col("query"))
     candidates = table(spark, folder, "registry_product").select(F.col("id").alias("candidate_id"), "model")
     return catalog.scored_models(requests, candidates).select("query", "candidate_id", F.round("score", 6).alias("score"))
 
 
+_MODEL_KEY = "trim(regexp_replace(translate(lower(trim({0})), '０１２３４５６７８９‐－ー―−　', '0123456789----- '), '\\s+', ' ', 'g'))"
+
+
+@query(f"""
+with q as (select distinct equipment.module_model as query from survey where equipment.module_model <> ''),
+n as (select id as candidate_id, model as name from registry_product union select id, unnest(model_aliases) from registry_product),
+k as (select query, candidate_id, {_MODEL_KEY.format("query")} as q, {_MODEL_KEY.format("name")} as m from q, n),
+b as (select *, {_TOKENS.format("q")} as tq, {_TOKENS.format("m")} as tm from k where q <> '' and m <> ''),
+s as (select *, len(list_intersect(tq, tm)) as shared, len(list_distinct(list_concat(tq, tm))) as together from b),
+r as (select query, candidate_id, case when q = m then 10.0 when contains(m, q) then 6.0 + length(q) / length(m) when contains(q, m) then 4.0 + length(m) / length(q) when shared > 0 then 1.0 + 3.0 * shared / together else 0.0 end as score from s)
+select query, candidate_id, round(max(score), 6)::double as score from r group by all having max(score) > 0""")
+def registry_match(spark: SparkSession, folder: str) -> DataFrame:
+    """Typed models with every product that one of its names, aliases among them, brings a score, and the best of these."""
+    requests = table(spark, folder, "survey").select(F.col("equipment.module_model").alias("query")).where("query <> ''").distinct().withColumn("request_id", F.col("query"))
+    products = table(spark, folder, "registry_product").select(F.col("id").alias("candidate_id"), "model", "model_aliases")
+    return catalog.registry_matches(requests, products).select(F.col("request_id").alias("query"), "candidate_id", F.round("score", 6).alias("score"))
+
+
 @query("""
 select p_partkey, case when list_min(list_transform([200, 300, 400, 550, 660], lambda t: abs(p_size * 15 - t))) <= 10
  then list_min(list_transform([200, 300, 400, 550, 660], lambda t: {'d': abs(p_size * 15 - t), 'v': t})).v::double else (p_size * 15)::double end as watts from part""")

@@ -195,6 +195,15 @@ def test_catalog_edges(spark):
     assert rows(catalog.longest_prefix(typed, "model", "id", prefixes), "id", "meaning") == [(1, "m"), (2, "l")]
 
 
+def test_registry_matches_know_aliases_and_parts(spark):
+    products = spark.createDataFrame([("a", "NGE-66H-670", ["NGE66H670"]), ("b", "SUN2000-50KTL", None), ("c", None, ["", None]), ("d", "XX-670", [])], "candidate_id string, model string, model_aliases array<string>")
+    typed = spark.createDataFrame([(1, "NGE66H670"), (2, "sun200"), (3, "架台 SUN2000-50KTL 用"), (4, "66-h"), (5, ""), (6, None), (7, "NGE 670")], "request_id int, query string")
+    got = {(r.request_id, r.candidate_id): r.score for r in catalog.registry_matches(typed, products).collect()}
+    assert got == {(1, "a"): 10.0, (2, "b"): 6 + 6 / 13, (3, "b"): 4 + 13 / 18, (7, "a"): pytest.approx(1 + 3 * 2 / 3), (7, "d"): pytest.approx(1 + 3 / 3)}
+    with pytest.raises(ValueError):
+        catalog.registry_matches(typed, products, most=2)
+
+
 def test_rollup_edges(spark):
     df = spark.createDataFrame([(-15000,), (9999,), (0,), (None,)], "s long")
     got = [r.d for r in df.select(estimates.discount_down_to(F.col("s"), 10_000).alias("d")).collect()]
