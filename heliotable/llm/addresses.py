@@ -37,6 +37,8 @@ READINGS = {
     "島": "shima jima", "木": "ki gi", "本": "moto", "中": "naka", "東": "higashi", "西": "nishi", "南": "minami", "北": "kita", "上": "kami ue", "下": "shimo shita", "大": "o dai", "小": "ko o",
 }
 LOCALITY_SUFFIX = {"市": ("shi",), "町": ("cho", "machi"), "村": ("mura", "son"), "区": ("ku",)}
+#: What a locality costs more that one address alone states: more than any short form, less than an unlisted street.
+RARE = 4
 _DIGITS = {c: i for i, c in enumerate("〇一二三四五六七八九")}
 _TRIPLE = re.compile(r"(\d+)\s*(?:丁目|の|-)\s*(\d+)\s*(?:番地の?|番|の|-)\s*(\d+)")
 _KANJI_NUMBER = re.compile("[一二三四五六七八九十百〇]+(?=丁目|番|号)")
@@ -135,10 +137,14 @@ def shape(column: str | Column) -> Column:
     return F.translate(column, *TAKEN_FOR)
 
 
-def localities(parsed: DataFrame, least: int = 2) -> DataFrame:
-    """``locality_id, prefecture, locality, postal3, n``: the localities that enough addresses state in full."""
+def localities(parsed: DataFrame) -> DataFrame:
+    """``locality_id, prefecture, locality, n, rare, postal3``: the localities that addresses state in full.
+
+    One address is enough, lest its own copies and short forms find nothing; but
+    it may be misread, so ``rare`` is what a hypothesis of its locality costs more.
+    """
     full = parsed.where("locality <> '' and town <> ''")
-    known = full.groupBy("prefecture", "locality").agg(F.count("*").alias("n")).where(F.col("n") >= least).withColumn("locality_id", F.concat("prefecture", "locality"))
+    known = full.groupBy("prefecture", "locality").agg(F.count("*").alias("n")).withColumn("rare", F.when(F.col("n") == 1, RARE).otherwise(0)).withColumn("locality_id", F.concat("prefecture", "locality"))
     area = full.where("length(postal) = 7").groupBy(F.concat("prefecture", "locality").alias("locality_id"), F.substring("postal", 1, 3).alias("postal3")).agg(F.count("*").alias("k"))
     best = area.withColumn("r", F.row_number().over(W.partitionBy("locality_id").orderBy(F.desc("k"), "postal3"))).where("r = 1").select("locality_id", "postal3")
     return known.join(spread(best), "locality_id", "left")
@@ -177,17 +183,22 @@ def resolve(addresses: DataFrame) -> DataFrame:
     known = cut(localities(parsed))
     n_known = known.count()
     gazetteer = cut(streets(parsed, known, n_known))
-    forms = known.mapInPandas(_locality_forms, "locality_id string, form string, cost int").groupBy("locality_id", "form").agg(F.min("cost").alias("cost")).join(sized(known.select("locality_id", "postal3"), n_known), "locality_id")
+    forms = known.mapInPandas(_locality_forms, "locality_id string, form string, cost int").groupBy("locality_id", "form").agg(F.min("cost").alias("cost")).join(sized(known.select("locality_id", "postal3", "rare"), n_known), "locality_id")
     form_rows = n_known * 140  # at most: readings of a name are bounded
 
     japanese = parsed.where("head <> ''")
     ends = F.sequence(F.lit(1), F.least(F.length("head") - 1, F.lit(12)))
     split = japanese.where("length(head) > 1").select("id", "postal", "head", F.explode(ends).alias("k"))
     split = split.select("id", "postal", F.expr("substring(head, 1, k)").alias("form"), F.regexp_replace(F.expr("substring(head, k + 1)"), "^(大字|字)", "").alias("town"))
-    stated = split.join(sized(forms, form_rows, 500_000), "form").select("id", "postal", "postal3", "locality_id", "town", "cost")
-    area = known.select("locality_id", "postal3")
-    meant = japanese.select("id", "postal", F.substring("postal", 1, 3).alias("postal3"), F.regexp_replace("head", "^(大字|字)", "").alias("town")).join(sized(area, n_known), "postal3").select("id", "postal", "postal3", "locality_id", "town", F.lit(3).alias("cost"))
-    beam = stated.unionByName(meant).withColumn("cost", F.col("cost") * 2 + F.when(F.substring("postal", 1, 3) == F.col("postal3"), 0).otherwise(1)).select("id", "locality_id", "town", "cost")
+    stated = split.join(sized(forms, form_rows, 500_000), "form").select("id", "postal", "postal3", "locality_id", "town", "cost", "rare")
+    # of the rare localities of a postal code, which misreadings make many, the first alone is meant by the code, the others by it and their street
+    first = F.row_number().over(W.partitionBy("postal3").orderBy(F.desc("n"), "locality_id"))
+    area = known.where("postal3 is not null").withColumn("r", first).where("r = 1 or rare = 0").select("locality_id", "postal3", "rare")
+    meant = japanese.select("id", "postal", F.substring("postal", 1, 3).alias("postal3"), F.regexp_replace("head", "^(大字|字)", "").alias("town"))
+    by_code = meant.join(sized(area, n_known), "postal3").select("id", "postal", "postal3", "locality_id", "town", F.lit(3).alias("cost"), "rare")
+    rare_streets = gazetteer.join(sized(known.where("rare > 0").select("locality_id", "postal3", "rare"), n_known), "locality_id").select("locality_id", "postal3", "rare", shape("spelling").alias("as_shape")).distinct()
+    by_street = meant.withColumn("as_shape", shape("town")).join(spread(rare_streets), ["postal3", "as_shape"]).select("id", "postal", "postal3", "locality_id", "town", F.lit(3).alias("cost"), "rare")
+    beam = stated.unionByName(by_code).unionByName(by_street).withColumn("cost", F.col("cost") * 2 + F.col("rare") + F.when(F.substring("postal", 1, 3) == F.col("postal3"), 0).otherwise(1)).select("id", "locality_id", "town", "cost").distinct()
 
     spelled = gazetteer.select("locality_id", F.col("spelling").alias("town"), "street_id", "n")
     placed = beam.join(spread(spelled), ["locality_id", "town"], "left")
@@ -200,8 +211,8 @@ def resolve(addresses: DataFrame) -> DataFrame:
 
     names = gazetteer.where("name = spelling").select("locality_id", "street_id", "name", "n")
     aloud = names.mapInPandas(_read_aloud, "locality_id string, street_id string, latin string").join(spread(names.select("street_id", "n")), "street_id")
-    latin = parsed.where("latin_town <> ''").join(sized(forms.select(F.col("form").alias("latin_locality"), "locality_id"), form_rows, 500_000), "latin_locality")
-    latin = latin.join(spread(aloud.select("locality_id", F.col("latin").alias("latin_town"), "street_id", "n")), ["locality_id", "latin_town"]).select("id", "street_id", F.lit(0).alias("cost"), "n")
+    latin = parsed.where("latin_town <> ''").join(sized(forms.select(F.col("form").alias("latin_locality"), "locality_id", "rare"), form_rows, 500_000), "latin_locality")
+    latin = latin.join(spread(aloud.select("locality_id", F.col("latin").alias("latin_town"), "street_id", "n")), ["locality_id", "latin_town"]).select("id", "street_id", F.col("rare").alias("cost"), "n")
 
     best = W.partitionBy("id").orderBy("cost", F.desc("n"), "street_id")
     chosen = placed.unionByName(latin).withColumn("r", F.row_number().over(best)).where("r = 1").select("id", "street_id")

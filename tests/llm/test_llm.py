@@ -191,6 +191,13 @@ def test_address_variants(spark, typed):
     assert not any("z" in p for p in rows(addresses.same_place_pairs(addresses.places_of(df))))
 
 
+def test_locality_stated_once(spark):
+    data = [("a", "杜国県青越町泉原1丁目2番3号", "650-2809"), ("b", "杜国県青越町泉原1丁目2番3号", "650-2809"), ("c", "青越町泉原1-2-3", None), ("d", "1-2-3 Izumihara, Aogoe-cho", None), ("e", "泉原1-2-3", "650-2809"), ("f", "青越町泉原1-2-4", None)]
+    common = [(f"k{i}", f"翠川県浜凪市松沢{i}丁目1番1号", "651-2809") for i in range(2, 9)]
+    df = spark.createDataFrame([*data, *common], "record_id string, address string, postal_code string")
+    assert rows(addresses.same_place_pairs(addresses.places_of(df))) == list(combinations("abcde", 2))
+
+
 def test_address_edges(spark):
     empty = spark.createDataFrame([], "record_id string, address string, postal_code string")
     assert addresses.same_place_pairs(addresses.places_of(empty)).count() == 0
