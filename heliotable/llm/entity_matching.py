@@ -115,8 +115,9 @@ def _site_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for doc, source, client, site, filed, phase in zip(*[pdf[c] for c in ("doc_id", "source", "client", "site", "filed", "phase")]):
             # a slip of typing spares one end of the client's name, so a site that many clients have falls apart by client
-            ends = {client[:2] + "<", ">" + client[-2:]} if client else {"*"}
-            ends |= {"*"} if source == "ai" else set()
+            ends = {client[:2] + "<", ">" + client[-2:], client[0] + "|" + client[-1]} if client else {"*"}
+            # an official one without a client meets every other of its site, and so does an AI one
+            ends |= ({"*"} if client else {"*", "?"}) if source == "ai" else {"?"}
             # a stated name states its phase, or that it has none; known by its file alone an official one may be any phase
             phases = ({"#" + phase} if site else {"?"}) | ({"?"} if source == "ai" else set())
             for s in {site, filed} - {""}:

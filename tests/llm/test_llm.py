@@ -161,6 +161,13 @@ def test_match_lines(spark):
     assert entity_matching.match_lines(d.limit(0), x.limit(0), paths).count() == 0
 
 
+@pytest.mark.parametrize(("client_a", "client_o", "met"), [("", "ミナモ食品", True), ("ミナモ食品", "", True), ("アイウ", "アエウ", True), ("ミナモ食品", "オリベ倉庫", False)])
+def test_site_candidates(spark, client_a, client_o, met):
+    docs = [("A", "ai", client_a, "梁杉麦稲", "1", "", None, None, 1, "", True), ("O", "official", client_o, "梁杉麦稲", "1", "", None, None, 1, "", True)]
+    got = entity_matching.document_candidates(spark.createDataFrame(docs, entity_matching.HEADER))
+    assert (got.count() == 1) == met
+
+
 def test_blank_categories_are_paired(spark, sample_dir):
     found = queries.p1_items(spark, sample_dir).toPandas()
     assert found["left_id"].is_unique and found["right_id"].is_unique
