@@ -10,14 +10,18 @@ from pyspark.sql import DataFrame, SparkSession
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset
-    (tests, a laptop) a temporary folder of this machine is used.
+    The cluster names it in ``spark.checkpoint.dir``. Only a local session
+    (tests, a laptop) may leave it unset and gets a temporary folder of its own
+    machine; on any other master that is an error, for executors could not
+    reach such a folder.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    if not named and not sc.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     folder = named or tempfile.mkdtemp(prefix="heliotable-checkpoint-")
     sc.setCheckpointDir(folder)
     return folder

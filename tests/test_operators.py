@@ -1,4 +1,5 @@
 import itertools
+import json
 from difflib import SequenceMatcher
 
 import pytest
@@ -160,6 +161,8 @@ NESTED = [
     (9, '{"items": [NaN]}', set()),
     (10, '{"equipment_purchase_snapshot": [{"items": [{}]}], "items": null}', set()),
     (11, "[" * 5000, set()),
+    (12, '{"items": [' + '{"x": ' * 60_000 + "1" + "}" * 60_000 + "]}", {("parsed_item", -1, 0)}),
+    (13, '{"summary": {"categories": [{"items": [' + "[" * 60_000 + "]" * 60_000 + ', {"a": 1}]}, null, {"items": {}}]}}', {("category", 0, -1), ("category_item", 0, 1), ("category", 2, -1), ("category_item", 2, 0)}),
 ]
 
 
@@ -170,7 +173,7 @@ def test_nested_records(spark):
     for r in nested_records.estimate_children(df).collect():
         got.setdefault(r.history_id, set()).add((r.child_kind, r.category_pos, r.item_pos))
     assert got == {i: want for i, _, want in NESTED if want}
-    found = nested_records.places(df, "id", "payload")
+    found = nested_records.places(df.where("id < 12"), "id", "payload")
     objects = nested_records.distinct_objects(found)
     assert objects.count() == found.select("object_id").distinct().count() < found.count()
     linked = nested_records.links(found)
@@ -179,6 +182,14 @@ def test_nested_records(spark):
     assert nested_records.estimate_children(df.limit(0)).count() == 0
 
 
+def test_deep_parser_reads_what_json_reads():
+    for t in ("[]", "{}", '[1,2,{"a":"b\\"c"}]', ' {"a" : [ ] , "b":{}} ', '"x"', "-1.5e3", "true", '[null,false,{"k":[[],{}]}]'):
+        assert nested_records._parse_deep(t) == json.loads(t)
+    for t in ("", "[1,]", '{"a":1,}', "[1 2]", '{"a"}', "[", "{", "1 2", "[1]]", "nul", "{,}", '{"a":1', "NaN"):
+        with pytest.raises(ValueError):
+            nested_records._parse_deep(t)
+
+
 def test_equal_objects_have_one_identity(spark):
     df = spark.createDataFrame([(1, '{"items": [{"b": 1, "a": [{"c": 2}]}, {"a": [{"c": 2}], "b": 1}, {"a": [{"c": 3}], "b": 1}]}')], "id long, payload string")
     ids = [r.object_id for r in nested_records.places(df, "id", "payload").where("path = 'items[]'").orderBy("occurrence").collect()]
