@@ -21,6 +21,15 @@ def in_parallel(df: DataFrame, scan: DataFrame | None = None) -> DataFrame:
     return df.repartition(cores) if (scan or df).rdd.getNumPartitions() < cores else df
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """The same rows dealt evenly over the cores, for Python work that costs far more than its bytes tell.
+
+    Adaptive coalescing goes by bytes and would leave short texts to one task.
+    """
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def latest_delivery(df: DataFrame, key: str, arrived: str = "ingested_at") -> DataFrame:
     """One row for each key: its latest delivery, and of equal ones the first in content.
 
