@@ -77,7 +77,8 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 def p4_companies(spark: SparkSession, folder: str) -> DataFrame:
     """Every spelling of a maker with the company it means."""
     survey, home = table(spark, folder, "survey"), table(spark, folder, "residential_survey")
-    names = survey.select(F.col("equipment.module_maker").alias("name")).unionByName(home.select(F.explode(F.array("equipment.pcs_maker", "battery.battery_maker")).alias("name")))
+    beside = F.struct(F.col("equipment.pcs_maker").alias("name"), F.col("equipment.pcs_model").alias("model")), F.struct(F.col("battery.battery_maker").alias("name"), F.col("battery.battery_model").alias("model"))
+    names = survey.select(F.col("equipment.module_maker").alias("name"), F.col("equipment.module_model").alias("model")).unionByName(home.select(F.explode(F.array(*beside)).alias("x")).select("x.*"))
     return company_names.company_of(names, table(spark, folder, "registry_product"))
 
 

@@ -231,6 +231,28 @@ def test_company_variants(spark):
     assert got["ガヌヌガワソーラー"] == got["ガヌヌギワソーラー"]
 
 
+@pytest.mark.parametrize(("models", "apart"), [(True, 0), (False, 4)])
+def test_makers_that_no_list_holds(spark, models, apart):
+    """Made-up makers, linked across scripts by readings, by consonants, and where kanji are unknown by the models beside them."""
+    firms = {
+        "YGS": ["山岸精機", "Yamagishi Precision", "ヤマギシ精機", "株式会社山岸精機", "Yamagihsi Precision", "山岸精機 東日本支店"], "EKR": ["エクレスタ電機", "Ecresta Electric", "ECRESTA ELECTRIC Co., Ltd.", "エレクスタ電機"],
+        "GRP": ["グリンファルパワー", "Grinphal Power", "グリンファルパワー㈱", "Grinpahl Power"], "QZT": ["鶺鴒電子", "Sekirei Electronics", "セキレイ電子", "㈱鶺鴒電子"], "TKZ": ["高沢化成", "Takazawa Chemical", "タカザワ化成", "Takzawa Chemical"],
+    }
+    data = [(n, f"{code}-{k}" if models else "") for code, names in firms.items() for n in names for k in range(4)]
+    got = {r.name: r.company for r in company_names.company_of(spark.createDataFrame(data, "name string, model string")).collect()}
+    pairs = {p for names in firms.values() for p in combinations(sorted(names), 2)}
+    found = {p for p in combinations(sorted(got), 2) if got[p[0]] == got[p[1]]}
+    # without models nothing tells how the kanji of the fourth maker are read: its two scripts stay apart
+    assert found <= pairs and len(pairs - found) == apart
+
+
+def test_chains_of_slips_have_no_length(spark):
+    signs = "アカサタナハマヤラワガザダバパキ"
+    names = [signs[:n] + "電機" for n in range(4, 17)]  # each lacks the last sign of the next
+    got = companies(spark, [n for i, n in enumerate(names) for _ in range(i + 1)])
+    assert len(got) == len(names) and len(set(got.values())) == 1
+
+
 def test_ambiguous_nickname_stays_alone(spark):
     got = companies(spark, ["凪原エナジー", "凪原精機", "凪原", "ナギハラ"])
     assert got["凪原"] == got["ナギハラ"] and got["凪原"] not in (got["凪原エナジー"], got["凪原精機"])
