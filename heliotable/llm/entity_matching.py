@@ -26,12 +26,12 @@ from heliotable.llm.visual_text import NOT_BLANK, consistent_form
 from heliotable.plans.durable import cut
 from heliotable.plans.joins import spread
 
-#: Rounds after which messages that still move are left as they are; the change of beliefs that counts as none.
-MOST_ROUNDS, STILL = 12, 1e-3
+#: The change of beliefs that counts as none; rounds within which messages must rest, or there is an error, never a result.
+STILL, MOST_ROUNDS = 1e-3, 1000
 
 # Kinds of building in the name of a site.
 BUILDINGS = "第[一二三四五]工場|工場|物流センター|配送センター|センター|営業所|研修所|体育館|市場棟|倉庫|店|支店|本社|校舎|病院"
-_SITE = re.compile(rf"([一-鿿々]{{2,8}}?)({BUILDINGS})(?![一-鿿])|([一-鿿々]{{2,8}}?)({BUILDINGS})")
+_SITE = re.compile(rf"([一-鿿々]{{2,}}?)({BUILDINGS})(?![一-鿿])|([一-鿿々]{{2,}}?)({BUILDINGS})")
 # How the kind of work is named after the site.
 _KIND = re.compile(r"(?:屋根上|自家消費型|カーポート型)?(?:太陽光|ソーラー|pv)(?:発電)?(?:設備|・?蓄電池)?(?:設置|新設|併設)?工事|(?:御|お)?見積書?|最終版?|_?rev\.?\d+|\((?:見積|最終)\)")
 _PHASE = re.compile(r"第?([0-9一二三四五六七八九])(?:期|次)(?:工事|計画)?")
@@ -78,23 +78,34 @@ def date_of(text: str | None) -> tuple[int | None, int | None]:
 
 
 def header(client: str | None, project: str | None, file_name: str | None, issued: str | None) -> tuple:
-    """(client, site, phase, site in the file's name, day, day of year); '' and None for what is missing."""
+    """(client, site, phase, site in the file's name, day, day of year); '' and None for what is missing.
+
+    The site is what stands before the kind of building; in a name without a
+    known kind it is the whole of the name besides client, kind of work and phase.
+    """
     name = _KIND.sub(" ", _plain(project)).strip()
-    sites = [m for m in _SITE.finditer(name)]
-    site = (sites[-1][1] or sites[-1][3]) if sites else ""
     own = client_key(client)
-    if own and site and len(site) > 4 and name.startswith(own):
-        site = site[-4:]
+    if own and name.startswith(own):
+        name = name[len(own) :].strip()
+    sites = [m for m in _SITE.finditer(name)]
+    site = (sites[-1][1] or sites[-1][3]) if sites else re.sub(r"\s+|\(増設分?\)", "", _PHASE.sub("", name)) if project else ""
     if not own and sites:
         own = client_key(name[: name.find(site)])
     stem = re.sub(r"^見積書_|\.\w+$", "", _plain(file_name))
     m = _SITE.search(stem)
-    filed = (m[1] or m[3]) if m else stem if re.fullmatch("[一-鿿々]{3,6}", stem) else ""
-    return (own, site[-4:], phase_of(_plain(project)), filed[-4:], *date_of(issued))
+    filed = (m[1] or m[3]) if m else stem if re.fullmatch("[一-鿿々]{3,}", stem) else ""
+    return (own, site, phase_of(_plain(project)), filed, *date_of(issued))
+
+
+def endings(site: str, source: str) -> set[str]:
+    """What a site may be: as it stands, and where people typed it, with less of what may be a client's name before it."""
+    return {site} | ({site[k:] for k in range(1, len(site) - 2)} if source == "official" else set())
 
 
 HEADER = "doc_id string, source string, client string, site string, phase string, filed string, day int, yearday int, total long, branch string, named boolean"
 KEYS = "doc_id string, key string"
+#: Days in a stretch of time by which a client's estimates are told apart before they meet.
+STRETCH = 61
 
 
 def _headers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -120,7 +131,7 @@ def _site_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             ends |= ({"*"} if client else {"*", "?"}) if source == "ai" else {"?"}
             # a stated name states its phase, or that it has none; known by its file alone an official one may be any phase
             phases = ({"#" + phase} if site else {"?"}) | ({"?"} if source == "ai" else set())
-            for s in {site, filed} - {""}:
+            for s in (endings(site, source) | {filed}) - {""}:
                 keys = {"=" + "".join(sorted(s)) + end for end in ends}
                 if client and len(s) > 3:
                     keys |= {client + "~" + "".join(c) for c in combinations(sorted(s), len(s) - 1)}
@@ -129,20 +140,23 @@ def _site_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def belief(edges: DataFrame, most_rounds: int = MOST_ROUNDS, still: float = STILL) -> DataFrame:
-    """``left_id, right_id, match_score`` of candidate pairs with prior ``odds``: their marginal match probabilities.
+    """``left_id, right_id, match_score, rounds`` of candidate pairs with prior ``odds``: their marginal match probabilities.
 
     Every left and every right record is in one pair at most. Pairs that
     compete with none are exact at once; the messages of the others go round,
     summed for each record by a grouped sum and joined back, so that no record's
-    pairs are ever gathered. Equal pairs count once, with their greatest odds.
+    pairs are ever gathered. Sides take turns, by which messages move one way
+    only and come to rest; they go on until no belief moves by ``still``. If
+    they did not within ``most_rounds``, that is an error. Equal pairs count
+    once, with their greatest odds.
     """
-    edges = edges.groupBy("left_id", "right_id").agg(F.max("odds").alias("odds"))
+    edges = cut(edges.groupBy("left_id", "right_id").agg(F.max("odds").alias("odds")))
     by_left = edges.groupBy("left_id").agg(F.count("*").alias("left_n"))
     by_right = edges.groupBy("right_id").agg(F.count("*").alias("right_n"))
     edges = cut(edges.join(spread(by_left), "left_id").join(spread(by_right), "right_id"))
-    alone = edges.where("left_n = 1 and right_n = 1").select("left_id", "right_id", (F.col("odds") / (1 + F.col("odds"))).alias("match_score"))
+    alone = edges.where("left_n = 1 and right_n = 1").select("left_id", "right_id", (F.col("odds") / (1 + F.col("odds"))).alias("match_score"), F.lit(0).alias("rounds"))
     state = edges.where("left_n > 1 or right_n > 1").select("left_id", "right_id", "odds", F.col("odds").alias("to_left"), F.lit(0.0).alias("match_score"))
-    for k in range(most_rounds):
+    for k in range(1, most_rounds + 1):
         left = state.groupBy("left_id").agg(F.sum("to_left").alias("sum_left"))
         half = state.join(spread(left), "left_id").withColumn("from_left", 1 / (1 + F.greatest(F.lit(0.0), F.col("sum_left") - F.col("to_left"))))
         half = half.withColumn("to_right", F.col("odds") * F.col("from_left")).drop("sum_left")
@@ -151,15 +165,15 @@ def belief(edges: DataFrame, most_rounds: int = MOST_ROUNDS, still: float = STIL
         weight = F.col("odds") * F.col("from_left") * F.col("from_right")
         new = full.withColumn("belief", weight / (1 + weight)).withColumn("moved", F.abs(F.col("belief") - F.col("match_score")))
         new = new.select("left_id", "right_id", "odds", (F.col("odds") * F.col("from_right")).alias("to_left"), F.col("belief").alias("match_score"), "moved")
-        if k % 2 == 1 or k == most_rounds - 1:  # lineage is cut and convergence looked at every second round
-            new = cut(new)
-            moved = new.agg(F.max("moved")).first()[0]
-            state = new.drop("moved")
-            if moved is None or moved < still:
-                break
-        else:
+        if k % 2 and k < most_rounds:  # lineage is cut and rest looked for every second round
             state = new.drop("moved")
-    return alone.unionByName(state.select("left_id", "right_id", "match_score"))
+            continue
+        new = cut(new)
+        moved = new.agg(F.max("moved")).first()[0]
+        state = new.drop("moved")
+        if moved is None or moved < still:
+            return alone.unionByName(state.select("left_id", "right_id", "match_score", F.lit(k).alias("rounds")))
+    raise RuntimeError(f"beliefs still move by {moved} after {most_rounds} rounds")
 
 
 def mutual_best(scored: DataFrame, least: float = 0.5) -> DataFrame:
@@ -210,10 +224,21 @@ def document_candidates(headers: DataFrame) -> DataFrame:
     by_site = ai.join(spread(official), "key").select("ai_doc", "official_doc").distinct()
     bare = headers.where("source = 'official' and not named and client <> ''").select(F.col("doc_id").alias("official_doc"), "client", F.col("day").alias("o_day"), F.col("yearday").alias("o_yearday"))
     any_ai = headers.where("source = 'ai' and client <> ''").select(F.col("doc_id").alias("ai_doc"), "client", F.col("day").alias("a_day"), F.col("yearday").alias("a_yearday"))
+    # a client's estimates fall apart by stretches of time: of days where the year is known, of the year where it is not
+    stretch = lambda c, at: F.floor(F.col(c) / at)
+    stretches = lambda c, low, high: F.sequence(F.floor((F.col(c) - low) / STRETCH), F.floor((F.col(c) + high) / STRETCH))
+    of_year = F.transform(F.sequence(F.col("o_yearday") - 100, F.col("o_yearday") + 10), lambda d: F.floor(F.pmod(d, F.lit(366)) / STRETCH))
+    days = F.transform(stretches("o_day", 100, 10), lambda k: F.concat(F.lit("d"), k))
+    years = F.transform(F.array_distinct(of_year), lambda k: F.concat(F.lit("y"), k))
+    wanted = F.when(F.col("o_day").isNotNull(), F.concat(days, F.array(F.lit("none")))).when(F.col("o_yearday").isNotNull(), F.concat(years, F.array(F.lit("none")))).otherwise(F.array(F.lit("any")))
+    # (an AI estimate of an unknown day meets every official one, one of a known day those of its stretches and those without a day)
+    given = F.when(F.col("a_day").isNotNull(), F.array(F.concat(F.lit("d"), stretch("a_day", STRETCH)), F.concat(F.lit("y"), stretch("a_yearday", STRETCH)), F.lit("any")))
+    given = given.when(F.col("a_yearday").isNotNull(), F.array(F.concat(F.lit("y"), stretch("a_yearday", STRETCH)), F.lit("none"), F.lit("any"))).otherwise(F.array(F.lit("none"), F.lit("any")))
     gap = F.col("o_day") - F.col("a_day")
     around = F.pmod(F.col("o_yearday") - F.col("a_yearday"), F.lit(365))
     near = F.when(gap.isNotNull(), gap.between(-10, 100)).when(around.isNotNull(), (around <= 100) | (around >= 355)).otherwise(True)
-    return by_site.unionByName(bare.join(spread(any_ai), "client").where(near).select("ai_doc", "official_doc")).distinct()
+    met = bare.withColumn("stretch", F.explode(wanted)).join(spread(any_ai.withColumn("stretch", F.explode(given))), ["client", "stretch"])
+    return by_site.unionByName(met.where(near).select("ai_doc", "official_doc")).distinct()
 
 
 def _matched(documents: DataFrame, lines: DataFrame, paths: list[tuple[str, str]]) -> tuple[DataFrame, DataFrame]:
@@ -230,7 +255,7 @@ def _matched(documents: DataFrame, lines: DataFrame, paths: list[tuple[str, str]
 
     pairs = document_candidates(headers).join(spread(side("a", "ai_doc")), "ai_doc").join(spread(side("o", "official_doc")), "official_doc")
     # a phase that is stated, or the lack of one in a stated name, tells projects of one site apart
-    pairs = pairs.where("o_site = '' or a_phase = o_phase")
+    pairs = cut(pairs.where("o_site = '' or a_phase = o_phase"))
     ai = signs.where("source = 'ai'").select(F.col("doc_id").alias("ai_doc"), "item", "spec", F.col("line_id").alias("a_line"), F.col("place").alias("a_place"), F.col("quantity_value").alias("a_qty"), F.col("unit_price").alias("a_price"), F.col("pos").alias("a_pos"))
     official = signs.where("source = 'official'").select(F.col("doc_id").alias("official_doc"), "item", "spec", F.col("line_id").alias("o_line"), F.col("place").alias("o_place"), F.col("quantity_value").alias("o_qty"), F.col("unit_price").alias("o_price"), F.col("pos").alias("o_pos"))
     fit = (F.col("a_place") == F.col("o_place")) | (F.col("a_place") == "") | (F.col("o_place") == "")
@@ -238,7 +263,9 @@ def _matched(documents: DataFrame, lines: DataFrame, paths: list[tuple[str, str]
     shared = met.groupBy("ai_doc", "official_doc").agg(F.countDistinct("a_line").alias("a_met"), F.countDistinct("o_line").alias("o_met"), F.count_distinct(F.when(F.col("a_qty") == F.col("o_qty"), F.col("a_line"))).alias("same_qty"))
     pairs = pairs.join(spread(shared), ["ai_doc", "official_doc"], "left")
 
-    same_signs = F.when(F.array_sort(F.split("a_site", "")) == F.array_sort(F.split(F.when(F.col("o_site") != "", F.col("o_site")).otherwise(F.col("o_filed")), "")), 3.0).when(F.col("a_site") == F.col("o_filed"), 2.5).when(F.col("o_named"), 0.0).otherwise(-1.0)
+    # of a site typed with more before it, so much counts as the other has signs
+    typed = F.when(F.col("o_site") == "", F.col("o_filed")).when(F.length("o_site") > F.length("a_site"), F.expr("right(o_site, length(a_site))")).otherwise(F.col("o_site"))
+    same_signs = F.when(F.array_sort(F.split("a_site", "")) == F.array_sort(F.split(typed, "")), 3.0).when(F.col("a_site") == F.col("o_filed"), 2.5).when(F.col("o_named"), 0.0).otherwise(-1.0)
     apart = F.levenshtein("a_client", "o_client")
     client = F.when((F.col("a_client") == "") | (F.col("o_client") == ""), 0.0).when(apart == 0, 2.0).when(apart <= 2, 1.0).otherwise(-3.0)
     gap = F.col("o_day") - F.col("a_day")
@@ -261,9 +288,10 @@ def matched_documents(documents: DataFrame, lines: DataFrame, paths: list[tuple[
 
 
 def match_lines(documents: DataFrame, lines: DataFrame, paths: list[tuple[str, str]]) -> DataFrame:
-    """``line_a, line_b, match_score``: lines that state the same work item in the two estimates of a project.
+    """``line_a, line_b, match_score, rounds``: lines that state the same work item in the two estimates of a project.
 
-    ``line_a`` is the smaller id. Estimates and lines delivered again count
+    ``line_a`` is the smaller id; ``rounds`` are those after which no belief
+    moved any more, 0 for a pair that competed with none. Estimates and lines delivered again count
     once; null and blank fields are missing evidence, neither for nor against.
     """
     matched, met = _matched(documents, lines, paths)
@@ -275,4 +303,4 @@ def match_lines(documents: DataFrame, lines: DataFrame, paths: list[tuple[str, s
     line_odds = F.exp(1.5 + place + quantity + price + F.coalesce(order, F.lit(0.0))) * F.col("doc_score")
     edges = inside.select(F.col("a_line").alias("left_id"), F.col("o_line").alias("right_id"), line_odds.alias("odds"))
     best = mutual_best(belief(edges), least=0.05)
-    return best.select(F.least("left_id", "right_id").alias("line_a"), F.greatest("left_id", "right_id").alias("line_b"), "match_score")
+    return best.select(F.least("left_id", "right_id").alias("line_a"), F.greatest("left_id", "right_id").alias("line_b"), "match_score", "rounds")

@@ -137,6 +137,22 @@ def test_belief_on_loops_picks_the_best(spark):
     assert entity_matching.mutual_best(entity_matching.belief(none)).count() == 0
 
 
+@pytest.mark.parametrize(("n", "noise"), [(2, 0.0), (3, 0.1)])
+def test_belief_rests_on_loops(spark, n, noise):
+    rng = np.random.default_rng(n)
+    edges = [(a, b, float(np.exp(5.0 + noise * rng.normal()))) for a in range(n) for b in range(n)]
+    df = spark.createDataFrame(edges, "left_id int, right_id int, odds double")
+    rounds, scores = zip(*[(r.rounds, r.match_score) for r in entity_matching.belief(df).collect()])
+    assert min(rounds) > 12 and all(0 < x < 1 for x in scores)
+    assert sum(scores) == pytest.approx(n, abs=0.2)  # every record is almost surely in a pair
+
+
+def test_messages_that_do_not_rest_are_an_error(spark):
+    df = spark.createDataFrame([("a", "x", 50.0), ("a", "y", 50.0), ("b", "x", 50.0), ("b", "y", 50.0)], "left_id string, right_id string, odds double")
+    with pytest.raises(RuntimeError):
+        entity_matching.belief(df, most_rounds=2, still=1e-9)
+
+
 DOCS = "doc_id string, source string, client_name string, project_name string, file_name string, issue_date string, total_before_tax long, branch_code string, item string"
 LINES = "line_id long, doc_id string, source string, pos long, description string, remarks string, quantity_value double, unit_price long, spec string"
 
@@ -168,6 +184,24 @@ def test_site_candidates(spark, client_a, client_o, met):
     assert (got.count() == 1) == met
 
 
+@pytest.mark.parametrize(
+    ("ai", "official", "filed", "met"),
+    [("北海道中央札幌工場 太陽光発電設備工事", "北海道中央札幌工場", "", True), ("北海道中央札幌工場", "九州中央札幌工場", "", False), ("雲星穂嶺店", "ミナモ食品雲星穂嶺店 PV設備工事", "", True), ("雲星穂嶺植物園 太陽光発電設備工事", "雲星穂嶺植物園 PV設備工事", "", True), ("雲星穂嶺植物園", "青萩鶴丘植物園", "", False), ("東洋第一製紙富士宮北山工場", "", "見積書_東洋第一製紙富士宮北山.pdf", True)],
+)
+def test_whole_site_names(spark, ai, official, filed, met):
+    rows_ = [("A", "ai", "ミナモ食品", ai, "a.csv", "2024/01/05", 1, ""), ("O", "official", "", official, filed, "", 1, "")]
+    docs = spark.createDataFrame(rows_, "doc_id string, source string, client_name string, project_name string, file_name string, issue_date string, total_before_tax long, branch_code string")
+    headers = docs.mapInPandas(entity_matching._headers, entity_matching.HEADER)
+    assert (entity_matching.document_candidates(headers).count() == 1) == met
+
+
+@pytest.mark.parametrize(("a", "o", "met"), [("2024/01/05", "2024/04/01", True), ("2024/01/05", "4/1", True), ("2024/01/05", "", True), ("", "2024/04/01", True), ("12/30", "2025/01/03", True), ("2024/01/05", "2024/07/01", False), ("2024/01/05", "9/1", False), ("2024/12/28", "1/5", True)])
+def test_clients_meet_by_time(spark, a, o, met):
+    rows_ = [("A", "ai", "ミナモ食品", "雲星穂嶺店", "a.csv", a, 1, ""), ("O", "official", "ミナモ食品", "", "scan1.pdf", o, 1, "")]
+    docs = spark.createDataFrame(rows_, "doc_id string, source string, client_name string, project_name string, file_name string, issue_date string, total_before_tax long, branch_code string")
+    assert (entity_matching.document_candidates(docs.mapInPandas(entity_matching._headers, entity_matching.HEADER)).count() == 1) == met
+
+
 def test_blank_categories_are_paired(spark, sample_dir):
     found = queries.p1_items(spark, sample_dir).toPandas()
     assert found["left_id"].is_unique and found["right_id"].is_unique
