@@ -1,12 +1,17 @@
 """Reading level of documents from 1 to 5 (problem 9).
 
-Method: the smallest frequency-ranked vocabulary that covers a fixed share of
-the tokens. The ids of a public byte-level vocabulary stand in the order in
-which its words were learned, by frequency, so the quantile of a sentence's ids
-is the rank up to which a vocabulary must reach to cover that share. Coverage
-ranks and sentence complexity are calibrated in SQL: Gaussian classes around the
-means of graded specimens, whose centres are then moved, until they rest, with
-the distinct texts of the whole corpus, since specimens are worded otherwise.
+Method: the smallest frequency-ranked vocabulary that covers a fixed share of a
+document's tokens. The ids of a public byte-level vocabulary stand in the order
+in which its words were learned, by frequency, so the quantile of the ids of a
+document's prose is the rank up to which a vocabulary must reach to cover that
+share. These ranks and the mean complexity of the document's sentences are
+calibrated in SQL: Gaussian classes around the means of graded specimens, whose
+centres are then moved, until they rest, with the distinct texts of the whole
+corpus, since specimens are worded otherwise.
+
+The order of the public vocabulary is taken, not that of the corpus: a corpus of
+few templates ranks its own words first, however hard they are, and leaves the
+specimens' words without a rank.
 """
 
 from __future__ import annotations
@@ -14,8 +19,6 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
-import warnings
-from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -34,28 +37,26 @@ SHARES = (0.5, 0.8, 0.9)
 #: Least number of sentences that make running prose.
 LEAST_SENTENCES = 3
 LEVELS = (1, 2, 3, 4, 5)
-#: The specimens' fixed share in the class centres, whatever the size of the corpus, and a bound of rounds that is warned of.
-HOLD, MOST_ROUNDS = 0.5, 100
+#: The specimens' fixed share in the class centres, whatever the size of the corpus, and the rounds within which centres must rest, or there is an error.
+HOLD, MOST_ROUNDS = 0.5, 1000
 #: The most specimens that are used for fitting; a documented bound of a fixed table.
 MOST_SPECIMENS = 10_000
-RANK_STEPS = (0, 300, 1000, 2500, 6000, 14000, 60000)
-
 _BULLET = re.compile(r"^\s*(?:[・●○*■□◆◇‣•\-–—]|\d{1,2}[.)]|[①-⑳])\s*")
 _NOTE = re.compile(r"[(【\[][^()【】\[\]]{0,12}\d[^()【】\[\]]{0,6}[)】\]]")
 _JA = re.compile("[ぁ-んァ-ヶ一-龥々]")
 _END_JA = re.compile(r"[。!?]+|\n+")
 _END_EN = re.compile(r"(?<=[.!?])\s+|\n+|;\s+")
 _WORD = re.compile(r"[A-Za-z'-]+")
-# Polite endings; Latinate endings; words of address; prepositions.
+# Polite endings of Japanese sentences; the commonest words of English, by which a text is told to be English.
 _POLITE = re.compile(r"(です|ます|ました|ません|ください|ましょう|でした|なあに|だよ|ね)か?[、]?$")
-_LATINATE = re.compile(r"(tion|sion|ment|ity|ence|ance|ive|ical|ous|ism|ness|ency|ancy|able|ible|ally)s?$")
-_ADDRESS = {"you", "your", "we", "us", "our", "i", "my", "me"}
-_PREPOSITIONS = {"of", "to", "with", "by", "upon", "from", "in", "under", "for", "at", "on"}
+ENGLISH = set("the of and a to in is you that it for on are as with they at be this have from or by not but what all were we when your can there an each which do how if will".split())
+#: Least share of those words in English prose.
+LEAST_ENGLISH = 0.12
 _NEUTRAL = re.compile("[​-‏⁠﻿­�]")
 
-JA_FEATURES = ("hiragana", "kanji", "katakana", "log_length", "kanji_run", "longest_run", "polite", "tokens_per_char", "cover_50", "cover_80", "cover_90", "commas", "spaces")
-EN_FEATURES = ("word_length", "log_words", "long_words", "longest_words", "cover_50", "cover_80", "cover_90", "tokens_per_word", "commas", "short_words", "latinate", "address", "prepositions", "past", *(f"rank_step_{k}" for k in range(1, len(RANK_STEPS) - 1)))
-WIDTH = max(len(JA_FEATURES), len(EN_FEATURES))
+JA_COMPLEXITY = ("hiragana", "kanji", "katakana", "log_length", "kanji_run", "longest_run", "polite", "tokens_per_char", "commas", "spaces")
+EN_COMPLEXITY = ("word_length", "log_words", "long_words", "longest_words", "tokens_per_word", "commas", "short_words", "past")
+WIDTH = len(SHARES) + max(len(JA_COMPLEXITY), len(EN_COMPLEXITY))
 
 
 def is_japanese(text: str) -> bool:
@@ -88,28 +89,38 @@ def sentences(text: str | None) -> tuple[bool, list[str], int]:
     return ja, found, ended
 
 
-def features(sentence: str, ja: bool, encode) -> list[float]:
-    ids = sorted(encode(sentence if ja else " " + sentence))
-    # the smallest vocabulary, in order of frequency, that covers a share of the tokens
-    covers = [math.log(ids[max(0, math.ceil(p * len(ids) - 1e-9) - 1)] + 50) for p in SHARES]
+def is_english(found: list[str]) -> bool:
+    words = [w.lower() for s in found for w in _WORD.findall(s)]
+    return sum(w in ENGLISH for w in words) >= LEAST_ENGLISH * max(1, len(words))
+
+
+def covering_rank(ids: list[int], share: float) -> int | None:
+    """How many entries of the vocabulary, the commonest first, cover a share of sorted ids; None for no ids."""
+    return ids[max(0, math.ceil(share * len(ids) - 1e-9) - 1)] + 1 if ids else None
+
+
+def complexity(sentence: str, ja: bool, tokens: int) -> list[float]:
     n = len(sentence)
     if ja:
         runs = [len(x) for x in re.findall("[一-龥々]+", sentence)] or [0]
         share = [len(re.findall(f"[{c}]", sentence)) / n for c in ("ぁ-ん", "一-龥々", "ァ-ヶー")]
-        out = [*share, math.log(n), sum(runs) / len(runs), float(max(runs)), float(bool(_POLITE.search(sentence))), len(ids) / n, *covers, 10 * sentence.count("、") / n, 10 * sentence.count(" ") / n]
-    else:
-        words = [w.lower() for w in _WORD.findall(sentence)] or ["a"]
-        m, long = len(words), [len(w) for w in words]
-        at = [bisect_left(ids, step) for step in RANK_STEPS[1:]]
-        steps = [(b - a) / len(ids) for a, b in zip(at, at[1:])]
-        out = [sum(long) / m, math.log(m), sum(x >= 7 for x in long) / m, sum(x >= 10 for x in long) / m, *covers, len(ids) / m, sentence.count(",") / m, sum(x <= 3 for x in long) / m]
-        out += [sum(bool(_LATINATE.search(w)) for w in words) / m, sum(w in _ADDRESS for w in words) / m, sum(w in _PREPOSITIONS for w in words) / m, sum(w.endswith("ed") for w in words) / m, *steps]
+        return [*share, math.log(n), sum(runs) / len(runs), float(max(runs)), float(bool(_POLITE.search(sentence))), tokens / n, 10 * sentence.count("、") / n, 10 * sentence.count(" ") / n]
+    words = _WORD.findall(sentence) or ["a"]
+    m, long = len(words), [len(w) for w in words]
+    return [sum(long) / m, math.log(m), sum(x >= 7 for x in long) / m, sum(x >= 10 for x in long) / m, tokens / m, sentence.count(",") / m, sum(x <= 3 for x in long) / m, sum(w.endswith("ed") for w in words) / m]
+
+
+def document_vector(found: list[str], ja: bool, encode) -> list[float]:
+    """Coverage ranks of a document's sentences together, as logarithms, and the mean complexity of its sentences."""
+    each = [encode(s if ja else " " + s) for s in found]
+    ids = sorted(i for x in each for i in x)
+    means = [sum(c) / len(found) for c in zip(*[complexity(s, ja, len(x)) for s, x in zip(found, each)])]
+    out = [math.log(covering_rank(ids, p) + 49) for p in SHARES] + means
     return out + [0.0] * (WIDTH - len(out))
 
 
-_VECTOR = pa.list_(pa.float64())
-_MEASURED = pa.schema([("doc", pa.string()), ("ja", pa.bool_()), ("ended", pa.int32()), ("n", pa.int64()), ("vectors", pa.list_(_VECTOR)), ("total", _VECTOR)])
-_MEASURED_DDL = "doc string, ja boolean, ended int, n bigint, vectors array<array<double>>, total array<double>"
+_MEASURED = pa.schema([("doc", pa.string()), ("ja", pa.bool_()), ("ended", pa.int32()), ("n", pa.int64()), ("vector", pa.list_(pa.float64()))])
+_MEASURED_DDL = "doc string, ja boolean, ended int, n bigint, vector array<double>"
 
 
 def _measure(folder: str):
@@ -119,12 +130,8 @@ def _measure(folder: str):
             rows: list[tuple] = []
             for doc, text in zip(batch.column("doc").to_pylist(), batch.column("text").to_pylist()):
                 ja, found, ended = sentences(text)
-                if ended and found:
-                    vectors = [features(s, ja, encode) for s in found]
-                    rows.append((doc, ja, ended, len(vectors), vectors, [sum(c) for c in zip(*vectors)]))
-                if len(rows) >= 500:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _MEASURED)], schema=_MEASURED)
-                    rows = []
+                if ended and found and (ja or is_english(found)):
+                    rows.append((doc, ja, ended, len(found), document_vector(found, ja, encode)))
             columns = list(zip(*rows)) or [[]] * len(_MEASURED)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _MEASURED)], schema=_MEASURED)
 
@@ -132,15 +139,15 @@ def _measure(folder: str):
 
 
 def measured(documents: DataFrame, folder: str = TOKENIZER_DIR, scan: DataFrame | None = None) -> DataFrame:
-    """One row for each text of ``doc, text`` with sentences: their feature vectors and the sum of these."""
+    """One row for each text of ``doc, text`` with Japanese or English sentences: its vector of coverage and complexity."""
     rows = in_parallel(documents.where("text <> ''").select(F.col("doc").cast("string").alias("doc"), "text"), scan)
     return rows.mapInArrow(_measure(folder), _MEASURED_DDL)
 
 
 def class_table(specimens: DataFrame) -> dict:
-    """{(Japanese, level): (means, spread)} of graded sentences; two languages, five levels: ten rows."""
-    flat = specimens.select("ja", "level", F.explode("vectors").alias("v"))
-    each = [F.col("v")[i] for i in range(WIDTH)]
+    """{(Japanese, level): (means, spread)} of graded specimens; two languages, five levels: ten rows."""
+    flat = specimens
+    each = [F.col("vector")[i] for i in range(WIDTH)]
     wide = {r["ja"]: r["v"] for r in flat.groupBy("ja").agg(F.array(*[F.var_pop(x) for x in each]).alias("v")).collect()}
     rows = flat.groupBy("ja", "level").agg(F.array(*[F.avg(x) for x in each]).alias("m"), F.array(*[F.var_pop(x) for x in each]).alias("v")).collect()
     within: dict = {}
@@ -166,26 +173,23 @@ def scores_table(spark: SparkSession, classes: dict) -> DataFrame:
     return spark.createDataFrame(rows, "ja boolean, weights array<array<double>>, constants array<double>")
 
 
-# The likelihoods of a text's sentences, made probabilities, summed by level.
-_SCORES = "transform(vectors, f -> zip_with(constants, weights, (c, w) -> c + aggregate(zip_with(f, w, (x, y) -> x * y), 0D, (a, x) -> a + x)))"
-_RELATIVE = "transform(scores, s -> transform(s, x -> exp(x - array_max(s))))"
-_SUMMED = "aggregate(relative, array_repeat(0D, 5), (a, p) -> zip_with(a, p, (x, y) -> x + y / aggregate(p, 0D, (b, z) -> b + z)))"
+# The five scores of a document, written out so that they are compiled; the weights are data, so rounds compile nothing anew.
+_SCORES = "array(" + ", ".join(f"constants[{k}] + " + " + ".join(f"weights[{k}][{i}] * vector[{i}]" for i in range(WIDTH)) for k in range(len(LEVELS))) + ")"
 
 
 def levelled(texts: DataFrame, classes: dict) -> DataFrame:
-    """The texts with their level: the one of most probability, the lower of equals. One narrow stage."""
-    scored = texts.join(F.broadcast(scores_table(texts.sparkSession, classes)), "ja")
-    scored = scored.withColumn("scores", F.expr(_SCORES)).withColumn("relative", F.expr(_RELATIVE)).withColumn("summed", F.expr(_SUMMED))
-    return scored.withColumn("level", F.array_position("summed", F.array_max("summed")).cast("int")).drop("scores", "relative", "summed", "weights", "constants")
+    """The texts with their level: the likeliest, the lower of equals. One narrow stage."""
+    scored = texts.join(F.broadcast(scores_table(texts.sparkSession, classes)), "ja").withColumn("scores", F.expr(_SCORES))
+    return scored.withColumn("level", F.array_position("scores", F.array_max("scores")).cast("int")).drop("scores", "weights", "constants")
 
 
 def reading_levels(documents: DataFrame, samples: DataFrame, folder: str = TOKENIZER_DIR) -> DataFrame:
     """``doc_id, reading_level`` of every document with at least three sentences of running prose.
 
     Null, empty and blank texts, lists, logs and fragments have no row. Of two
-    equally likely levels the lower one is given. A document is Japanese or
-    English by its signs, whatever its ``lang`` says; in a language without
-    graded specimens it has no row. A repeated doc_id gives one row.
+    equally likely levels the lower one is given. A document is Japanese by its
+    signs or English by its commonest words, whatever its ``lang`` says; in
+    another language, or one without graded specimens, it has no row. A repeated doc_id gives one row.
     """
     graded = samples.where("text <> '' and reading_level between 1 and 5").limit(MOST_SPECIMENS)
     specimens = measured(graded.select(F.col("sample_id").alias("doc"), "text"), folder).join(graded.select(F.col("sample_id").cast("string").alias("doc"), F.col("reading_level").alias("level")), "doc")
@@ -209,15 +213,14 @@ def settled(prose: DataFrame, first: dict) -> dict:
     """
     classes = first
     for _ in range(MOST_ROUNDS):
-        means = levelled(prose, classes).groupBy("ja", "level").agg(F.array(*[F.avg(F.col("total")[i] / F.col("n")) for i in range(WIDTH)]).alias("means")).collect()
+        means = levelled(prose, classes).groupBy("ja", "level").agg(F.array(*[F.avg(F.col("vector")[i]) for i in range(WIDTH)]).alias("means")).collect()
         moved = {(r["ja"], r["level"]): r["means"] for r in means}
         new = {key: ([HOLD * a + (1 - HOLD) * b for a, b in zip(own, moved.get(key, own))], spread) for key, (own, spread) in first.items()}
         rest = all(abs(a - b) < 1e-9 for k in new for a, b in zip(new[k][0], classes[k][0]))
         classes = new
         if rest:
             return classes
-    warnings.warn(f"class centres still move after {MOST_ROUNDS} rounds", stacklevel=2)
-    return classes
+    raise RuntimeError(f"class centres still move after {MOST_ROUNDS} rounds")
 
 
 def coverage(documents: DataFrame, folder: str = TOKENIZER_DIR) -> DataFrame:
@@ -231,7 +234,7 @@ def coverage(documents: DataFrame, folder: str = TOKENIZER_DIR) -> DataFrame:
             rows = []
             for text in batch.column("text").to_pylist():
                 ids = sorted(encode(text or ""))
-                rows.append((len(ids), *(ids[max(0, math.ceil(p * len(ids) - 1e-9) - 1)] + 1 if ids else None for p in SHARES)))
+                rows.append((len(ids), *(covering_rank(ids, p) for p in SHARES)))
             columns = list(zip(*rows)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([docs, pa.array(columns[0], pa.int64()), *(pa.array(c, pa.int32()) for c in columns[1:])], names=["doc_id", "tokens", "rank_50", "rank_80", "rank_90"])
 

@@ -370,6 +370,22 @@ def test_sentences():
     assert not ja and ended == 3
 
 
+def test_other_languages_are_told_apart():
+    german = "Das Dach ist trocken und die Kabel liegen gut. Bitte prüfen Sie den Zähler am Abend. Danach ist die Anlage sicher und fertig."
+    english = "The roof is dry and the cables lie well. Please check the meter in the evening. After that the system is safe."
+    assert not reading_level.is_english(reading_level.sentences(german)[1]) and reading_level.is_english(reading_level.sentences(english)[1])
+
+
+def test_coverage_is_of_the_whole_document():
+    encode = tokenize_corpus.encoder(vocabulary=reading_level.VOCABULARY).encode_ordinary
+    found = ["the cat and the dog", "the adjudicator adjourned the proceedings"]
+    ids = sorted(i for s in found for i in encode(" " + s))
+    vector = reading_level.document_vector(found, False, encode)
+    for share, x in zip(reading_level.SHARES, vector):
+        rank = round(np.exp(x) - 49)
+        assert sum(i < rank for i in ids) >= share * len(ids) > sum(i < rank - 1 for i in ids)
+
+
 def test_held_out_levels(spark, sample_dir):
     """Specimens not used for fitting get their own level, or the next."""
     samples = spark.read.parquet(f"{sample_dir}/level_sample.parquet")
