@@ -26,31 +26,43 @@ def whole_number(c: Column) -> Column:
     return F.coalesce(F.nullif(F.regexp_replace(half_width(c), "[^0-9\\-]", ""), F.lit("")).try_cast("bigint"), F.lit(0).cast("bigint"))
 
 
+_PRICE = "^-?[0-9,]*[0-9][0-9,]*$"
+
+
 def price(c: Column) -> Column:
-    """Whole price of a cell with thousands commas; null for blanks and notes."""
-    t = F.trim(c)
-    return F.when(t.rlike(r"^[0-9][0-9,]*$"), F.regexp_replace(t, ",", "").try_cast("bigint"))
+    """Whole price of a cell, of any width of digits, with a sign and commas; null for blanks and notes."""
+    t = half_width(F.trim(c))
+    return F.when(t.rlike(_PRICE), F.regexp_replace(t, ",", "").try_cast("bigint"))
 
 
 def price_note(c: Column) -> Column:
     """The text of a price cell that holds no price; '' otherwise and for null."""
     t = F.coalesce(F.trim(c), F.lit(""))
-    return F.when(t.rlike(r"^[0-9][0-9,]*$"), F.lit("")).otherwise(t)
+    return F.when(half_width(t).rlike(_PRICE), F.lit("")).otherwise(t)
+
+
+# A sign, digits of any width with thousands commas, and decimals.
+_LEADING = r"^[\s　]*([-+]?[0-9０-９][0-9０-９,，]*(?:[.．][0-9０-９]+)?)[\s　]*"
 
 
 def quantity_value(c: Column) -> Column:
-    return F.nullif(F.regexp_extract(F.trim(c), r"^(-?[0-9]+(?:\.[0-9]+)?)", 1), F.lit("")).try_cast("double")
+    """The number with which a quantity begins; null where it begins with none."""
+    n = F.regexp_replace(half_width(F.regexp_extract(c, _LEADING, 1)), "[,+]", "")
+    return F.nullif(n, F.lit("")).try_cast("double")
 
 
 def quantity_unit(c: Column) -> Column:
     """What follows the leading number; the whole text where there is none."""
-    return F.trim(F.regexp_replace(F.trim(c), r"^-?[0-9]+(\.[0-9]+)?", ""))
+    return F.trim(F.regexp_replace(F.trim(c), _LEADING, ""))
 
 
 def count_of(c: Column, unit: str) -> Column:
-    """A count in a text: a stated total first, else the only number with the unit, else a bare number; 0 if in doubt."""
+    """A count in a text: a stated total first, else the only number with the unit, else a bare number; 0 if in doubt.
+
+    Numbers are plain runs of digits: of '1,200枚' the last run, 200, is the one with the unit.
+    """
     t = half_width(c)
-    total = F.regexp_extract(t, rf"合計\s*([0-9]+)\s*{unit}", 1)
+    total = F.regexp_extract(t, rf"(?:合計|計)\s*([0-9]+)\s*{unit}", 1)
     hits = F.regexp_extract_all(t, F.lit(rf"([0-9]+)\s*{unit}"), F.lit(1))
     bare = F.when(F.trim(t).rlike("^[0-9]+$"), F.trim(t))
     found = F.coalesce(F.nullif(total, F.lit("")), F.when(F.size(hits) == 1, hits[0]), F.when(F.size(hits) == 0, bare))
@@ -58,8 +70,8 @@ def count_of(c: Column, unit: str) -> Column:
 
 
 def length_mm(c: Column) -> Column:
-    """A length of a text in mm: units m, cm, mm; a bare number as it stands; 0 where there is none."""
-    t = F.lower(half_width(F.trim(c)))
+    """A length of a text in mm: units m, cm, mm; a bare number as it stands; thousands commas are passed over; 0 where there is none."""
+    t = F.regexp_replace(F.lower(half_width(F.trim(c))), r"(?<=[0-9]),(?=[0-9]{3}(?![0-9]))", "")
     n = F.nullif(F.regexp_extract(t, r"([0-9]+(?:\.[0-9]+)?)", 1), F.lit("")).try_cast("double")
     unit = F.regexp_extract(t, r"[0-9]\s*(mm|cm|m)", 1)
     return F.coalesce(F.when(unit == "cm", n * 10).when(unit == "m", n * 1000).otherwise(n), F.lit(0.0))
@@ -126,14 +138,24 @@ def string_pairs(c: Column) -> Column:
 
 
 def category_name(c: Column, aliases: dict[str, str]) -> Column:
-    """A category without numbering, by its usual name."""
-    plain = F.regexp_replace(F.regexp_replace(c, r"^[\s　■◆●□(（]*[0-9０-９]*[)）.．、]*[\s　]*", ""), r"[\s　・･]", "")
-    out = plain
-    for name, usual in aliases.items():
-        out = F.when(plain == name, F.lit(usual)).otherwise(out)
+    """The usual name of a category typed with numbering, dots or spaces; '' for one that is not known, and for null."""
+    bare = lambda x: F.regexp_replace(x, r"[\s　・･]", "")
+    plain = bare(F.regexp_replace(c, r"^[\s　■◆●□(（]*[0-9０-９]*[)）.．、]*[\s　]*", ""))
+    out = F.lit("")
+    for name, usual in reversed({**{u: u for u in aliases.values()}, **aliases}.items()):
+        out = F.when(plain == bare(F.lit(name)), F.lit(usual)).otherwise(out)
     return out
 
 
+def short_date_text(c: Column, year: Column) -> Column:
+    """yyyy/mm/dd of a date with an era or a year, or of a month and day in a given year; the text itself if unread."""
+    t = half_width(F.trim(c))
+    whole = date_text(c)
+    month, day = (F.regexp_extract(t, r"^([0-9]{1,2})\s*[./-]\s*([0-9]{1,2})$", k).try_cast("int") for k in (1, 2))
+    stated = month.between(1, 12) & day.between(1, 31)
+    return F.when(F.coalesce(stated, F.lit(False)), F.format_string("%d/%02d/%02d", year.cast("int"), month, day)).otherwise(whole)
+
+
 def tokyo_time(c: Column) -> Column:
     return F.date_format(F.from_utc_timestamp(c, "Asia/Tokyo"), "yyyy-MM-dd HH:mm")
 

@@ -179,6 +179,73 @@ def store_merge(spark: SparkSession, folder: str) -> DataFrame:
     return json_store.merged(rows.where(early), rows.where(~early), "estimate_id", "saved_at").withColumn("saved_at", F.date_format("saved_at", "yyyy-MM-dd HH:mm:ss"))
 
 
+# ---- typed texts with their values, which no table holds in all forms ----------------------------------------------
+
+
+def _typed(spark: SparkSession, texts: list[str | None]) -> DataFrame:
+    return spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, typed string")
+
+
+def _told(rows: list[tuple], columns: str) -> str:
+    def literal(v) -> str:
+        return "null" if v is None else "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v)
+
+    return "select * from (values " + ", ".join("(" + ", ".join(map(literal, (i, *r))) + ")" for i, r in enumerate(rows)) + f") as t(id, typed, {columns})"
+
+
+_QUANTITIES = [("1,200枚", 1200.0, "枚"), ("２８８枚", 288.0, "枚"), ("+5 式", 5.0, "式"), ("-3.5m", -3.5, "m"), ("１，２００．５　㎡", 1200.5, "㎡"), ("一式", None, "一式"), ("30m", 30.0, "m"), ("", None, ""), (None, None, None), ("12", 12.0, "")]
+
+
+@query("select id, typed, quantity_value::double as quantity_value, quantity_unit from (" + _told(_QUANTITIES, "quantity_value, quantity_unit") + ")")
+def typed_quantities(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _typed(spark, [r[0] for r in _QUANTITIES])
+    return rows.select("id", "typed", parsing.quantity_value(F.col("typed")).alias("quantity_value"), parsing.quantity_unit(F.col("typed")).alias("quantity_unit"))
+
+
+_COUNTS = [("8枚", 8), ("東4枚・西4枚（計8枚）", 8), ("東4枚・西4枚(合計 8 枚)", 8), ("東4枚・西4枚", 0), ("24", 24), ("計１２枚", 12), ("1,200枚", 200), ("不明", 0), ("", 0), (None, 0)]
+
+
+@query("select id, typed, n::bigint as n from (" + _told(_COUNTS, "n") + ")")
+def typed_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return _typed(spark, [r[0] for r in _COUNTS]).select("id", "typed", parsing.count_of(F.col("typed"), "枚").alias("n"))
+
+
+_LENGTHS = [("1,200mm", 1200.0), ("8.85m", 8850.0), ("35cm", 350.0), ("8850", 8850.0), ("１２００mm", 1200.0), ("12,345,678", 12345678.0), ("なし", 0.0), ("", 0.0), (None, 0.0)]
+
+
+@query("select id, typed, mm::double as mm from (" + _told(_LENGTHS, "mm") + ")")
+def typed_lengths(spark: SparkSession, folder: str) -> DataFrame:
+    return _typed(spark, [r[0] for r in _LENGTHS]).select("id", "typed", parsing.length_mm(F.col("typed")).alias("mm"))
+
+
+_PRICES = [("90,000", 90000, ""), ("-5,000", -5000, ""), ("９０，０００", 90000, ""), ("別途問合せ", None, "別途問合せ"), ("", None, ""), (None, None, ""), ("1200円", None, "1200円"), ("0", 0, "")]
+
+
+@query("select id, typed, price::bigint as price, note from (" + _told(_PRICES, "price, note") + ")")
+def typed_prices(spark: SparkSession, folder: str) -> DataFrame:
+    return _typed(spark, [r[0] for r in _PRICES]).select("id", "typed", parsing.price(F.col("typed")).alias("price"), parsing.price_note(F.col("typed")).alias("note"))
+
+
+# The categories of estimates, and other spellings of one of them.
+CATEGORIES = ("支給品", "材料費", "施工費", "その他・諸経費等", "付帯工事", "特記事項", "共通仮設工事", "太陽光発電システム機器", "電材", "設置工事")
+CATEGORY_ALIASES = dict.fromkeys(("その他諸経費等", "その他・諸経費", "その他諸経費", "諸経費", "諸経費等"), "その他・諸経費等") | {c: c for c in CATEGORIES}
+_CATEGORIES = [("1. 支給品", "支給品"), ("４．その他・諸経費等", "その他・諸経費等"), ("その他 諸経費等", "その他・諸経費等"), ("諸経費", "その他・諸経費等"), ("２．太陽光発電システム機器", "太陽光発電システム機器"), ("見知らぬ", ""), ("", ""), (None, ""), ("設置 工事", "設置工事")]
+
+
+@query("select id, typed, category from (" + _told(_CATEGORIES, "category") + ")")
+def typed_categories(spark: SparkSession, folder: str) -> DataFrame:
+    return _typed(spark, [r[0] for r in _CATEGORIES]).select("id", "typed", parsing.category_name(F.col("typed"), CATEGORY_ALIASES).alias("category"))
+
+
+_SHORT_DATES = [("12/18", "2025/12/18"), ("1.5", "2025/01/05"), ("2-29", "2025/02/29"), ("13/40", "13/40"), ("R7.12.18", "2025/12/18"), ("令和7年12月18日", "2025/12/18"), ("2025-1-8", "2025/01/08"), ("未定", "未定"), ("", ""), (None, None)]
+
+
+@query("select id, typed, day from (" + _told(_SHORT_DATES, "day") + ")")
+def typed_short_dates(spark: SparkSession, folder: str) -> DataFrame:
+    """Months and days in a year that is given: the reference year is data, never the clock."""
+    return _typed(spark, [r[0] for r in _SHORT_DATES]).select("id", "typed", parsing.short_date_text(F.col("typed"), F.lit(2025)).alias("day"))
+
+
 _DATES = SQL["date_normalize"]
 _POSTAL = "regexp_replace(" + _HALF.format("{0}") + ", '[^0-9]', '', 'g')"
 
