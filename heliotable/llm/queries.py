@@ -103,8 +103,8 @@ def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p8_texts(spark: SparkSession, folder: str) -> DataFrame:
-    documents = table(spark, folder, "documents")
-    return bin_packing.pack_documents(documents).join(spread(documents.select("doc_id", "text")), "doc_id")
+    """Every container's texts themselves, longer ones cut into pieces."""
+    return bin_packing.packed_texts(table(spark, folder, "documents"))
 
 
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -11,6 +11,7 @@ to a sure one after it, which is exact.
 from __future__ import annotations
 
 import base64
+import hashlib
 import os
 from collections.abc import Iterator
 from functools import lru_cache
@@ -83,14 +84,19 @@ def cuts(text: str) -> list[int]:
 
 
 _DOC = pa.struct([("doc_id", pa.int64()), ("row", pa.int64())])
-_CHUNKS = pa.schema([("doc", _DOC), ("pos", pa.int32()), ("chunk", pa.string())])
-_CHUNK_DDL = "doc struct<doc_id: bigint, row: bigint>, pos int, chunk string"
-_ENCODED = pa.schema([("chunk_key", pa.string()), ("uses", pa.int64()), ("ids", pa.list_(pa.int32())), ("n_head", pa.int32()), ("n_tail", pa.int32()), ("head", pa.string()), ("tail", pa.string())])
-_ENCODED_DDL = "chunk_key string, uses bigint, ids array<int>, n_head int, n_tail int, head string, tail string"
-_IDS = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
+_CHUNKS = pa.schema([("doc", _DOC), ("pos", pa.int32()), ("chunk_key", pa.string()), ("chunk", pa.string())])
+_CHUNK_DDL = "doc struct<doc_id: bigint, row: bigint>, pos int, chunk_key string, chunk string"
+_BODY = [("ids", pa.list_(pa.int32())), ("n_ids", pa.int32()), ("n_head", pa.int32()), ("n_tail", pa.int32()), ("head", pa.string()), ("tail", pa.string())]
+_BODY_DDL = "ids array<int>, n_ids int, n_head int, n_tail int, head string, tail string"
+_ENCODED = pa.schema([("chunk_key", pa.string()), ("uses", pa.int64()), ("doc", _DOC), ("pos", pa.int32()), *_BODY])
+_ENCODED_DDL = f"chunk_key string, uses bigint, doc struct<doc_id: bigint, row: bigint>, pos int, {_BODY_DDL}"
 
 
 def _chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def made(docs, at, pos, out):
+        keys = [hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest() for t in out]
+        return pa.RecordBatch.from_arrays([docs.take(pa.array(at, pa.int32())), pa.array(pos, pa.int32()), pa.array(keys, pa.string()), pa.array(out, pa.string())], schema=_CHUNKS)
+
     for batch in batches:
         docs = batch.column("doc")
         at, pos, out, size = [], [], [], 0
@@ -103,31 +109,33 @@ def _chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 start = end
             size += len(text)
             if size >= 4_000_000:
-                yield pa.RecordBatch.from_arrays([docs.take(pa.array(at, pa.int32())), pa.array(pos, pa.int32()), pa.array(out, pa.string())], schema=_CHUNKS)
+                yield made(docs, at, pos, out)
                 at, pos, out, size = [], [], [], 0
-        yield pa.RecordBatch.from_arrays([docs.take(pa.array(at, pa.int32())), pa.array(pos, pa.int32()), pa.array(out, pa.string())], schema=_CHUNKS)
+        yield made(docs, at, pos, out)
 
 
-def encode_chunk(text: str, encode) -> tuple[list[int], int, int, str, str]:
-    """Ids, how many of them lie before the first and after the last sure boundary, and those two stretches of text.
+def encode_chunk(text: str, encode) -> tuple[list[int], int, int, int, str, str]:
+    """Ids, their number, how many of them lie before the first and after the last sure boundary, and those two stretches of text.
 
     A chunk without two sure boundaries is all head: its count of tail ids is -1.
     """
     first = _SURE_FORWARD.search(text, 1)
     if first is None:
-        return [], 0, -1, text, ""
+        return [], 0, 0, -1, text, ""
     a, b = first.start(), _SURE_BACKWARD.search(text).start()
     head, middle, tail = encode(text[:a]), encode(text[a:b]), encode(text[b:])
-    return head + middle + tail, len(head), len(tail), text[:a], text[b:]
+    ids = head + middle + tail
+    return ids, len(ids), len(head), len(tail), text[:a], text[b:]
 
 
-def _encode(folder: str, vocabulary: str):
+def _encode(folder: str, vocabulary: str, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(folder, vocabulary).encode_ordinary
         for batch in batches:
             rows = [encode_chunk(t, encode) for t in batch.column("chunk").to_pylist()]
-            cols = list(zip(*rows)) if rows else [[]] * 5
-            yield pa.RecordBatch.from_arrays([batch.column("chunk_key"), batch.column("uses"), *(pa.array(c, f.type) for c, f in zip(cols, list(_ENCODED)[2:]))], schema=_ENCODED)
+            cols = list(zip(*rows)) if rows else [[]] * len(_BODY)
+            body = [pa.array([None] * len(rows) if name == "ids" and not with_ids else c, kind) for c, (name, kind) in zip(cols, _BODY)]
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("chunk_key", "uses", "doc", "pos")] + body, schema=_ENCODED)
 
     return run
 
@@ -151,19 +159,61 @@ def join_chunks(parts: list[dict], encode) -> list[int]:
     return ids + encode(pending)
 
 
-def _join(folder: str, vocabulary: str):
+def count_chunks(parts: list[dict], encode) -> int:
+    """The number of those ids, from the numbers of the chunks alone."""
+    if len(parts) == 1 and parts[0]["n_tail"] >= 0:
+        return parts[0]["n_ids"]
+    n, pending = 0, ""
+    for p in parts:
+        if p["n_tail"] < 0:
+            pending += p["head"]
+            continue
+        n += len(encode(pending + p["head"])) + p["n_ids"] - p["n_head"] - p["n_tail"]
+        pending = p["tail"]
+    return n + len(encode(pending))
+
+
+def _join(folder: str, vocabulary: str, with_ids: bool):
+    join, kind = (join_chunks, pa.list_(pa.int32())) if with_ids else (count_chunks, pa.int64())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(folder, vocabulary).encode_ordinary
         for batch in batches:
             docs = batch.column("doc_id").to_pylist()
             for at in range(0, len(docs), 256):
                 parts = batch.column("parts").slice(at, 256).to_pylist()
-                out = [join_chunks(p, encode) for p in parts]
-                yield pa.RecordBatch.from_arrays([pa.array(docs[at : at + 256], pa.int64()), pa.array(out, pa.list_(pa.int32()))], schema=_IDS)
+                out = [join(p, encode) for p in parts]
+                yield pa.RecordBatch.from_arrays([pa.array(docs[at : at + 256], pa.int64()), pa.array(out, kind)], names=["doc_id", "ids" if with_ids else "n_tokens"])
 
     return run
 
 
+def _told(documents: DataFrame, doc_id: str, text: str, folder: str, vocabulary: str, with_ids: bool) -> DataFrame:
+    rows = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    empty = rows.where("text is null or text = ''")
+    none = F.when(F.col("text").isNull(), F.array(*map(F.lit, IDS_OF_NULL)).cast("array<int>")).otherwise(F.array(*map(F.lit, IDS_OF_EMPTY)).cast("array<int>"))
+    empty = empty.select("doc_id", none.alias("ids") if with_ids else F.size(none).cast("long").alias("n_tokens"))
+    full = in_parallel(rows.where("text <> ''"))
+    # texts are cut once; from there on chunks are read, not texts
+    chunks = cut(full.select(F.struct("doc_id", F.monotonically_increasing_id().alias("row")).alias("doc"), "text").mapInArrow(_chunk, _CHUNK_DDL))
+    distinct = chunks.groupBy("chunk_key").agg(F.first("chunk").alias("chunk"), F.count("*").alias("uses"), F.min("doc").alias("doc"), F.min("pos").alias("pos"))
+    encoded = cut(distinct.mapInArrow(_encode(folder, vocabulary, with_ids), _ENCODED_DDL))
+    body = F.struct(*[name for name, _ in _BODY if with_ids or name != "ids"])
+    # a chunk used once knows its only place and goes there without a join
+    single = encoded.where("uses = 1").select("doc", "pos", body.alias("body"))
+    total = encoded.agg(F.sum("uses")).first()[0] or 0
+    hot = encoded.where((F.col("uses") > total / 1000) & (F.col("uses") > 1))
+    rest = encoded.where((F.col("uses") <= total / 1000) & (F.col("uses") > 1))
+    hot_keys = F.broadcast(hot.select("chunk_key", body.alias("body")))
+    of_hot = chunks.select("doc", "pos", "chunk_key").join(hot_keys, "chunk_key").select("doc", "pos", "body")
+    of_rest = chunks.select("doc", "pos", "chunk_key").join(F.broadcast(hot.select("chunk_key")), "chunk_key", "left_anti")
+    of_rest = of_rest.join(spread(rest.select("chunk_key", body.alias("body"))), "chunk_key").select("doc", "pos", "body")
+    part = F.struct("pos", "body")
+    parts = single.unionByName(of_hot).unionByName(of_rest).groupBy("doc").agg(F.array_sort(F.collect_list(part)).alias("parts"))
+    told = parts.select(F.col("doc.doc_id").alias("doc_id"), F.col("parts.body").alias("parts")).mapInArrow(_join(folder, vocabulary, with_ids), "doc_id bigint, ids array<int>" if with_ids else "doc_id bigint, n_tokens bigint")
+    return told.unionByName(empty)
+
+
 def encode_corpus(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", folder: str = TOKENIZER_DIR, vocabulary: str = VOCABULARY) -> DataFrame:
     """``doc_id, ids`` for every row: the exact ids of its whole text, without special tokens.
 
@@ -175,24 +225,9 @@ def encode_corpus(documents: DataFrame, doc_id: str = "doc_id", text: str = "tex
     the join. Chunks with over a thousandth of all uses are fewer than a
     thousand, so those, by that proof, are broadcast; the rest are joined by shuffle.
     """
-    rows = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    none = F.when(F.col("text").isNull(), F.array(*map(F.lit, IDS_OF_NULL)).cast("array<int>")).otherwise(F.array(*map(F.lit, IDS_OF_EMPTY)).cast("array<int>"))
-    empty = rows.where("text is null or text = ''").select("doc_id", none.alias("ids"))
-    full = in_parallel(rows.where("text <> ''"))
-    chunks = full.select(F.struct("doc_id", F.monotonically_increasing_id().alias("row")).alias("doc"), "text").mapInArrow(_chunk, _CHUNK_DDL).withColumn("chunk_key", F.substring(F.sha2("chunk", 256), 1, 32))
-    distinct = chunks.groupBy("chunk_key").agg(F.first("chunk").alias("chunk"), F.count("*").alias("uses"))
-    encoded = cut(distinct.mapInArrow(_encode(folder, vocabulary), _ENCODED_DDL))
-    total = encoded.agg(F.sum("uses")).first()[0] or 0
-    hot = encoded.where(F.col("uses") > total / 1000)
-    rest = encoded.where(F.col("uses") <= total / 1000)
-    body = F.struct("ids", "n_head", "n_tail", "head", "tail")
-    hot_keys = F.broadcast(hot.select(F.col("chunk_key").alias("hot_key")))
-    places = chunks.select("doc", "pos", "chunk_key").join(hot_keys, F.col("chunk_key") == F.col("hot_key"), "left")
-    # a hot chunk's rows spread by their own place; they find no partner here
-    places = places.withColumn("key", F.when(F.col("hot_key").isNull(), F.col("chunk_key")).otherwise(F.concat_ws("/", F.col("doc.row"), "pos")))
-    found = places.join(spread(rest.select(F.col("chunk_key").alias("key"), body.alias("body"))), "key", "left")
-    found = found.join(F.broadcast(hot.select(F.col("chunk_key").alias("hot_key"), body.alias("hot_body"))), "hot_key", "left")
-    part = F.struct("pos", F.coalesce("body", "hot_body").alias("body"))
-    parts = found.groupBy("doc").agg(F.array_sort(F.collect_list(part)).alias("parts"))
-    ids = parts.select(F.col("doc.doc_id").alias("doc_id"), F.col("parts.body").alias("parts")).mapInArrow(_join(folder, vocabulary), "doc_id bigint, ids array<int>")
-    return ids.unionByName(empty)
+    return _told(documents, doc_id, text, folder, vocabulary, True)
+
+
+def count_tokens(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", folder: str = TOKENIZER_DIR, vocabulary: str = VOCABULARY) -> DataFrame:
+    """``doc_id, n_tokens`` for every row: how many ids ``encode_corpus`` gives, without making them whole."""
+    return _told(documents, doc_id, text, folder, vocabulary, False)

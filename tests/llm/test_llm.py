@@ -308,6 +308,8 @@ def test_ids_are_exact(spark):
     data = [(i, t) for i, t in enumerate(texts)] + [(1000, ""), (1001, None), (None, "null id"), (5, "the same id"), (5, "the same id")]
     got = tokenize_corpus.encode_corpus(spark.createDataFrame(data, "doc_id long, text string"))
     want = sorted((repr(i), encode(t or "")) for i, t in data)
+    counted = tokenize_corpus.count_tokens(spark.createDataFrame(data, "doc_id long, text string"))
+    assert sorted((repr(r.doc_id), r.n_tokens) for r in counted.collect()) == sorted((i, len(x)) for i, x in want)
     assert sorted((repr(r.doc_id), list(r.ids)) for r in got.collect()) == want
     assert tokenize_corpus.encode_corpus(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
@@ -346,6 +348,26 @@ def test_packing(spark):
     assert bin_packing.pack(df.limit(0)).count() == 0
 
 
+def test_packed_texts_are_cut_by_their_tokens(spark):
+    encode = tokenize_corpus.encoder().encode_ordinary
+    long = " ".join(f"word{i % 97}" for i in range(2500))
+    data = [(1, long), (1, "short"), (None, "no id"), (2, None), (3, ""), (4, long)]
+    got = bin_packing.packed_texts(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    assert len(got) == 4 + 2 * -(-len(encode(long)) // 2048)
+    pieces = sorted((r.doc_id, r.piece, r.text, r.n_tokens) for r in got if r.n_tokens > 10)
+    assert "".join(t for i, _, t, _ in pieces if i == 4) == "".join(t for i, _, t, _ in pieces if i == 1) == long
+    assert all(len(encode(t)) == n for *_, t, n in pieces)
+    assert sorted((repr(r.doc_id), r.text) for r in got if r.n_tokens <= 10) == [("1", "short"), ("2", None), ("3", ""), ("None", "no id")]
+
+
+def test_exchanges_look_at_all_pairs():
+    # the pair that fills the other container is the last of twenty texts
+    sizes = np.array([1] * 18 + [20, 21] + [38, 59])
+    bins = np.array([0] * 20 + [1, 1])
+    end = bin_packing.local_search(sizes, bins, 100)
+    assert sorted(np.bincount(end, weights=sizes))[-1] == 100
+
+
 def test_local_search_only_improves():
     rng = np.random.default_rng(0)
     for _ in range(20):
