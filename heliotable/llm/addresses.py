@@ -10,7 +10,6 @@ the cheapest kept; records join on street, block and number.
 
 from __future__ import annotations
 
-import itertools
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -20,22 +19,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from heliotable.llm import readings
 from heliotable.llm.visual_text import NOT_BLANK, consistent_form
 from heliotable.plans.durable import cut
 from heliotable.plans.joins import sized, spread
+from heliotable.plans.tables import dealt
 
 # Old and variant forms of kanji in place names.
 OLD_FORMS = str.maketrans("縣國澤瀨龜靏鷺櫻濱濵榮稻臺廣嶋條邊邉齋藏萬德眞關龍瀧嶽檜", "県国沢瀬亀鶴鷺桜浜浜栄稲台広島条辺辺斎蔵万徳真関竜滝岳桧")
 # Kanji taken for one another by eye, the commoner in place names second.
 TAKEN_FOR = ("厚補由僑抑沙彬皐掬露荻付右雪未曰困", "原浦田橋柳砂杉泉菊霧萩竹石雲末日因")
-# Readings of kanji in place names.
-READINGS = {
-    "浜": "hama", "桜": "sakura", "岩": "iwa", "星": "hoshi", "朝": "asa", "夕": "yu", "青": "ao", "沢": "sawa zawa", "藤": "fuji", "鶴": "tsuru", "柳": "yanagi yana", "栗": "kuri",
-    "凪": "nagi", "羽": "ba ha hane wa", "瀬": "se", "台": "dai", "稲": "ine ina", "間": "ma", "霧": "giri kiri", "栄": "sakae", "越": "goe koe koshi", "渡": "wata watari", "里": "ri sato",
-    "森": "mori", "亀": "kame", "砂": "suna", "菊": "kiku", "虹": "niji", "石": "ishi", "泉": "izumi", "松": "matsu", "萩": "hagi", "竹": "take", "梅": "ume", "杉": "sugi", "雲": "kumo",
-    "原": "hara wara bara", "橋": "bashi hashi", "野": "no", "浦": "ura", "谷": "ya tani", "丘": "oka", "田": "da ta", "之": "no", "町": "machi cho", "ヶ": "ga", "川": "kawa gawa", "山": "yama",
-    "島": "shima jima", "木": "ki gi", "本": "moto", "中": "naka", "東": "higashi", "西": "nishi", "南": "minami", "北": "kita", "上": "kami ue", "下": "shimo shita", "大": "o dai", "小": "ko o",
-}
+# Readings of the signs that end a locality's name.
 LOCALITY_SUFFIX = {"市": ("shi",), "町": ("cho", "machi"), "村": ("mura", "son"), "区": ("ku",)}
 #: What a locality costs more that one address alone states: more than any short form, less than an unlisted street.
 RARE = 4
@@ -98,14 +92,6 @@ def street_name(town: str) -> str:
     return re.sub("^(?:大字|字)", "", town)
 
 
-def latin_names(kanji: str) -> list[str]:
-    """The ways to read a name, by the readings of its kanji; none where one is unknown."""
-    options = [READINGS.get(c, "").split() for c in kanji]
-    if not kanji or len(kanji) > 6 or not all(options):
-        return []
-    return ["".join(p) for p in itertools.islice(itertools.product(*options), 64)]
-
-
 def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     names = [x.split()[0] for x in PARSED.split(", ")]
     for pdf in batches:
@@ -117,10 +103,21 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=names)
 
 
-def _read_aloud(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _streets_aloud(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        rows = [(i, k, begin, readings.pattern(name)) for i, k, name in zip(pdf["locality_id"], pdf["street_id"], pdf["name"]) if readings.readable(name) for begin in readings.beginnings(name)]
+        yield pd.DataFrame(rows, columns=["locality_id", "street_id", "begin", "pattern"])
+
+
+def _localities_aloud(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        rows = [(i, k, latin) for i, k, name in zip(pdf["locality_id"], pdf["street_id"], pdf["name"]) for latin in latin_names(name)]
-        yield pd.DataFrame(rows, columns=["locality_id", "street_id", "latin"])
+        rows = []
+        for i, name in zip(pdf["locality_id"], pdf["locality"]):
+            suffixes = LOCALITY_SUFFIX.get(name[-1], ())
+            if suffixes and readings.readable(name[:-1]):
+                pattern = readings.pattern(name[:-1]).removesuffix("$") + "-(?:" + "|".join(suffixes) + ")$"
+                rows += [(i, begin, pattern) for begin in readings.beginnings(name[:-1])]
+        yield pd.DataFrame(rows, columns=["locality_id", "begin", "pattern"])
 
 
 def _locality_forms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -129,10 +126,40 @@ def _locality_forms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for i, pref, name in zip(pdf["locality_id"], pdf["prefecture"], pdf["locality"]):
             for p, p_cost in ((pref, 0), (pref[:-1], 0), ("", 0)):
                 rows += [(i, p + name, p_cost), (i, p + name[:-1], 1)]
-            rows += [(i, f"{latin}-{s}", 0) for latin in latin_names(name[:-1]) for s in LOCALITY_SUFFIX.get(name[-1], ())]
         yield pd.DataFrame(rows, columns=["locality_id", "form", "cost"])
 
 
+def _begun(column: str) -> Column:
+    """Every beginning of a text."""
+    return F.transform(F.sequence(F.lit(1), F.length(column)), lambda k: F.substring(F.col(column), F.lit(1), k))
+
+
+def latin_streets(parsed: DataFrame, known: DataFrame, gazetteer: DataFrame) -> DataFrame:
+    """``id, street_id, cost, n`` of addresses in Latin letters.
+
+    A locality and a street that can be read so are met by the reading of their
+    first signs and told by a pattern of the whole, so names have no length and
+    readings no number. Names that the readings do not know are learned: the
+    street on which the other addresses of the same full postal code lie, if
+    nearly all do, is what Latin addresses of that code call so, at a cost.
+    """
+    latin = parsed.where("latin_town <> ''").select("id", "postal", "latin_locality", "latin_town")
+    names = gazetteer.where("name = spelling").select("locality_id", "street_id", "name", "n")
+    towns = known.select("locality_id", "locality").mapInPandas(_localities_aloud, "locality_id string, begin string, pattern string")
+    placed = latin.withColumn("begin", F.explode(_begun("latin_locality"))).join(spread(towns), "begin").where("latin_locality rlike pattern").select("id", "latin_town", "locality_id").distinct()
+    aloud = names.mapInPandas(_streets_aloud, "locality_id string, street_id string, begin string, pattern string")
+    read = placed.withColumn("begin", F.explode(_begun("latin_town"))).join(spread(aloud), ["locality_id", "begin"]).where("latin_town rlike pattern")
+    read = read.select("id", "locality_id", "street_id").distinct().join(spread(known.select("locality_id", "rare")), "locality_id").select("id", "street_id", F.col("rare").alias("cost"))
+
+    stated = parsed.where("length(postal) = 7 and town <> ''").select("postal", F.concat("prefecture", "locality").alias("locality_id"), F.col("town").alias("spelling"))
+    of_code = stated.join(spread(gazetteer.select("locality_id", "spelling", "street_id")), ["locality_id", "spelling"]).groupBy("postal", "street_id").agg(F.count("*").alias("k"))
+    sure = of_code.groupBy("postal").agg(F.sum("k").alias("all"), F.max(F.struct("k", "street_id")).alias("top")).where("top.k >= 3 and top.k >= 0.8 * all").select("postal", F.col("top.street_id").alias("street_id"))
+    called = latin.where("length(postal) = 7").join(spread(sure), "postal").groupBy("latin_locality", "latin_town", "street_id").agg(F.count("*").alias("k"))
+    called = called.groupBy("latin_locality", "latin_town").agg(F.max(F.struct("k", "street_id")).alias("top")).select("latin_locality", "latin_town", F.col("top.street_id").alias("street_id"))
+    learned = latin.join(spread(called), ["latin_locality", "latin_town"]).select("id", "street_id", F.lit(2 * RARE).alias("cost"))
+    return read.unionByName(learned).join(spread(names.select("street_id", "n")), "street_id").select("id", "street_id", "cost", "n")
+
+
 def shape(column: str | Column) -> Column:
     return F.translate(column, *TAKEN_FOR)
 
@@ -179,15 +206,16 @@ def resolve(addresses: DataFrame) -> DataFrame:
     locality nor a known postal code have no row.
     """
     pairs = addresses.where(F.col("address").rlike(NOT_BLANK)).select("address", "postal_code").distinct()
-    parsed = cut(pairs.mapInPandas(_parse, PARSED).withColumn("id", F.xxhash64("address", "postal_code")))
+    parsed = cut(dealt(pairs).mapInPandas(_parse, PARSED).withColumn("id", F.md5(F.to_json(F.struct("address", "postal_code")))))
     known = cut(localities(parsed))
     n_known = known.count()
     gazetteer = cut(streets(parsed, known, n_known))
     forms = known.mapInPandas(_locality_forms, "locality_id string, form string, cost int").groupBy("locality_id", "form").agg(F.min("cost").alias("cost")).join(sized(known.select("locality_id", "postal3", "rare"), n_known), "locality_id")
-    form_rows = n_known * 140  # at most: readings of a name are bounded
+    form_rows = n_known * 6
+    longest = forms.agg(F.max(F.length("form"))).first()[0] or 0
 
     japanese = parsed.where("head <> ''")
-    ends = F.sequence(F.lit(1), F.least(F.length("head") - 1, F.lit(12)))
+    ends = F.sequence(F.lit(1), F.least(F.length("head") - 1, F.lit(max(1, longest))))
     split = japanese.where("length(head) > 1").select("id", "postal", "head", F.explode(ends).alias("k"))
     split = split.select("id", "postal", F.expr("substring(head, 1, k)").alias("form"), F.regexp_replace(F.expr("substring(head, k + 1)"), "^(大字|字)", "").alias("town"))
     stated = split.join(sized(forms, form_rows, 500_000), "form").select("id", "postal", "postal3", "locality_id", "town", "cost", "rare")
@@ -205,15 +233,11 @@ def resolve(addresses: DataFrame) -> DataFrame:
     # an unlisted spelling: the street of its shape, where the locality is stated
     shaped = gazetteer.where("name = spelling").select("locality_id", F.col("spelling").alias("as_shape"), F.col("street_id").alias("shape_id"))
     # (a found one looks for what is nowhere, by its own id, so that these spread over the tasks)
-    placed = placed.withColumn("as_shape", F.when(F.col("street_id").isNull(), shape("town")).otherwise(F.concat(F.lit("#"), F.col("id").cast("string")))).join(spread(shaped), ["locality_id", "as_shape"], "left")
+    placed = placed.withColumn("as_shape", F.when(F.col("street_id").isNull(), shape("town")).otherwise(F.concat(F.lit("#"), F.col("id")))).join(spread(shaped), ["locality_id", "as_shape"], "left")
     own = F.concat_ws("/", "locality_id", shape("town"))
     placed = placed.select("id", F.coalesce("street_id", "shape_id", own).alias("street_id"), (F.col("cost") + F.when(F.col("street_id").isNotNull(), 0).when(F.col("shape_id").isNotNull(), 1).otherwise(20)).alias("cost"), F.coalesce("n", F.lit(0)).alias("n"))
 
-    names = gazetteer.where("name = spelling").select("locality_id", "street_id", "name", "n")
-    aloud = names.mapInPandas(_read_aloud, "locality_id string, street_id string, latin string").join(spread(names.select("street_id", "n")), "street_id")
-    latin = parsed.where("latin_town <> ''").join(sized(forms.select(F.col("form").alias("latin_locality"), "locality_id", "rare"), form_rows, 500_000), "latin_locality")
-    latin = latin.join(spread(aloud.select("locality_id", F.col("latin").alias("latin_town"), "street_id", "n")), ["locality_id", "latin_town"]).select("id", "street_id", F.col("rare").alias("cost"), "n")
-
+    latin = latin_streets(parsed, known, gazetteer)
     best = W.partitionBy("id").orderBy("cost", F.desc("n"), "street_id")
     chosen = placed.unionByName(latin).withColumn("r", F.row_number().over(best)).where("r = 1").select("id", "street_id")
     return parsed.join(spread(chosen), "id").select("address", "postal_code", "street_id", "chome", "block", "number")

@@ -6,7 +6,7 @@ returning every entry within a distance that depends on the length. Of those
 the nearest is taken, if it is one; otherwise the value has none.
 
 Only distinct values are searched, so repeats cost nothing, and the trie is
-built once for each worker from the list, whose size is checked.
+built once for each worker process from the list, whose size is checked.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -22,14 +23,15 @@ from pyspark.sql import functions as F
 from heliotable.llm import work_terms
 from heliotable.llm.visual_text import NOT_BLANK, consistent_form
 from heliotable.plans.joins import spread
+from heliotable.plans.tables import dealt
 
 #: A reference list longer than this is refused: the trie is sent to every worker.
 MOST_PATHS = 200_000
 
 
 def allowed_edits(length: int) -> int:
-    """The distance allowed for a text of that length."""
-    return 0 if length < 3 else 1 if length < 14 else 2
+    """The distance allowed for a text of that length: none below three signs, then one, and one more for every fourteen."""
+    return 0 if length < 3 else 1 + length // 14
 
 
 class Trie:
@@ -96,9 +98,17 @@ class LevenshteinAutomaton:
         return state.get(len(self.text), self.most + 1)
 
 
+def entries_within(trie: Trie, text: str, passes: Callable[[str, str, int], bool] = lambda text, entry, edits: True) -> dict[str, int]:
+    """Every entry within the distance allowed for the text's length, with its distance."""
+    return {e: d for e, d in trie.within(text, allowed_edits(len(text))).items() if passes(text, e, d)}
+
+
 def nearest(trie: Trie, text: str, passes: Callable[[str, str, int], bool] = lambda text, entry, edits: True) -> tuple[str, int]:
     """The one nearest entry and its distance; ('', -1) where there is none or several are equally near."""
-    found = {e: d for e, d in trie.within(text, allowed_edits(len(text))).items() if passes(text, e, d)}
+    return nearest_of(entries_within(trie, text, passes))
+
+
+def nearest_of(found: dict[str, int]) -> tuple[str, int]:
     if not found:
         return "", -1
     least = min(found.values())
@@ -174,43 +184,65 @@ def osa_within(a: str, b: str, most: int) -> bool:
     return ("" in Trie([(b, "")]).within(a, most)) if abs(len(a) - len(b)) <= most else False
 
 
-def _search(paths: list[tuple[str, str]], models: bool):
+#: Answers that a worker keeps for keys it meets again; beyond them it starts anew.
+KEPT_ANSWERS = 100_000
+_MAPPED = "value string, canonical_id string, edits int, entries array<struct<canonical_id: string, edits: int>>"
+
+
+@lru_cache(maxsize=4)
+def _built(paths: tuple[tuple[str, str], ...]) -> tuple[Trie, dict[str, set[str]]]:
+    """The trie of a list and the paths of each entry; made once in a worker process, whatever the number of tasks."""
+    signs: dict[str, set[str]] = {}
+    for path, entry in paths:
+        signs.setdefault(entry, set()).add(path)
+    return Trie(list(paths)), signs
+
+
+def _search(shared, models: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        trie = Trie(paths)
-        signs: dict[str, set[str]] = {}
-        for path, entry in paths:
-            signs.setdefault(entry, set()).add(path)
+        trie, signs = _built(shared.value)
         key = typed_model if models else work_terms.plain_words
-        known: dict[str, tuple[str, int]] = {}
+        known: dict[str, tuple] = {}
         for pdf in batches:
             out = []
             for value in pdf["value"]:
                 k = key(value)
                 if k not in known:
-                    known[k] = nearest(trie, k, only_slips(k, signs)) if models else nearest(trie, k)
+                    if len(known) >= KEPT_ANSWERS:
+                        known.clear()
+                    found = entries_within(trie, k, only_slips(k, signs)) if models else entries_within(trie, k)
+                    near = sorted(found.items(), key=lambda x: (x[1], x[0]))
+                    known[k] = (*nearest_of(found), [{"canonical_id": e, "edits": d} for e, d in near])
                 out.append(known[k])
-            yield pdf.assign(canonical_id=[x[0] for x in out], edits=[x[1] for x in out])
+            yield pdf.assign(canonical_id=[x[0] for x in out], edits=[x[1] for x in out], entries=[x[2] for x in out])
 
     return run
 
 
 def map_values(values: DataFrame, paths: list[tuple[str, str]], models: bool = False) -> DataFrame:
-    """``value, canonical_id, edits`` for each distinct value that is not blank; '' and -1 where it has no entry."""
+    """``value, canonical_id, edits, entries`` for each distinct value that is not blank.
+
+    ``entries`` are all within the distance allowed for its length, the nearest
+    first; ``canonical_id`` is the one nearest. '' and -1 where there is none, or
+    where several are equally near. A list of more than ``MOST_PATHS`` paths is
+    refused, never cut.
+    """
     if len(paths) > MOST_PATHS:
         raise ValueError(f"{len(paths)} paths; the trie is meant for at most {MOST_PATHS}")
     distinct = values.where(F.col("value").rlike(NOT_BLANK)).select("value").distinct()
-    return distinct.mapInPandas(_search(paths, models), "value string, canonical_id string, edits int")
+    shared = values.sparkSession.sparkContext.broadcast(tuple(paths))  # of checked size
+    return dealt(distinct).mapInPandas(_search(shared, models), _MAPPED)
 
 
 def map_records(records: DataFrame, paths: list[tuple[str, str]], models: bool = False) -> DataFrame:
-    """``record_id, value, canonical_id, edits`` for every record with a value that is not blank, each id once.
+    """``record_id, value, canonical_id, edits, entries`` for every record with a value that is not blank, each id once.
 
     Rows delivered again are one record. Null ids are left out. A value that a
     third of all rows share is searched once; its rows are joined by spreading
     over tasks as the engine splits skewed partitions.
     """
     rows = records.where(F.col("record_id").isNotNull() & F.col("value").rlike(NOT_BLANK)).select("record_id", "value").dropDuplicates(["record_id"])
-    return rows.join(spread(map_values(rows, paths, models)), "value").select("record_id", "value", "canonical_id", "edits")
+    return rows.join(spread(map_values(rows, paths, models)), "value").select("record_id", "value", "canonical_id", "edits", "entries")
 
 
 def reference_rows(list_table: DataFrame, columns: list[str], most: int = 50_000) -> list:

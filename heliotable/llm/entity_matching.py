@@ -25,6 +25,7 @@ from heliotable.llm import canonical_mapping, work_terms
 from heliotable.llm.visual_text import NOT_BLANK, consistent_form
 from heliotable.plans.durable import cut
 from heliotable.plans.joins import spread
+from heliotable.plans.tables import dealt
 
 #: The change of beliefs that counts as none; rounds within which messages must rest, or there is an error, never a result.
 STILL, MOST_ROUNDS = 1e-3, 1000
@@ -184,15 +185,17 @@ def mutual_best(scored: DataFrame, least: float = 0.5) -> DataFrame:
     return ranked.where("l = 1 and r = 1").drop("l", "r")
 
 
-def _signs(paths):
+def _signs(shared):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        trie = canonical_mapping.Trie(paths)
+        trie, _ = canonical_mapping._built(shared.value)
         known: dict[str, str] = {}
         for pdf in batches:
             items, specs, places = [], [], []
             for d, r in zip(pdf["description"], pdf["remarks"]):
                 k = work_terms.plain_words(d)
                 if k not in known:
+                    if len(known) >= canonical_mapping.KEPT_ANSWERS:
+                        known.clear()
                     known[k] = canonical_mapping.nearest(trie, k)[0] or k.rstrip("費")
                 items.append(known[k])
                 specs.append("+".join(work_terms.specification(d, r)))
@@ -209,7 +212,8 @@ _SUMS = r"^[\s【\[(（■・※]*(小計|合計|総計|計|直接工事費計|
 def line_signs(lines: DataFrame, paths: list[tuple[str, str]]) -> DataFrame:
     """Lines with their work item, specification and place. Each line_id once; blank lines and sums are left out."""
     rows = lines.where("line_id is not null and doc_id is not null").where(F.col("description").rlike(NOT_BLANK)).where(~F.col("description").rlike(_SUMS)).select("line_id", "doc_id", "source", "pos", "description", "remarks", "quantity_value", "unit_price").dropDuplicates(["line_id"])
-    texts = rows.select("description", "remarks").distinct().mapInPandas(_signs(paths), "description string, remarks string, item string, spec string, place string")
+    shared = lines.sparkSession.sparkContext.broadcast(tuple(paths))
+    texts = dealt(rows.select("description", "remarks").distinct()).mapInPandas(_signs(shared), "description string, remarks string, item string, spec string, place string")
     same = (rows["description"] == texts["description"]) & rows["remarks"].eqNullSafe(texts["remarks"])
     return rows.join(spread(texts), same).select("line_id", "doc_id", rows["source"], "pos", "item", "spec", "place", "quantity_value", "unit_price").where("item <> ''")
 
@@ -245,7 +249,7 @@ def _matched(documents: DataFrame, lines: DataFrame, paths: list[tuple[str, str]
     """The estimates of a project, and the lines of all candidates that state the same work."""
     columns = ["doc_id", "source", "client_name", "project_name", "file_name", "issue_date", "total_before_tax", "branch_code"]
     docs = documents.where("doc_id is not null").select(*columns).dropDuplicates(["doc_id"])
-    headers = cut(docs.mapInPandas(_headers, HEADER))
+    headers = cut(dealt(docs).mapInPandas(_headers, HEADER))
     signs = cut(line_signs(lines, paths))
     sizes = signs.groupBy("doc_id").agg(F.count("*").alias("lines"))
 

@@ -15,15 +15,22 @@ from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from heliotable.plans.durable import cut
 from heliotable.plans.joins import spread
+from heliotable.plans.tables import dealt
 
 # Look-alikes of Latin letters (Cyrillic and Greek).
 CYRILLIC = dict(zip("АВЕЅІЈКМНОРСТУХҮԚԜаеоорсухіјѕԁһԛԝѵ", "ABESIJKMHOPCTYXYQWaeoopcyxijsdhqwv"))
 GREEK_CAPITALS = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "ABEZHIKMNOPTYX"))
 GREEK_SMALL = dict(zip("ονικρυα", "ovikpua"))
+# Look-alikes of Latin letters in other scripts (Armenian, Cherokee, Coptic, Lisu), single letters among them.
+OTHER_SCRIPTS = dict(zip("ՕօՏԼՍհոսցզյա" "ᎠᎡᎢᎪᎫᎬᎳᎷᎻᎽᏀᏃᏏᏒᏔᏕᏙᏚᏞᏟᏢᏦᏧᏴ" "ⲀⲂⲎⲒⲔⲘⲚⲞⲟⲢⲣⲤⲥⲦⲨⲬⲌ" "ꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ", "OoSLUhnugqjw" "DRTAJEWMHYGZbRWSVSLCPKdB" "ABHIKMNOoPpCcTYXZ" "BPDTGKJCZFMNLSRVHWXYAEIOU"))
+# Signs that are no letters of another script but look like Latin letters: numerals, lunate sigma, palochka, click.
+LETTER_SIGNS = dict(zip("ⅰⅴⅹⅼⅽⅾⅿⅠⅤⅩⅬⅭⅮⅯϹϲϳͿӀӏǀ", "ivxlcdmIVXLCDMCcjJIll"))
+# Signs that look like ASCII punctuation.
+PUNCTUATION = dict(zip("∕⁄∶꞉∣∖", "//::|\\"))
 # Kanji and kana of one shape.
 KANJI_KANA = {"力": "カ", "口": "ロ", "夕": "タ", "卜": "ト", "二": "ニ", "一": "ー", "八": "ハ", "工": "エ", "才": "オ", "三": "ミ", "千": "チ", "匕": "ヒ", "丿": "ノ", "厶": "ム"}
 # Hiragana and katakana of one shape.
@@ -40,7 +47,7 @@ WORDS_BEFORE = {"力": "出入電動圧能風水火重張耐引協努馬浮", "
 _KATA = re.compile("[ァ-ヺーヽヾ]")
 _HIRA = re.compile("[ぁ-ゖゝゞ]")
 _KANJI = re.compile("[々〆㐀-䶿一-鿿豈-﫿]")
-_LETTERS = re.compile(r"[A-Za-zÀ-ɏͰ-ϿЀ-ӿԀ-ԯ]+")
+_LETTERS = re.compile(r"[A-Za-zÀ-ɏͰ-ϿЀ-ӿԀ-ԯԱ-և\u13A0-\u13F4Ⲁ-ⳬꓐ-ꓷⅠⅤⅩⅬ-Ⅿⅰⅴⅹⅼ-ⅿ]+")
 
 
 def _invisible(ch: str) -> bool:
@@ -59,14 +66,29 @@ def _plain(ch: str) -> str:
         return " "
     if 0xFF61 <= o <= 0xFF9F or 0x2F00 <= o <= 0x2FDF or 0xF900 <= o <= 0xFAFF or 0x2F800 <= o <= 0x2FA1F or ch in "µ" or 0x1D400 <= o <= 0x1D7FF or 0xFFE0 <= o <= 0xFFEE:
         return unicodedata.normalize("NFKC", ch)
-    return RADICALS.get(ch, ch)
+    return RADICALS.get(ch, PUNCTUATION.get(ch, ch))
 
 
-@lru_cache(maxsize=4096)
-def _prototype(ch: str) -> str:
+@lru_cache(maxsize=4)
+def confusables(path: str) -> dict[str, str]:
+    """The look-alike table of a file in the public form ``source ; prototype ; class``, code points in hexadecimal."""
+    table = {}
+    with open(path, encoding="utf-8-sig") as f:
+        for line in f:
+            parts = [x.strip() for x in line.partition("#")[0].split(";")]
+            if len(parts) >= 2 and " " not in parts[0]:
+                table[chr(int(parts[0], 16))] = "".join(chr(int(x, 16)) for x in parts[1].split())
+    return table
+
+
+@lru_cache(maxsize=65_536)
+def _prototype(ch: str, path: str | None = None) -> str:
     if _invisible(ch):
         return ""
+    if path and ch in (table := confusables(path)):
+        return "".join(_prototype(c) for c in table[ch])
     ch = _plain(ch)
+    ch = OTHER_SCRIPTS.get(ch, LETTER_SIGNS.get(ch, ch))
     if ch in "゛゙ﾞ":
         return "゙"
     if ch in "゜゚ﾟ":
@@ -79,12 +101,16 @@ def _prototype(ch: str) -> str:
     return KANJI_KANA.get(ch, ch)
 
 
-def skeleton(text: str | None) -> str | None:
-    """Decompose, replace by prototypes, decompose again. Null gives null, '' gives ''."""
+def skeleton(text: str | None, path: str | None = None) -> str | None:
+    """Decompose, replace by prototypes, decompose again. Null gives null, '' gives ''.
+
+    ``path`` names a file of the public look-alike table, which then adds to the
+    scripts stated above; an equal text has an equal skeleton either way.
+    """
     if text is None:
         return None
     once = unicodedata.normalize("NFD", text)
-    return unicodedata.normalize("NFD", "".join(map(_prototype, once)))
+    return unicodedata.normalize("NFD", "".join(_prototype(c, path) for c in once))
 
 
 def _latin_words(text: str) -> str:
@@ -92,11 +118,16 @@ def _latin_words(text: str) -> str:
         w = m[0]
         greek = sum("Ͱ" <= c <= "Ͽ" for c in w)
         latin = sum(c < "Ͱ" for c in w)
-        cyrillic = len(w) - greek - latin
+        cyrillic = sum("Ѐ" <= c <= "ԯ" for c in w)
         if greek == len(w) > 1 and any(c not in GREEK_CAPITALS for c in w):
             return w  # a Greek word, or several symbols
         if cyrillic == len(w) > 1 and any(c not in CYRILLIC for c in w):
             return w  # a Cyrillic word
+        other = sum(c in OTHER_SCRIPTS or c in LETTER_SIGNS for c in w)
+        if other:
+            latin_like = any(c.isascii() or c in CYRILLIC or c in GREEK_CAPITALS for c in w)
+            signs = {**OTHER_SCRIPTS, **LETTER_SIGNS} if latin_like else OTHER_SCRIPTS if len(w) > 1 and all(c in OTHER_SCRIPTS for c in w) else {}
+            w = "".join(signs.get(c, c) for c in w)
         small = GREEK_SMALL if latin or cyrillic else {}
         return "".join(CYRILLIC.get(c, GREEK_CAPITALS.get(c, small.get(c, c))) for c in w)
 
@@ -172,23 +203,28 @@ def fold(text: str | None) -> str:
     return re.sub(r"\s+", "", unicodedata.normalize("NFKC", consistent_form(text) or "").lower())
 
 
-def _forms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        yield pdf.assign(skeleton=pdf["value"].map(skeleton), form=pdf["value"].map(consistent_form))
+def _forms(path: str | None):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf.assign(skeleton=[skeleton(v, path) for v in pdf["value"]], form=pdf["value"].map(consistent_form))
+
+    return run
 
 
-def visual_forms(values: DataFrame, value: str = "value") -> DataFrame:
+def visual_forms(values: DataFrame, value: str = "value", path: str | None = None) -> DataFrame:
     """``value, n, skeleton, form, is_consistent`` for each distinct value of a column.
 
     Equal values are counted before anything else, so repeats of one value,
-    however many, cost one row. Within a skeleton the form that most rows
-    resolve to holds for all of them (ties: the lesser by code point). Null
-    values are left out; '' is consistent.
+    however many, cost one row, and forms are told once. Within a skeleton the
+    form that most rows resolve to holds for all of them (ties: the lesser by
+    code point). Null values are left out; '' is consistent.
     """
     distinct = values.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("value")).agg(F.count("*").alias("n"))
-    forms = distinct.mapInPandas(_forms, "value string, n long, skeleton string, form string")
+    forms = cut(dealt(distinct).mapInPandas(_forms(path), "value string, n long, skeleton string, form string"))
     votes = forms.groupBy("skeleton", "form").agg(F.sum("n").alias("votes"), F.max(F.col("form") == F.col("value")).alias("seen"))
-    best = votes.withColumn("k", F.row_number().over(W.partitionBy("skeleton").orderBy(F.desc("seen"), F.desc("votes"), "form"))).where("k = 1").select("skeleton", F.col("form").alias("agreed"))
+    # the greatest by votes, and of equal ones the least by code point
+    most = votes.groupBy("skeleton").agg(F.max(F.struct("seen", "votes")).alias("top"))
+    best = votes.join(spread(most), "skeleton").where("seen = top.seen and votes = top.votes").groupBy("skeleton").agg(F.min("form").alias("agreed"))
     return forms.join(spread(best), "skeleton").select("value", "n", "skeleton", F.col("agreed").alias("form"), (F.col("agreed") == F.col("value")).alias("is_consistent"))
 
 

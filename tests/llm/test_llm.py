@@ -31,6 +31,19 @@ def test_consistent_form(typed, want):
     assert visual_text.skeleton(typed) == visual_text.skeleton(want)
 
 
+@pytest.mark.parametrize(("typed", "want"), [("Ceⅼⅼ", "Cell"), ("ΑӀ-60", "AI-60"), ("Ϲell", "Cell"), ("PՕWER", "POWER"), ("pⲟwer", "power"), ("ǀine", "line"), ("a∕b", "a/b"), ("ꓐꓳX", "BOX"), ("ᎪᏢ", "AP"), ("Ⅱ期", "Ⅱ期"), ("Ⅴ期", "Ⅴ期"), ("Ա", "Ա")])
+def test_look_alikes_of_more_scripts(typed, want):
+    assert visual_text.consistent_form(typed) == want and visual_text.consistent_form(want) == want
+    assert visual_text.skeleton(typed) == visual_text.skeleton(want)
+
+
+def test_public_table_of_look_alikes(tmp_path):
+    path = tmp_path / "confusables.txt"
+    path.write_text("\ufeff# a comment\n\n118A0 ;\t0056 ;\tMA\t# V\n2A74 ;\t003A 003A 003D ;\tMA\n", encoding="utf-8")
+    assert visual_text.skeleton("\U000118a0AT", str(path)) == "VAT" and visual_text.skeleton("\u2a74", str(path)) == "::="
+    assert visual_text.skeleton("\U000118a0AT") != "VAT"
+
+
 def test_case_and_separators_are_visible():
     assert visual_text.skeleton("a-b") != visual_text.skeleton("A-b") != visual_text.skeleton("ab")
     assert visual_text.skeleton(None) is None and visual_text.consistent_form(None) is None
@@ -91,6 +104,14 @@ def test_models(spark, typed, want):
     assert got == [("s", want)]
 
 
+def test_all_entries_within_the_distance(spark):
+    paths = [("abcdefgh", "E1"), ("abcdefgx", "E2"), ("abcdefxx", "E3")]
+    got = canonical_mapping.map_values(spark.createDataFrame([("abcdefgh",), ("abcdefgy",)], "value string"), paths).collect()
+    by_value = {r.value: (r.canonical_id, [(e.canonical_id, e.edits) for e in r.entries]) for r in got}
+    assert by_value == {"abcdefgh": ("E1", [("E1", 0), ("E2", 1)]), "abcdefgy": ("", [("E1", 1), ("E2", 1)])}
+    assert [canonical_mapping.allowed_edits(n) for n in (0, 2, 3, 13, 14, 27, 28, 100)] == [0, 0, 1, 1, 2, 2, 3, 8]
+
+
 def test_mapping_edges(spark):
     df = spark.createDataFrame([], "record_id string, value string")
     assert canonical_mapping.map_records(df, canonical_mapping.work_paths(WORK_ITEMS)).count() == 0
@@ -239,6 +260,16 @@ def test_locality_stated_once(spark):
     assert rows(addresses.same_place_pairs(addresses.places_of(df))) == list(combinations("abcde", 2))
 
 
+def test_latin_names_have_no_length_and_are_learned(spark):
+    long, unread = "岩桜浜星朝青沢藤", "轟鰐"
+    data = [(f"l{i}", f"翠川県浜凪市{long}{i}丁目1番1号", "650-1111") for i in range(2, 5)] + [(f"u{i}", f"翠川県浜凪市{unread}{i}丁目1番1号", "650-2222") for i in range(2, 6)]
+    data += [("a", f"翠川県浜凪市{long}1丁目2番3号", "650-1111"), ("b", "1-2-3 Iwasakurahamahoshiasaaozawafuji, Hamanagi-shi", None)]
+    data += [("c", f"翠川県浜凪市{unread}1丁目2番3号", None), ("d", "1-2-3 Todorokiwani, Hamanagi-shi", "650-2222"), ("e", "1-2-3 Todorokiwani, Hamanagi-shi", None)]
+    df = spark.createDataFrame(data, "record_id string, address string, postal_code string")
+    found = rows(addresses.same_place_pairs(addresses.places_of(df)))
+    assert [p for p in found if p[0] in "abcde"] == [("a", "b"), ("c", "d"), ("c", "e"), ("d", "e")]
+
+
 def test_address_edges(spark):
     empty = spark.createDataFrame([], "record_id string, address string, postal_code string")
     assert addresses.same_place_pairs(addresses.places_of(empty)).count() == 0
