@@ -136,6 +136,27 @@ def registry_matches(requests: DataFrame, products: DataFrame, most: int = 50_00
     return typed.join(spread(best), "key").select("request_id", "candidate_id", "score")
 
 
+def registry_picks(requests: DataFrame, products: DataFrame, order: str, most: int = 50_000) -> DataFrame:
+    """``request_id, candidate_id, score``: for each request with ``maker, query`` the one product of greatest score.
+
+    The maker gives 5 if equal and 2.5 if one name holds the other, the model
+    its ``registry_matches`` score, or 0 for a blank one; of equal scores the
+    first product in ``order``. A request to which nothing speaks has no row.
+    """
+    plain = lambda c: F.lower(F.trim(F.coalesce(c, F.lit(""))))
+    models = registry_matches(requests.where("trim(query) <> ''"), products, most)
+    makers = products.select("candidate_id", plain("maker").alias("known")).where("known <> ''").distinct()
+    typed = requests.select("request_id", plain("maker").alias("typed")).where("typed <> ''")
+    # a list of checked size meets each distinct spelling once
+    alike = typed.select("typed").distinct().join(F.broadcast(makers.select("known").distinct()), F.contains("typed", "known") | F.contains("known", "typed"))
+    alike = alike.withColumn("score", F.when(F.col("typed") == F.col("known"), 5.0).otherwise(2.5)).join(F.broadcast(makers), "known").select("typed", "candidate_id", "score")
+    of_maker = typed.join(spread(alike), "typed").select("request_id", "candidate_id", "score")
+    summed = models.unionByName(of_maker).groupBy("request_id", "candidate_id").agg(F.round(F.sum("score"), 9).alias("score"))
+    ranked = summed.join(F.broadcast(products.select("candidate_id", F.col(order).alias("__order"))), "candidate_id")
+    best = ranked.groupBy("request_id").agg(F.min(F.struct(-F.col("score"), F.col("__order"), F.col("candidate_id").alias("candidate_id"), F.col("score").alias("score"))).alias("b"))
+    return best.select("request_id", "b.candidate_id", "b.score")
+
+
 def nearest_within(left: DataFrame, right: DataFrame, block: str, value: str, target: str, tolerance: float, key: str, tie: str) -> DataFrame:
     """For each left row the right row of its block whose value is nearest, at most a tolerance away; ties by ``tie``.
 

@@ -12,6 +12,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from heliotable.functions.text import description_key
+from heliotable.plans.durable import cut
+from heliotable.plans.joins import spread
 
 # Lines that sum others up or discount them are never compared.
 _NO_ITEMS = "値引|小計|合計|消費税|総計"
@@ -159,6 +161,80 @@ def item_pairs(left: DataFrame, right: DataFrame, estimate: str, id: str) -> Dat
     return left.groupBy(estimate).cogroup(right.groupBy(estimate)).applyInPandas(pair, f"left_id {kind}, right_id {kind}, score double, pass int")
 
 
+# Categories whose list of items stays as it is, and the one of remarks; the price of supplied goods and of equipment is never learned.
+FIXED_LISTS = ("支給品", "材料費", "共通仮設工事", "太陽光発電システム機器", "電材", "設置工事")
+REMARKS_ONLY, SUPPLIED, EQUIPMENT = "特記事項", "支給品", "太陽光発電システム機器"
+OPEN_LISTS = ("施工費", "その他・諸経費等", "付帯工事")
+
+
+def estimate_diff(left: DataFrame, right: DataFrame, estimate: str, id: str) -> DataFrame:
+    """What people changed in estimates: one row for each price or quantity changed, item added and item removed.
+
+    ``left`` are the computed lines and ``right`` the corrected ones, each with
+    ``estimate, id, pos, category, description, remarks, quantity_value,
+    quantity_unit, unit_price, amount``; lines are paired by ``item_pairs``.
+    Columns: ``estimate, diff_type, left_id, right_id, score, category,
+    description, old_value, new_value, learnable, rule_kind, match_description,
+    match_remarks``. A price in another unit is converted by the amount. A
+    difference is learnable where a rule could hold for it alone: not where the
+    item stands several times, the list is fixed, or the price is unknown; of
+    equal rules proposed in an estimate the first holds. Values are texts; rows
+    without a rule have null ``rule_kind``. Nulls are missing values.
+    """
+    texts = ["category", "description", "remarks"]
+    numbers = ["quantity_value", "quantity_unit", "unit_price", "amount"]
+
+    def keyed(df: DataFrame) -> DataFrame:
+        own = df.select(estimate, F.col(id).alias("id"), "pos", *[F.coalesce(c, F.lit("")).alias(c) for c in texts], *numbers)
+        return own.withColumn("d", description_key(F.col("description"))).withColumn("r", description_key(F.col("remarks")))
+
+    a, b = items_alone(keyed(left), "description"), items_alone(keyed(right), "description")
+    a, b = cut(a), cut(b)
+    pairs = cut(item_pairs(a, b, estimate, "id"))
+
+    def counts(df: DataFrame, keys: list[str], name: str) -> DataFrame:
+        return df.groupBy(estimate, *keys).agg(F.count("*").alias(name))
+
+    def side(df: DataFrame, prefix: str, other: DataFrame) -> DataFrame:
+        out = df.join(spread(counts(df, ["category", "d"], "n_d")), [estimate, "category", "d"]).join(spread(counts(df, ["category", "d", "r"], "n_r")), [estimate, "category", "d", "r"])
+        out = out.join(spread(counts(other, ["category", "d"], "n_other")), [estimate, "category", "d"], "left")
+        return out.select(estimate, *[F.col(c).alias(f"{prefix}_{c}") for c in ("id", "pos", *texts, *numbers, "d", "r", "n_d", "n_r", "n_other")])
+
+    x, y = side(a, "a", b), side(b, "b", a)
+    c = F.col
+    both = pairs.join(spread(x), c("left_id") == c("a_id")).join(spread(y.drop(estimate)), c("right_id") == c("b_id"))
+    both = both.withColumn("category", F.coalesce(F.nullif("b_category", F.lit("")), "a_category"))
+    unit_a, unit_b = (F.trim(F.coalesce(f"{p}_quantity_unit", F.lit(""))) for p in "ab")
+    other_unit = (unit_a != "") & (unit_b != "") & (unit_a != unit_b)
+    converted = F.when((c("b_amount") > 0) & (c("a_quantity_value") > 0), F.bround(c("b_amount") / c("a_quantity_value"), 0).cast("bigint"))
+    price = F.when(other_unit, converted).otherwise(c("b_unit_price"))
+    changed = (c("category") != SUPPLIED) & (c("a_unit_price") != F.coalesce(price, F.when(other_unit, c("b_unit_price"))))
+    # several lines of one name: only a pair whose remarks agree and that is alone with them can be told apart
+    alone = ((c("a_n_d") == 1) & (c("b_n_d") == 1)) | ((c("a_r") == c("b_r")) & (c("a_n_r") == 1) & (c("b_n_r") == 1))
+    may = alone & price.isNotNull() & (c("category") != EQUIPMENT)
+    common = [estimate, "left_id", "right_id", "score", "category", c("a_description").alias("description"), c("a_d").alias("match_description"), c("a_r").alias("match_remarks"), F.struct(F.lit(0), c("pass"), c("a_pos"), c("left_id").cast("string")).alias("at")]
+    prices = both.where(changed).select(*common, F.lit("price_changed").alias("diff_type"), c("a_unit_price").cast("string").alias("old_value"), F.coalesce(price, c("b_unit_price")).cast("string").alias("new_value"), F.when(may, "unit_price_override").alias("rule_kind"))
+    quantities = both.where(F.abs(c("a_quantity_value") - c("b_quantity_value")) > 1e-6).select(*common, F.lit("quantity_changed").alias("diff_type"), c("a_quantity_value").cast("string").alias("old_value"), c("b_quantity_value").cast("string").alias("new_value"), F.lit(None).cast("string").alias("rule_kind"))
+
+    def alone_rows(df: DataFrame, prefix: str, own: str, n: int, diff_type: str, value: Column, rule: Column) -> DataFrame:
+        ids = [c(f"{prefix}_id").alias(k) if k == own else F.lit(None).cast(dict(df.dtypes)[f"{prefix}_id"]).alias(k) for k in ("left_id", "right_id")]
+        old, new = (value, F.lit(None).cast("string")) if own == "left_id" else (F.lit(None).cast("string"), value)
+        at = F.struct(F.lit(n), F.lit(0).alias("pass"), c(f"{prefix}_pos"), c(f"{prefix}_id").cast("string"))
+        rest = df.join(spread(pairs.select(c(own).alias(f"{prefix}_id"))), f"{prefix}_id", "left_anti")
+        return rest.select(estimate, *ids, F.lit(None).cast("double").alias("score"), c(f"{prefix}_category").alias("category"), c(f"{prefix}_description").alias("description"), c(f"{prefix}_d").alias("match_description"), c(f"{prefix}_r").alias("match_remarks"), at.alias("at"), F.lit(diff_type).alias("diff_type"), old.alias("old_value"), new.alias("new_value"), rule.alias("rule_kind"))
+
+    given = F.coalesce(c("b_unit_price"), F.when(c("b_amount") != 0, F.when(c("b_quantity_value") > 0, F.bround(c("b_amount") / c("b_quantity_value"), 0).cast("bigint")).otherwise(c("b_amount"))))
+    added = alone_rows(y, "b", "right_id", 1, "item_added", given.cast("string"), F.when(c("b_category").isin(*OPEN_LISTS) & given.isNotNull(), "item_add"))
+    some = (F.coalesce(c("a_amount"), F.lit(0)) != 0) | (F.coalesce(c("a_unit_price"), F.lit(0)) != 0)
+    gone = ~c("a_category").isin(*FIXED_LISTS, REMARKS_ONLY) & some & (c("a_n_d") == 1) & (F.coalesce(c("a_n_other"), F.lit(0)) <= 1)
+    removed = alone_rows(x, "a", "left_id", 2, "item_removed", c("a_unit_price").cast("string"), F.when(gone, "item_suppress"))
+    names = ["at", estimate, "diff_type", "left_id", "right_id", "score", "category", "description", "old_value", "new_value", "rule_kind", "match_description", "match_remarks"]
+    flat = lambda df: df.withColumn("at", F.struct(*[c("at")[k].alias(f"k{i}") for i, k in enumerate(df.schema["at"].dataType.names)])).select(*names)
+    every = flat(prices).unionByName(flat(quantities)).unionByName(flat(added)).unionByName(flat(removed))
+    first = W.partitionBy(estimate, "rule_kind", "category", "match_description", "match_remarks").orderBy("at")
+    return every.withColumn("learnable", c("rule_kind").isNotNull() & (F.row_number().over(first) == 1)).select(*names[1:10], "learnable", *names[10:])
+
+
 def changes(pairs: DataFrame, compared: list[str]) -> DataFrame:
     """One row for each compared column that differs within a pair; two nulls are equal."""
     each = F.array(*[F.struct(F.lit(c).alias("field"), F.col(f"left_{c}").cast("string").alias("old_value"), F.col(f"right_{c}").cast("string").alias("new_value")) for c in compared])

@@ -129,6 +129,26 @@ def registry_match(spark: SparkSession, folder: str) -> DataFrame:
     return catalog.registry_matches(requests, products).select(F.col("request_id").alias("query"), "candidate_id", F.round("score", 6).alias("score"))
 
 
+@query(f"""
+with r as (select distinct equipment.module_maker as maker, equipment.module_model as model from survey), p as (select distinct on (id) * from registry_product),
+n as (select id, model as name from p union select id, unnest(model_aliases) from p),
+k as (select maker, model, id, {_MODEL_KEY.format("model")} as q, {_MODEL_KEY.format("name")} as m from (select maker, model from r where trim(model) <> '') r, n),
+b as (select *, {_TOKENS.format("q")} as tq, {_TOKENS.format("m")} as tm from k where q <> '' and m <> ''),
+t as (select *, len(list_intersect(tq, tm)) as shared, len(list_distinct(list_concat(tq, tm))) as together from b),
+s as (select maker, model, id, max(case when q = m then 10.0 when contains(m, q) then 6.0 + length(q) / length(m) when contains(q, m) then 4.0 + length(m) / length(q) when shared > 0 then 1.0 + 3.0 * shared / together else 0.0 end) as score from t group by all),
+h as (select r.maker, r.model, p.id, lower(trim(r.maker)) as a, lower(trim(p.maker)) as z from r, p where trim(r.maker) <> '' and trim(p.maker) <> ''),
+w as (select maker, model, id, case when a = z then 5.0 else 2.5 end as score from h where contains(a, z) or contains(z, a)),
+g as (select maker, model, id, sum(score) as score from (select * from s where score > 0 union all select * from w) group by all)
+select maker, model, id as candidate_id, round(score, 6)::double as score from g qualify row_number() over (partition by maker, model order by round(score, 9) desc, id) = 1""")
+def registry_pick(spark: SparkSession, folder: str) -> DataFrame:
+    """The one product that typed makers and models speak for most."""
+    typed = table(spark, folder, "survey").select(F.col("equipment.module_maker").alias("maker"), F.col("equipment.module_model").alias("query")).distinct()
+    requests = typed.withColumn("request_id", F.struct("maker", "query"))
+    products = table(spark, folder, "registry_product").select(F.col("id").alias("candidate_id"), "maker", "model", "model_aliases").dropDuplicates(["candidate_id"])
+    picks = catalog.registry_picks(requests, products.withColumn("place", F.col("candidate_id")), "place")
+    return picks.select("request_id.maker", F.col("request_id.query").alias("model"), "candidate_id", F.round("score", 6).alias("score"))
+
+
 @query("""
 select p_partkey, case when list_min(list_transform([200, 300, 400, 550, 660], lambda t: abs(p_size * 15 - t))) <= 10
  then list_min(list_transform([200, 300, 400, 550, 660], lambda t: {'d': abs(p_size * 15 - t), 'v': t})).v::double else (p_size * 15)::double end as watts from part""")

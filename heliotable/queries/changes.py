@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heliotable.operators import edits, line_diff, rules
+from heliotable.plans.joins import spread
 from heliotable.plans.tables import table
 from heliotable.queries.estimates import estimate_lines
 from heliotable.queries.registry import query
@@ -60,6 +61,20 @@ def line_changes(spark: SparkSession, folder: str) -> DataFrame:
     return line_diff.changes(pairs, ["quantity_unit", "unit_price"]).select("left_line_id", "right_line_id", "field", "old_value", "new_value")
 
 
+@query()
+def line_diff_of_projects(spark: SparkSession, folder: str) -> DataFrame:
+    """What the official estimate of a project changed in the machine-made one, where both state one project's name.
+
+    Estimates of one name are paired in order of their ids; lines are compared within a pair alone.
+    """
+    docs = table(spark, folder, "parsed_doc").where("trim(project_name) <> ''").select("doc_id", "source", F.trim("project_name").alias("project")).dropDuplicates(["doc_id"])
+    paired = line_diff.zip_pairs(docs.where("source = 'ai'"), docs.where("source = 'official'"), ["project"], "doc_id", ["doc_id"]).select("left_doc_id", "right_doc_id")
+    lines = table(spark, folder, "parsed_line").where("line_id is not null").dropDuplicates(["line_id"])
+    left = lines.join(spread(paired.select(F.col("left_doc_id").alias("doc_id"))), "doc_id").withColumn("estimate", F.col("doc_id"))
+    right = lines.join(spread(paired.select(F.col("right_doc_id").alias("doc_id"), F.col("left_doc_id").alias("estimate"))), "doc_id")
+    return line_diff.estimate_diff(left, right, "estimate", "line_id")
+
+
 @query(f"select line_key, count(*) over (partition by estimate_id, category, description)::bigint as n_same from {_LINES}")
 def dup_key_guard(spark: SparkSession, folder: str) -> DataFrame:
     return line_diff.multiplicity(estimate_lines(spark, folder), ["estimate_id", "category", "description"]).select("line_key", "n_same")
@@ -143,3 +158,18 @@ def edit_commands(spark: SparkSession, folder: str) -> DataFrame:
     own = lines.select("estimate_id", "pos", "category", "description", F.col("quantity_value").alias("quantity"), "unit_price", "amount")
     commands = lines.where("is_manual_input").select("estimate_id", F.col("pos").alias("seq"), F.when(F.col("unit_price") > 0, "set_price").otherwise("remove").alias("action"), F.col("description").alias("target"), "category", F.col("unit_price").cast("double").alias("number"))
     return edits.replayed(own, commands)
+
+
+@query("""
+with l as (select distinct on (line_key) * from estimate_line)
+select estimate_id, sum(coalesce(amount, 0))::bigint as subtotal, -1000::bigint as discount, (sum(coalesce(amount, 0)) - 1000)::bigint as total_before_tax, floor((sum(coalesce(amount, 0)) - 1000) / 10)::bigint as tax,
+ (sum(coalesce(amount, 0)) - 1000 + floor((sum(coalesce(amount, 0)) - 1000) / 10))::bigint as total_with_tax from l group by all""")
+def edit_totals(spark: SparkSession, folder: str) -> DataFrame:
+    """Totals of every estimate after a discount is set and an unknown command is passed over."""
+    lines = estimate_lines(spark, folder)
+    heads = lines.select("estimate_id").distinct().select("estimate_id", *[F.lit(None).cast("string").alias(c) for c in edits.HEADS[1:4]], F.lit(0).cast("bigint").alias("discount"))
+    orders = F.explode(F.array(F.struct(F.lit(1).alias("seq"), F.lit("set_discount").alias("action")), F.struct(F.lit(2).alias("seq"), F.lit("unknown").alias("action")))).alias("o")
+    blank = [F.lit(None).cast(x.split()[1]).alias(x.split()[0]) for x in edits.COMMANDS.split(", ")[3:] if x.split()[0] != "new_value"]
+    commands = heads.select("estimate_id", orders).select("estimate_id", "o.seq", "o.action", F.lit("-1000").alias("new_value"), *blank)
+    totals, _, _ = edits.edited(heads, lines, commands)
+    return totals.select("estimate_id", "subtotal", "discount", "total_before_tax", "tax", "total_with_tax")

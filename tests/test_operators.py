@@ -166,6 +166,37 @@ NESTED = [
 ]
 
 
+def test_all_edit_actions(spark):
+    heads = spark.createDataFrame([("e", "甲社", "工事", "60日", 0), ("f", "乙社", "別", None, -5)], "estimate_id string, client_name string, project_name string, validity_period string, discount long")
+    items = spark.createDataFrame(
+        [("e", 1, "支給品", 1, "太陽光パネル 540W", "", "288枚", 288.0, "枚", 0, 0), ("e", 2, "材料費", 1, "ケーブルラック", "", "30m", 30.0, "m", 5000, 150000), ("e", 2, "材料費", 2, "電線管", "北棟", "50m", None, "m", 800, 40000), ("e", 3, "施工費", 1, "架台組立工事", None, "1式", 1.0, "式", 500000, 500000), ("f", 1, "支給品", 1, "x", "", "1", 1.0, "", 7, 7)],
+        edits.ITEMS,
+    )
+    none = (None,) * 7
+    commands = [
+        ("e", 1, "update_unit_price", "支給", "太陽光パネル", "100", *none[:5]), ("e", 2, "update_unit_price", "材料費", "北棟", "1000", *none[:5]), ("e", 3, "delete_item", "材料費", "ケーブルラック", None, *none[:5]), ("e", 4, "set_discount", None, None, "-50000", *none[:5]),
+        ("e", 5, "set_client_name", None, None, "丙商事", *none[:5]), ("e", 6, "update_quantity", "施工費", "大きな架台組立工事です", "2", "式", *none[:4]), ("e", 7, "add_item", "材料費", None, None, None, "圧着端子", "100個", 50, None), ("e", 8, "delete_item", "支給品", "ない", None, *none[:5]),
+        ("e", 9, "unknown", *none, None), ("e", 10, "update_amount", "諸経費", "x", "5", *none[:5]), ("e", 11, "update_unit_price", "材料費", "電線管", "多い", *none[:5]), ("e", 12, "update_remarks", "材料費", "電線管", "南棟", *none[:5]), ("e", 13, "set_project_name", None, None, "", *none[:5]), ("e", 14, "update_description", "材料費", "電線管", "PF管", *none[:5]),
+    ]
+    totals, lines, log = edits.edited(heads, items, spark.createDataFrame(commands, edits.COMMANDS))
+    assert [r.outcome for r in log.orderBy("seq").collect()] == ["done"] * 7 + ["no line", "unknown", "no category", "no value", "done", "no value", "done"]
+    assert rows(lines.where("estimate_id = 'e'"), "category", "no", "description", "remarks", "quantity", "amount") == sorted([("支給品", 1, "太陽光パネル 540W", "", "288枚", 28800), ("材料費", 1, "PF管", "南棟", "50m", 50000), ("材料費", 2, "圧着端子", "", "100個", 5000), ("施工費", 1, "架台組立工事", None, "2式", 1000000)], key=repr)
+    assert rows(totals, "estimate_id", "client_name", "project_name", "discount", "subtotal", "total_before_tax", "tax", "total_with_tax") == [("e", "丙商事", "工事", -50000, 1083800, 1033800, 103380, 1137180), ("f", "乙社", "別", -5, 7, 2, 0, 2)]
+    assert rows(edits.edited(heads, items, spark.createDataFrame([], edits.COMMANDS))[1], "estimate_id") == [("e",)] * 4 + [("f",)]
+
+
+def test_estimate_diff(spark):
+    schema = "estimate string, id long, pos int, category string, description string, remarks string, quantity_value double, quantity_unit string, unit_price long, amount long"
+    ai = [("e", 1, 0, "施工費", "架台据付", "", 2.0, "式", 100, 200), ("e", 2, 1, "支給品", "パネル", "", 1.0, "枚", 0, 0), ("e", 3, 2, "施工費", "配線", "", 10.0, "m", 50, 500), ("e", 4, 3, "施工費", "足場", "", 1.0, "式", 900, 900), ("e", 5, 4, "施工費", "小計", "", 1.0, "式", 1, 1), ("e", 6, 5, "材料費", "端子", "", 1.0, "個", 9, 9), ("e", 7, 6, "施工費", "試験", "", 4.0, "回", 30, 120)]
+    official = [("e", 11, 0, "施工費", "架台 据付", None, 2.0, "式", 120, 240), ("e", 12, 1, "支給品", "パネル", "", 3.0, "枚", 7, 21), ("e", 13, 2, "", "配線", "", 1.0, "式", 700, 700), ("e", 14, 3, "施工費", "清掃費", "", 2.0, "式", None, 11), ("e", 15, 4, "特記事項", "保険", "", 1.0, "式", 5, 5), ("e", 16, 5, "施工費", "清掃費", "", 1.0, "式", 6, 6), ("e", 17, 6, "施工費", "試験", "", 4.0, "回", 30, 120)]
+    got = rows(line_diff.estimate_diff(spark.createDataFrame(ai, schema), spark.createDataFrame(official, schema), "estimate", "id"), "diff_type", "left_id", "right_id", "old_value", "new_value", "learnable")
+    assert got == sorted([
+        ("price_changed", 1, 11, "100", "120", True), ("quantity_changed", 2, 12, "1.0", "3.0", False), ("price_changed", 3, 13, "50", "70", True), ("quantity_changed", 3, 13, "10.0", "1.0", False),
+        ("item_added", None, 14, None, "6", True), ("item_added", None, 15, None, "5", False), ("item_added", None, 16, None, "6", False), ("item_removed", 4, None, "900", None, True), ("item_removed", 6, None, "9", None, False),
+    ], key=repr)
+    assert line_diff.estimate_diff(spark.createDataFrame([], schema), spark.createDataFrame(official, schema), "estimate", "id").count() == 7
+
+
 def test_nested_records(spark):
     data = [(i, t, "x") for i, t, _ in NESTED] + [(1, NESTED[0][1], "again"), (None, NESTED[0][1], "x")]
     df = spark.createDataFrame(data, "id long, payload string, path string")
