@@ -88,9 +88,8 @@ def date_normalize(spark: SparkSession, folder: str) -> DataFrame:
 def json_field(spark: SparkSession, folder: str) -> DataFrame:
     """A JSON value by path, and whether the path is there at all."""
     docs = table(spark, folder, "events").select("event_id", F.try_parse_json("props").alias("doc"))
-    found = json_store.read_by_path(docs, "doc", "k", "bigint")
-    leaves = json_store.leaf_paths(docs, "event_id", "doc").select("event_id", "path")
-    return found.join(leaves, "event_id").select("event_id", F.col("value").alias("k"), "path", "is_present")
+    found = json_store.read_by_path(docs, "doc", "k", "bigint").withColumnRenamed("value", "k")
+    return json_store.leaf_paths(found, ["event_id", "k", "is_present"], "doc").select("event_id", "k", "path", "is_present")
 
 
 @query("""
@@ -193,6 +192,25 @@ def _told(rows: list[tuple], columns: str) -> str:
     return "select * from (values " + ", ".join("(" + ", ".join(map(literal, (i, *r))) + ")" for i, r in enumerate(rows)) + f") as t(id, typed, {columns})"
 
 
+_NESTED = ['{"a":{"b":{"c":{"d":{"e":1}}}}}', '{"a":[1,{"b":2}],"c":{},"d":null,"x":{"y":"z"}}', "{}", "[1]", None, "broken"]
+_LEAVES = [(0, "a.b.c.d.e", "1"), (1, "a", '[1,{"b":2}]'), (1, "c", "{}"), (1, "d", None), (1, "x.y", "z")]
+
+
+@query("select * from (values " + ", ".join(f"({i}, '{p}', " + ("null" if v is None else f"'{v}'") + ")" for i, p, v in _LEAVES) + ") as t(id, path, value)")
+def json_leaves(spark: SparkSession, folder: str) -> DataFrame:
+    """Every leaf of documents of any depth; a null is a leaf, an array is one, an empty object too."""
+    docs = _typed(spark, _NESTED).select("id", F.try_parse_json("typed").alias("doc"))
+    return json_store.leaf_paths(docs, "id", "doc")
+
+
+@query("""
+select * from (values (0, null, true), (1, null, true), (2, null, false), (3, 5, true), (4, null, false)) as t(id, value, is_present)""")
+def json_missing_or_null(spark: SparkSession, folder: str) -> DataFrame:
+    """A path that is missing told from one that holds a null or a value of another kind."""
+    docs = _typed(spark, ['{"a":{"b":null}}', '{"a":{"b":"x"}}', '{"a":{}}', '{"a":{"b":5}}', '{"c":1}']).select("id", F.try_parse_json("typed").alias("doc"))
+    return json_store.read_by_path(docs, "doc", "a.b", "int").select("id", "value", "is_present")
+
+
 _QUANTITIES = [("1,200枚", 1200.0, "枚"), ("２８８枚", 288.0, "枚"), ("+5 式", 5.0, "式"), ("-3.5m", -3.5, "m"), ("１，２００．５　㎡", 1200.5, "㎡"), ("一式", None, "一式"), ("30m", 30.0, "m"), ("", None, ""), (None, None, None), ("12", 12.0, "")]
 
 

@@ -12,6 +12,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from heliotable.plans.durable import cut
+
 
 def documents(spark: SparkSession, path: str) -> DataFrame:
     """``file, doc``: each JSON file under a path as a variant; damaged files are left out."""
@@ -54,15 +56,21 @@ def read_by_path(docs: DataFrame, column: str, path: str, kind: str = "string")
     return docs.withColumn("value", F.try_variant_get(F.col(column), json_path, kind)).withColumn("is_present", F.coalesce(F.array_contains(keys, leaf), F.lit(False)))
 
 
-def leaf_paths(docs: DataFrame, key: str, column: str, depth: int = 4) -> DataFrame:
-    """``key, path, value`` of the leaves of JSON objects down to a depth; lists and empty objects are leaves."""
-    level = docs.select(key, F.lit("").alias("path"), F.to_json(column).alias("value"))
+def leaf_paths(docs: DataFrame, key: str | list[str], column: str) -> DataFrame:
+    """``key, path, value`` of all leaves of JSON objects, however deep; lists and empty objects are leaves.
+
+    One round for each level of the deepest document, until no object is left.
+    """
+    keys = [key] if isinstance(key, str) else key
+    level = docs.select(*keys, F.lit("").alias("path"), F.to_json(column).alias("value"))
     leaves = None
-    for _ in range(depth):
+    while True:
         pairs = F.from_json("value", "map<string,string>")
-        inner = level.select(key, "path", F.explode(F.map_entries(pairs)).alias("e")).select(key, F.concat(F.when(F.col("path") == "", "").otherwise(F.concat("path", F.lit("."))), "e.key").alias("path"), F.col("e.value").alias("value"))
+        inner = level.select(*keys, "path", F.explode(F.map_entries(pairs)).alias("e")).select(*keys, F.concat(F.when(F.col("path") == "", "").otherwise(F.concat("path", F.lit("."))), "e.key").alias("path"), F.col("e.value").alias("value"))
         is_object = F.coalesce(F.col("value").startswith("{") & (F.size(F.coalesce(F.json_object_keys("value"), F.array().cast("array<string>"))) > 0), F.lit(False))
-        done = inner.where(~is_object)
+        marked = cut(inner.withColumn("is_object", is_object))
+        done = marked.where("not is_object").drop("is_object")
         leaves = done if leaves is None else leaves.unionByName(done)
-        level = inner.where(is_object)
-    return leaves.unionByName(level)
+        level = marked.where("is_object").drop("is_object")
+        if level.isEmpty():
+            return leaves
