@@ -125,6 +125,37 @@ def unwrap(value, wrappers: Sequence[str] = WRAPPERS, proper: Sequence[str] = PR
             return value
 
 
+_canonical = json.JSONEncoder(ensure_ascii=False, sort_keys=True, separators=(",", ":"), check_circular=False).encode
+
+
+def _written(body: dict) -> str:
+    """The canonical text of an object whose child objects are replaced; arrays within arrays may be deeper than the encoder goes."""
+    try:
+        return _canonical(body)
+    except RecursionError:
+        out: list[str] = []
+        todo: list = [body]
+        while todo:  # texts stand for themselves as (text,)
+            v = todo.pop()
+            if isinstance(v, tuple):
+                out.append(v[0])
+            elif isinstance(v, list):
+                todo.append(("]",))
+                for i in reversed(range(len(v))):
+                    todo.append(v[i])
+                    if i:
+                        todo.append((",",))
+                todo.append(("[",))
+            elif isinstance(v, dict):
+                todo.append(("}",))
+                for i, k in reversed(list(enumerate(sorted(v)))):
+                    todo += [v[k], (("," if i else "") + _canonical(k) + ":",)]
+                todo.append(("{",))
+            else:
+                out.append(_canonical(v))
+        return "".join(out)
+
+
 def _since(place: tuple | None, above: tuple | None) -> list[int]:
     """The ordinals of a place, kept as a chain from the innermost outwards, that lie below another place of the chain."""
     own = []
@@ -140,34 +171,40 @@ def objects_of(value, whole: bool = True) -> list[tuple]:
     A lone object where others have an array has no ordinal of its own; a null
     or scalar entry of an array makes no row but counts in the ordinals. The
     objects are walked with a stack, so depth is no bound. Unless ``whole``,
-    paths are '' and ordinals those below the parent alone; in whole, both grow
+    bodies are null, paths '' and ordinals those below the parent alone; in whole, both grow
     with the depth.
     """
     out: list[list] = []
-    texts: list[str] = []  # canonical texts of values that are done, in order of being done
-    todo: list[tuple] = [(False, value, -1, "", None, "")]
+    made: list = []  # lists and objects that are done, in order of being done: objects by their identity
+    # scalars stay where they stand; only lists and objects go over the stack, first to be opened, then to be closed
+    todo: list[tuple] = [(False, value, -1, "", None, "")] if isinstance(value, (dict, list)) else []
     while todo:
         done, v, parent, path, place, field = todo.pop()
-        if done:  # all parts are written: parent is here the object's own number
-            parts = texts[len(texts) - len(v) :] if v else []
-            del texts[len(texts) - len(v) :]
-            if isinstance(v, list):
-                texts.append("[" + ",".join(parts) + "]")
-                continue
-            text = "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{t}" for k, t in zip(sorted(v), parts)) + "}"
-            out[parent][5] = hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
-            out[parent][6] = text.encode("utf-8", "replace").decode()
-            texts.append('{"$object":"' + out[parent][5] + '"}')
-        elif isinstance(v, list):
-            todo.append((True, v, parent, path, place, field))
-            todo += [(False, v[i], parent, path + "[]" if whole else "", (place, i), field) for i in reversed(range(len(v)))]
-        elif isinstance(v, dict):
-            me = len(out)
-            out.append([me, parent, path, place, field, None, None])
+        is_list = type(v) is list
+        inner = [k for k in (range(len(v)) if is_list else sorted(v)) if isinstance(v[k], (dict, list))]
+        if not done:
+            me = parent
+            if not is_list:
+                me = len(out)
+                out.append([me, parent, path, place, field, None, None])
             todo.append((True, v, me, path, place, field))
-            todo += [(False, v[k], me, (f"{path}.{k}" if path else k) if whole else "", place, k) for k in sorted(v, reverse=True)]
-        else:
-            texts.append(json.dumps(v, ensure_ascii=False))
+            for k in reversed(inner):
+                if is_list:
+                    todo.append((False, v[k], me, path + "[]" if whole else "", (place, k), field))
+                else:
+                    todo.append((False, v[k], me, (f"{path}.{k}" if path else k) if whole else "", place, k))
+            continue
+        body = v.copy()
+        for k in reversed(inner):
+            body[k] = made.pop()
+        if is_list:
+            made.append(body)
+            continue
+        text = _written(body)
+        out[parent][5] = hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+        if whole:
+            out[parent][6] = text.encode("utf-8", "replace").decode()
+        made.append({"$object": out[parent][5]})
     return [(*r[:3], _since(r[3], None if whole or r[1] < 0 else out[r[1]][3]), *r[4:]) for r in out]
 
 
