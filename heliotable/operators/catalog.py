@@ -6,6 +6,8 @@ typed value with every product. Partial matches meet through their tokens.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -160,15 +162,33 @@ def registry_picks(requests: DataFrame, products: DataFrame, order: str, most: i
 def nearest_within(left: DataFrame, right: DataFrame, block: str, value: str, target: str, tolerance: float, key: str, tie: str) -> DataFrame:
     """For each left row the right row of its block whose value is nearest, at most a tolerance away; ties by ``tie``.
 
-    The blocks are cut into cells one tolerance wide, so a row meets only its
-    own and the two neighbouring cells, whatever the size of a block.
+    Distinct values meet, not rows: the first right row by ``tie`` stands for
+    all of its value. The blocks are cut into cells two tolerances wide; there
+    each left value meets those next below and above it of its own and the two
+    neighbouring cells, found by sorting. So the work grows with the rows,
+    however many share a block, a cell or a value.
     """
-    cell = F.floor(F.col(value) / tolerance)
-    left_cells = left.withColumn("__cell", F.explode(F.array(cell - 1, cell, cell + 1)))
-    right_cells = right.withColumn("__cell", F.floor(F.col(target) / tolerance))
-    met = left_cells.join(right_cells, [block, "__cell"]).withColumn("distance", F.abs(F.col(value) - F.col(target))).where(F.col("distance") <= tolerance)
-    w = W.partitionBy(key).orderBy("distance", tie)
-    return met.withColumn("__k", F.row_number().over(w)).where("__k = 1").drop("__k", "__cell")
+    cell = lambda c: F.rint(F.col(c) / (2 * tolerance))
+    others = [c for c in right.columns if c not in (block, target, tie)]
+    first = F.min(F.struct(F.col(tie).isNull().alias("last"), tie, *others)).alias("first")
+    known = right.where(F.col(block).isNotNull() & (F.abs(target) < float("inf"))).groupBy(block, target).agg(first)
+    known = known.withColumn("__cell", F.explode(F.array_distinct(F.array(cell(target) - 1, cell(target), cell(target) + 1))))
+    by = W.partitionBy(block, "__cell")
+    # values so close that their distances may round to the same stay together
+    upward = by.orderBy(target).rowsBetween(W.unboundedPreceding, 0)
+    known = known.withColumn("__gap", F.col(target) - F.lag(target).over(by.orderBy(target))).withColumn("__run", F.count_if(F.col("__gap") > math.ulp(tolerance)).over(upward))
+    runs = known.groupBy(block, "__cell", "__run").agg(F.min(target).alias("__low"), F.max(target).alias("__high"), F.collect_list(F.struct(target, "first")).alias("__at")).drop("__run")
+    values = left.select(block, value).distinct().withColumns({"__cell": cell(value), "__low": F.col(value), "__high": F.col(value)})
+    all_values = runs.unionByName(values, allowMissingColumns=True)
+    # a frame of what follows would be evaluated anew for each row, so the second order is reversed
+    below = by.orderBy("__low", F.col("__at").isNull()).rowsBetween(W.unboundedPreceding, 0)
+    above = by.orderBy(F.desc("__high"), F.col("__at").isNull()).rowsBetween(W.unboundedPreceding, 0)
+    beside = all_values.withColumn("__below", F.last("__at", ignorenulls=True).over(below)).withColumn("__above", F.last("__at", ignorenulls=True).over(above)).where("__at is null")
+    options = F.transform(F.flatten(F.array_compact(F.array("__below", "__above"))), lambda r: F.struct(F.abs(F.col(value) - r[target]).alias("distance"), r["first"].alias("first"), r[target].alias(target)))
+    nearest = beside.select(block, value, F.array_min(options).alias("__r")).where(F.col("__r.distance") <= tolerance)
+    nearest = nearest.select(block, value, *[F.col(f"__r.first.{c}") for c in (tie, *others)], f"__r.{target}", "__r.distance")
+    w = W.partitionBy(key).orderBy("distance", F.col(tie).asc_nulls_last())
+    return left.join(spread(nearest), [block, value]).withColumn("__k", F.row_number().over(w)).where("__k = 1").drop("__k")
 
 
 def band(value: Column, bounds: list[tuple[float, str]], beyond: str) -> Column:

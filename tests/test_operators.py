@@ -237,6 +237,51 @@ def test_catalog_edges(spark):
     assert rows(catalog.longest_prefix(typed, "model", "id", prefixes), "id", "meaning") == [(1, "m"), (2, "l")]
 
 
+def most_rows(df):
+    """The rows of a frame, and the most that any step of its plan gave."""
+    found, most, open_ = df.collect(), 0, [df._jdf.queryExecution().executedPlan()]
+    while open_:
+        node = open_.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            open_.append(node.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            open_.append(node.plan())
+        else:
+            open_ += [node.children().apply(k) for k in range(node.children().size())]
+        if node.metrics().contains("numOutputRows"):
+            most = max(most, node.metrics().apply("numOutputRows").value())
+    return found, most
+
+
+def test_nearest_within_by_brute_force(spark):
+    import random
+
+    rng = random.Random(5)
+    near_zero = [0.0, -1e-17, 1e-17, 5e-17, -0.2, 0.1 + 0.2, 0.3, 5.0, -5.0, 5.1, 10.0, 1e17, 1e300, float("inf"), float("nan"), None]
+    draw = lambda: rng.choice([rng.choice(near_zero), rng.uniform(-30, 30), rng.randrange(-60, 60) / 2, float(rng.randrange(-9, 9) * 5)])
+    left = [(k, rng.choice(["a", "b", None]), draw()) for k in range(300)] + [(300, "d", 5.1), (301, "a", 5.1), (301, "a", 7.7)]
+    right = [(rng.randrange(40) if k % 9 else None, rng.choice(["a", "b", "c", None]), draw()) for k in range(90)] + [(7, "d", 0.1 + 0.2), (9, "d", 0.3)]
+    wanted = {}
+    for k, block, v in left:
+        for other, its, t in right:
+            if block is not None and block == its and v is not None and t is not None and abs(v - t) <= 5.0:
+                wanted[k] = min(wanted.get(k, (9.0, True, 0)), (abs(v - t), other is None, other or 0))
+    a = spark.createDataFrame(left, "id long, kind string, v double")
+    b = spark.createDataFrame(right, "other long, kind string, t double")
+    got = {r.id: (r.distance, r.other is None, r.other or 0) for r in catalog.nearest_within(a, b, "kind", "v", "t", 5.0, "id", "other").collect()}
+    assert got == wanted
+    assert got[300] == (4.8, False, 7)
+
+
+def test_nearest_within_does_not_pair_rows_of_a_value(spark):
+    a = spark.range(3000).select("id", F.lit("x").alias("kind"), (F.lit(7.0) + F.col("id") % 2).alias("v"))
+    b = spark.range(3000).select(F.col("id").alias("other"), F.lit("x").alias("kind"), (F.lit(8.0) + F.col("id") % 3 / 100).alias("t"))
+    found, most = most_rows(catalog.nearest_within(a, b, "kind", "v", "t", 5.0, "id", "other"))
+    assert {(r.other, r.distance) for r in found if r.id % 2} == {(0, 0.0)} and {(r.other, r.distance) for r in found if r.id % 2 == 0} == {(0, 1.0)}
+    assert len(found) == 3000 and most <= 3000
+
+
 def test_registry_matches_know_aliases_and_parts(spark):
     products = spark.createDataFrame([("a", "NGE-66H-670", ["NGE66H670"]), ("b", "SUN2000-50KTL", None), ("c", None, ["", None]), ("d", "XX-670", [])], "candidate_id string, model string, model_aliases array<string>")
     typed = spark.createDataFrame([(1, "NGE66H670"), (2, "sun200"), (3, "架台 SUN2000-50KTL 用"), (4, "66-h"), (5, ""), (6, None), (7, "NGE 670")], "request_id int, query string")
