@@ -94,15 +94,22 @@ def resolved_products(requests: DataFrame, products: DataFrame) -> DataFrame:
 
     Step 1 the code, 2 the model of the same maker, 3 the model if the request
     names no maker. No step crosses makers. Canonical rows first, then the lower page.
+
+    What a step gives depends on its key alone, so the first product of each
+    key is taken before requests are joined: one row for a request and step.
     """
-    p = products.select("product_id", F.lower(F.trim("code")).alias("p_code"), F.lower(F.trim("maker")).alias("p_maker"), F.lower(F.trim("model")).alias("p_model"), "is_canonical", "page")
+    order = [F.when(F.col("is_canonical"), 0).when(~F.col("is_canonical"), 1).otherwise(2).alias("canonical"), F.col("page").isNull().alias("no_page"), "page", F.col("product_id").isNull().alias("no_id"), "product_id"]
+    p = products.select(F.lower(F.trim("code")).alias("p_code"), F.lower(F.trim("maker")).alias("p_maker"), F.lower(F.trim("model")).alias("p_model"), F.struct(*order).alias("hit"))
     r = requests.select("request_id", F.lower(F.trim("code")).alias("code"), F.lower(F.trim("maker")).alias("maker"), F.lower(F.trim("model")).alias("model"))
-    kept = ["request_id", "product_id", "step", "is_canonical", "page"]
-    by_code = r.where("code <> ''").join(p, F.col("code") == F.col("p_code")).withColumn("step", F.lit(1)).select(*kept)
-    by_both = r.where("model <> '' and maker <> ''").join(p, (F.col("model") == F.col("p_model")) & (F.col("maker") == F.col("p_maker"))).withColumn("step", F.lit(2)).select(*kept)
-    by_model = r.where("model <> '' and coalesce(maker, '') = ''").join(p, F.col("model") == F.col("p_model")).withColumn("step", F.lit(3)).select(*kept)
+    least = F.min("hit").alias("hit")
+    of_code, of_both = p.where("p_code <> ''").groupBy("p_code").agg(least), p.where("p_model <> ''").groupBy("p_model", "p_maker").agg(least)
+    of_model = of_both.groupBy("p_model").agg(least)
+    kept = ["request_id", "step", "hit"]
+    by_code = r.where("code <> ''").join(of_code, F.col("code") == F.col("p_code")).withColumn("step", F.lit(1)).select(*kept)
+    by_both = r.where("model <> '' and maker <> ''").join(of_both, (F.col("model") == F.col("p_model")) & (F.col("maker") == F.col("p_maker"))).withColumn("step", F.lit(2)).select(*kept)
+    by_model = r.where("model <> '' and coalesce(maker, '') = ''").join(of_model, F.col("model") == F.col("p_model")).withColumn("step", F.lit(3)).select(*kept)
     hits = by_code.unionByName(by_both).unionByName(by_model)
-    return best_by_priority(hits, "request_id", "step", [F.desc("is_canonical"), F.col("page").asc_nulls_last(), "product_id"]).select("request_id", "product_id", "step")
+    return best_by_priority(hits, "request_id", "step", ["hit"]).select("request_id", "hit.product_id", "step")
 
 
 def scored_models(requests: DataFrame, candidates: DataFrame) -> DataFrame:

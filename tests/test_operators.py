@@ -282,6 +282,38 @@ def test_nearest_within_does_not_pair_rows_of_a_value(spark):
     assert len(found) == 3000 and most <= 3000
 
 
+def test_resolved_products_by_brute_force(spark):
+    import random
+
+    rng = random.Random(6)
+    codes, makers, models = ["", " ", None, "c1", "C1 ", "c2"], ["", None, "m", " M", "n"], ["", None, "x", "X ", "y", "z"]
+    some = lambda: (rng.choice(codes), rng.choice(makers), rng.choice(models))
+    products = [(k, *some(), rng.choice([True, False, None]), rng.choice([1, 2, None])) for k in range(60)]
+    requests = [(k % 190, *some()) for k in range(200)]
+    plain = lambda t: (t or "").strip().lower()
+    wanted = {}
+    for request, *asked in requests:
+        code, maker, model = map(plain, asked)
+        for product, c, m, n, canonical, page in products:
+            steps = [code and code == plain(c), model and maker and (model, maker) == (plain(n), plain(m)), model and not maker and model == plain(n)]
+            for step, fits in enumerate(steps, 1):
+                if fits:
+                    hit = (step, {True: 0, False: 1, None: 2}[canonical], page is None, page or 0, product)
+                    wanted[request] = min(wanted.get(request, (9,)), hit)
+    asked = spark.createDataFrame(requests, "request_id long, code string, maker string, model string")
+    known = spark.createDataFrame(products, "product_id long, code string, maker string, model string, is_canonical boolean, page int")
+    found = catalog.resolved_products(asked, known).collect()
+    assert sorted((r.request_id, r.product_id, r.step) for r in found) == sorted((k, w[-1], w[0]) for k, w in wanted.items())
+
+
+def test_resolved_products_do_not_pair_rows_of_a_model(spark):
+    asked = spark.range(3000).select(F.col("id").alias("request_id"), F.when(F.col("id") < 1000, "K").otherwise("").alias("code"), F.when(F.col("id") < 2000, "m").otherwise("").alias("maker"), F.lit("x").alias("model"))
+    known = spark.range(3000).select(F.col("id").alias("product_id"), F.lit("k").alias("code"), F.lit("M").alias("maker"), F.lit("X").alias("model"), (F.col("id") % 7 == 6).alias("is_canonical"), (F.lit(5) - F.col("id") % 5).alias("page"))
+    found, most = most_rows(catalog.resolved_products(asked, known))
+    assert sorted((r.request_id, r.product_id, r.step) for r in found) == [(k, 34, k // 1000 + 1) for k in range(3000)]
+    assert most <= 6000
+
+
 def test_registry_matches_know_aliases_and_parts(spark):
     products = spark.createDataFrame([("a", "NGE-66H-670", ["NGE66H670"]), ("b", "SUN2000-50KTL", None), ("c", None, ["", None]), ("d", "XX-670", [])], "candidate_id string, model string, model_aliases array<string>")
     typed = spark.createDataFrame([(1, "NGE66H670"), (2, "sun200"), (3, "架台 SUN2000-50KTL 用"), (4, "66-h"), (5, ""), (6, None), (7, "NGE 670")], "request_id int, query string")
